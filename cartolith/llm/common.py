@@ -46,6 +46,11 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: an expression inside a lambda would be computed at each call."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

@@ -5,17 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprints import edited_likeness
+from .pii import pii
+from .secret_scan import secret_scan
 from .substring_dedup import substring_dedup
+from .url_filter import url_filter
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), length=50)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in a page's path is the id of its document; a page is good if that one's label says so."""
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
+    made_from = pages.select("page_id", F.expr(r"try_cast(regexp_extract(url, '^[^?#]*/([0-9]+)', 1) as bigint)").alias("doc_id"))
+    return url_filter(pages, made_from.join(labels, "doc_id").select("page_id", "good"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_url_filter": op4_url_filter,
+    "op6_pii": op6_pii,
 }
 #: DuckDB's \x20 and friends are read by RE2; a word is what WORD says.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
