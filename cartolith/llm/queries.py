@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contaminated
 from .fingerprints import edited_likeness
+from .mixing import mix
 from .pii import pii
+from .quality import quality
 from .secret_scan import secret_scan
 from .substring_dedup import substring_dedup
 from .url_filter import url_filter
+from .warc import round_trip
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +43,32 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), budget=1.5, cap=2).drop("row_key")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_fingerprints": op3_fingerprints,
     "op4_url_filter": op4_url_filter,
     "op6_pii": op6_pii,
+    "op7_quality": op7_quality,
+    "op8_mixing": op8_mixing,
+    "op9_decontamination": op9_decontamination,
+    "op10_warc": op10_warc,
 }
 #: DuckDB's \x20 and friends are read by RE2; a word is what WORD says.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -61,5 +85,13 @@ wrd as (select r, unnest(range(1, len(w) + 1)) pos, unnest(w) word from d),
 kept as (select wrd.r, string_agg(word, ' ' order by wrd.pos) t, count(*) n from wrd anti join gone on wrd.r = gone.r and wrd.pos = gone.pos group by wrd.r)
 select doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256
 from d left join kept using (r)
+""",
+    "op10_warc": """
+with p as (select page_id, coalesce(html, '') h from pages),
+q as (select page_id, strlen(h)::bigint payload_bytes, sha256(h) payload_digest, min(page_id) over (partition by h) f from p)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id > f then 'revisit' else 'response' end record_type,
+  case when payload_bytes >= 100 and page_id > f then f end refers_to
+from q
 """,
 }
