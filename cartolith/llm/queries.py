@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contaminated
 from .fingerprints import edited_likeness
+from .jaccard_join import jaccard_components
 from .mixing import mix
 from .pii import pii
 from .quality import quality
@@ -39,6 +40,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, made_from.join(labels, "doc_id").select("page_id", "good"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85).drop("row_key")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_fingerprints": op3_fingerprints,
     "op4_url_filter": op4_url_filter,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
@@ -93,5 +99,16 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 100 and page_id > f then 'revisit' else 'response' end record_type,
   case when payload_bytes >= 100 and page_id > f then f end refers_to
 from q
+""",
+    "op5_jaccard_join": rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, 2)), lambda i: array_to_string(w[i:i+3], ' '))) sh from d where len(w) > 0),
+f as (select doc_id, len(sh) n, unnest(sh) x from s),
+c as (select a.doc_id a, b.doc_id b, count(*) k, any_value(a.n) na, any_value(b.n) nb from f a join f b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c where 100 * k >= 85 * (na + nb - k)),
+e as (select a x, b y from l union all select b, a from l),
+r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
+select d.doc_id, coalesce(len(s.sh), 0)::bigint n_shingles, least(d.doc_id, coalesce((select min(r.y) from r where r.x = d.doc_id), d.doc_id)) component_id
+from d left join s using (doc_id)
 """,
 }
