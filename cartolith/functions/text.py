@@ -125,3 +125,31 @@ def fnv1a(c: Column) -> Column:
     prime = F.lit(16777619).cast("long")
     codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * prime).bitwiseAND(F.lit(4294967295).cast("long")))
+
+
+# fixed values: words that stay in lower case inside a name
+PARTICLES = ("de", "du", "des", "la", "le", "les", "et", "sur", "en", "aux", "au", "sous", "à", "a", "d", "l", "lès")
+
+
+def display_case(c: Column) -> Column:
+    """Title case for names that come in one case; mixed case is trusted. Parts after a hyphen or apostrophe
+    are capitalised too, particles and elisions stay lower."""
+    bare = F.trim(F.regexp_replace(c, r"\s+", " "))
+    lower, upper = bare.rlike("[a-zß-ÿ]"), bare.rlike("[A-ZÀ-Þ]")
+
+    def title(word: Column) -> Column:
+        parts = F.regexp_extract_all(word, F.lit("[-'’]?[^-'’]*"), F.lit(0))
+        raised = F.transform(parts, lambda p: F.when(p.rlike("^[-'’]"), F.concat(F.substring(p, 1, 1), F.upper(F.substring(p, 2, 1)), F.substring(p, F.lit(3), F.length(p)))).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))))
+        return F.array_join(raised, "")
+
+    def placed(word: Column, i: Column) -> Column:
+        elided = F.when(word.rlike("^[ld]['’]"), F.concat(F.substring(word, 1, 1), F.substring(title(word), F.lit(2), F.length(word)))).otherwise(title(word))
+        return F.when(i == 0, title(word)).when(word.isin(*PARTICLES), word).otherwise(elided)
+
+    return F.when(lower & upper | ~lower & ~upper, bare).otherwise(F.array_join(F.transform(F.split(F.lower(bare), " "), placed), " "))
+
+
+def postal_address(c: Column) -> Column:
+    """struct<number, street, postcode, city> of a one-line address; what is missing is null."""
+    part = lambda k: F.nullif(F.trim(F.regexp_extract(F.trim(c), r"(?i)^\s*(?:([0-9]{1,4}(?:\s*(?:bis|ter|quater|[a-d])(?=\s))?)[,\s]+)?(.*?)[,\s]*(?:\b([0-9]{5})\b\s*(.*))?$", k)), F.lit(""))
+    return F.struct(F.lower(part(1)).alias("number"), part(2).alias("street"), part(3).alias("postcode"), part(4).alias("city"))

@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.functions import geometry, taxonomy, text
-from cartolith.operators import audit, joins, resolve, search, tiles
+from cartolith.functions import geometry, hours, taxonomy, text
+from cartolith.operators import audit, geocode, joins, osm, resolve, search, tiles
 from cartolith.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -516,3 +516,59 @@ _UNION = "select 'customer' feed, c_custkey id, c_name name from customer union
 def union_feeds(spark, d):
     pick = lambda t, k, n: table(spark, d, t).select(F.lit(t).alias("feed"), F.col(k).alias("id"), F.col(n).alias("name"))
     return pick("customer", "c_custkey", "c_name").unionByName(pick("supplier", "s_suppkey", "s_name")).unionByName(pick("part", "p_partkey", "p_name")).where("id <= 500")
+
+
+@query("""
+with s as (select c_custkey k, c_custkey % 4 s, (c_custkey % 7)::int d, (c_custkey * 37) % 1440 m from customer)
+select k c_custkey, case s when 0 then (d < 5 and (m >= 540 and m < 720 or m >= 840 and m < 1140)) or (d = 5 and m >= 600 and m < 780)
+ when 1 then (d in (1, 3) and m >= 1200) or (d in (2, 4) and m < 120) when 2 then true end open from s""")
+def opening_hours(spark, d):
+    k = F.col("c_custkey")
+    week = hours.opening_week(F.when(k % 4 == 0, "Mo-Fr 09:00-12:00,14:00-19:00; Sa 10:00-13:00").when(k % 4 == 1, "Tu,Th 20:00-02:00").when(k % 4 == 2, "24/7").otherwise("on request"))
+    c = table(spark, d, "customer").select("c_custkey", week.alias("week"))
+    return c.select("c_custkey", hours.is_open(F.col("week"), (k % 7).cast("int"), (k * 37) % 1440).alias("open"))
+
+
+@query(f"""
+with w as (select o_orderkey id, o_custkey % 40 postcode, o_custkey % 3 street, case when o_orderkey % 5 > 0 then o_orderkey % 90 end number from orders),
+h as (select c_custkey % 40 postcode, c_custkey % 3 street, c_custkey % 70 number, min({{'x': x % 900, 'z': z % 900}}) p from (select id c_custkey, x, z from {A_SQL}) group by 1, 2, 3),
+n as (select id, p, abs(w.number - h.number) + case when w.number % 2 = h.number % 2 then 0.0 else 0.5 end away, h.number found from w join h using (postcode, street) where w.number is not null),
+b as (select id, p, away, row_number() over (partition by id order by away, found) r from n where away <= 10),
+s as (select postcode, street, sqrt(pow(max(p.x) - min(p.x), 2) + pow(max(p.z) - min(p.z), 2)) width, (list(p order by number))[count(*) // 2 + 1] p from h group by 1, 2)
+select id, p.x x, p.z z, case when away = 0 then 1.0 else 0.8 end::double score from b where r = 1
+union all select id, s.p.x, s.p.z, 0.6::double from w join s using (postcode, street) where width <= 1200 and id not in (select id from b)""")
+def geocode_street(spark, d):
+    o = table(spark, d, "orders")
+    wanted = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("postcode"), (F.col("o_custkey") % 3).alias("street"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey") % 90).alias("number"))
+    known = points_a(spark, d).select((F.col("id") % 40).alias("postcode"), (F.col("id") % 3).alias("street"), (F.col("id") % 70).alias("number"), (F.col("x") % 900).alias("x"), (F.col("z") % 900).alias("z"))
+    return geocode.by_street(wanted, known)
+
+
+@query(f"""
+with p as (select id, nation commune, kind k, x // 40 x, z // 40 z from {A_SQL}),
+f as (select commune, k, min({{'id': id, 'x': x, 'z': z}}) f from p group by 1, 2),
+m as (select commune, k, any_value(f) f, max(sqrt(pow(x - f.x, 2) + pow(z - f.z, 2))) far from p join f using (commune, k) group by 1, 2)
+select s_suppkey id, f.x x, f.z z, 0.5::double score from supplier join m on commune = s_nationkey and k = case s_suppkey % 2 when 0 then 'BUILDING' else 'MACHINERY' end where far <= 1900""")
+def geocode_name(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("commune"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("key"))
+    p = points_a(spark, d).select(F.col("id").alias("place_id"), F.col("nation").alias("commune"), F.col("kind").alias("key"), F.expr("x div 40").alias("x"), F.expr("z div 40").alias("z"))
+    return geocode.by_name(s, p, 1900)
+
+
+@query("""
+with w as (select l_orderkey way_id, l_linenumber pos, l_partkey node from lineitem where l_orderkey % 50 = 0 or l_linenumber <= 2),
+n as (select p_partkey node, p_size::double x from part where p_partkey % 9 <> 0),
+g as (select way_id, count(*) n, count(n.node) k, (list(x order by pos, x))[1] first_x from w left join n using (node) group by way_id)
+select way_id, n points from g where n = k""")
+def way_lines(spark, d):
+    """Ways are the lines of orders, nodes the parts; ways with an unknown node are dropped."""
+    li = table(spark, d, "lineitem").where("l_orderkey % 50 = 0 or l_linenumber <= 2")
+    ways = li.groupBy(F.col("l_orderkey").alias("way_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("n")).select("way_id", F.transform("n", lambda v: v["l_partkey"]).alias("nodes"))
+    nodes = table(spark, d, "part").where("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("node_id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    return osm.way_lines(ways, nodes).select("way_id", F.size("line").cast("long").alias("points"))
+
+
+@query("select p_partkey, case when p_partkey % 2 = 0 then array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') else p_name end shown from part")
+def display_names(spark, d):
+    name = F.when(F.col("p_partkey") % 2 == 0, text.display_case(F.upper("p_name"))).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", name.alias("shown"))
