@@ -1,7 +1,7 @@
 """WARC archives: writing pages as records, and reading them back by boundary chains.
 
-Archives are written by Spark's text writer, whose line separator is the blank line that ends a record.
-Files hold about ``file_bytes``, so a task reads one whole. Of records with equal payloads of REVISIT_BYTES
+Archives are written by Spark's text writer, gzipped; its line separator is the blank line that ends a
+record. Files hold about ``file_bytes``, so a task reads one whole. Of records with equal payloads of REVISIT_BYTES
 or more, the one with the smallest page_id is the response, the others are revisits without a payload.
 
 To read, tasks emit for every magic string in a file, also those inside payloads, the offset where its
@@ -14,6 +14,7 @@ share the smallest page_id of a payload are all responses. A null page_id never
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import freed_shuffles, materialise, shared_dir
 
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -34,26 +35,28 @@ HEADER_BYTES = 1 << 16
 def write_archives(pages: DataFrame, path: str, file_bytes: int = 16 << 20, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write a record per row of page_id, url, html into archives under path."""
     d = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    d = d.withColumn("row_key", F.xxhash64("html"))
-    slim = d.select("page_id", "row_key", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
+    # plain equality on keys that are never null lets the join keep the partitioning below
+    d = d.withColumn("pid", F.coalesce(F.col("page_id").cast("string"), F.lit(""))).withColumn("row_key", F.xxhash64("html"))
+    slim = d.select("page_id", "pid", "row_key", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
     slim = materialise(slim, "op10-digests")
     firsts = slim.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     again = (F.col("first_id").isNotNull()) & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")))
     # rows equal in id and payload have equal headers
-    heads = slim.join(firsts, "digest", "left").select("page_id", "row_key", "digest", "bytes", F.when(again, F.col("first_id")).alias("refers")).distinct()
+    heads = slim.join(firsts, "digest", "left").select("pid", "row_key", "digest", "bytes", F.when(again, F.col("first_id")).alias("refers")).distinct()
     total = slim.agg(F.sum("bytes")).first()[0] or 0
     files = int(total // file_bytes) + 1
-    d = d.repartition(files, "page_id", "row_key")
-    joined = d.alias("d").join(heads.alias("h"), F.col("d.page_id").eqNullSafe(F.col("h.page_id")) & (F.col("d.row_key") == F.col("h.row_key"))).select("d.page_id", "url", "html", "digest", "bytes", "refers")
-    revisit, page = F.col("refers").isNotNull(), lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    joined = d.repartition(files, "pid", "row_key").join(heads, ["pid", "row_key"])
+    revisit = F.col("refers").isNotNull()
     header = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), page(F.col("page_id")), F.lit(">\r\nWARC-Target-URI: "), F.col("url"), F.lit(f"\r\nWARC-Date: {date}\r\nContent-Type: text/html; charset=utf-8"),
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("pid"), F.lit(">\r\nWARC-Target-URI: "), F.col("url"), F.lit(f"\r\nWARC-Date: {date}\r\nContent-Type: text/html; charset=utf-8"),
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("bytes").cast("string"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), page(F.col("refers")), F.lit(">"))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("refers").cast("string"), F.lit(">"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string")), F.lit(END),
     )
-    joined.select(F.concat(header, F.when(revisit, F.lit("")).otherwise(F.col("html"))).alias("value")).write.option("lineSep", END).text(path)
+    records = joined.select(F.concat(header, F.when(revisit, F.lit("")).otherwise(F.col("html"))).alias("value"))
+    with freed_shuffles(pages.sparkSession):
+        records.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def _fields(header: bytes) -> dict[str, str]:
@@ -72,7 +75,7 @@ def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-            data, rows = content.as_py(), []
+            data, rows = gzip.decompress(content.as_py()), []
             at = data.find(MAGIC)
             while at >= 0:
                 stop = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
