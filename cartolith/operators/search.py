@@ -97,3 +97,39 @@ def browse_category(records: DataFrame, category: str, near: tuple[float, float]
         shown, limit = d, min(limit, few)
     score: Column = F.floor(F.lit(10000) - F.col("metres") / 10 + 0.5)
     return shown.orderBy("metres", "name", "record_id").limit(limit).select("record_id", score.cast("double").alias("score"), F.col("metres"))
+
+
+def distinct_hits(hits: DataFrame, limit: int, radius: float = 150.0) -> DataFrame:
+    """The first limit hits (record_id, name, x, z, score, best first), leaving out any that is near a kept one of the
+    same folded name. Only a few times limit rows, the best ones, are looked at, in one small group."""
+    top = hits.withColumn("key", text.fold_text(F.col("name"))).orderBy(F.desc("score"), "name", "record_id").limit(8 * limit)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "name", "record_id", "key", "x", "z")))
+    near = lambda a, b: (a["key"] == b["key"]) & (F.hypot(a["x"] - b["x"], a["z"] - b["z"]) < radius)
+    first = F.slice("all", 1, 1)
+    kept = F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), first, lambda have, hit: F.when(F.exists(have, lambda k: near(k, hit)), have).otherwise(F.concat(have, F.array(hit))))
+    flat = top.groupBy().agg(listed.alias("all")).select(F.explode(F.slice(kept, 1, limit)).alias("h"))
+    return flat.select("h.record_id", "h.name", "h.x", "h.z", (-F.col("h.rank")).alias("score"))
+
+
+def with_category(hits: DataFrame, wanted: tuple[str, ...], bonus: float = 240.0, stop_penalty: float = 400.0) -> DataFrame:
+    """Hits of a wanted category gain, stops that take the name of what they serve lose."""
+    families = {c for w in wanted for c in taxonomy.FAMILIES.get(w, (w,))}
+    change = F.when(F.col("category").isin(*families), bonus).when(F.col("category") == "bus_stop", -stop_penalty).otherwise(0.0)
+    return hits.withColumn("score", F.col("score") + change)
+
+
+def merged_category(hits: DataFrame, members: DataFrame, near: tuple[float, float] | None, words: int, share: float = 0.3) -> DataFrame:
+    """A category browse with the hits of the query's words: record_id, score.
+
+    hits: record_id, exact, named, category, boost; members: record_id, boost, x, z of the category. Whole-name
+    hits outside the category come first; members follow nearest first, those named like the query ahead if
+    fewer than ``share`` of the category are (a brand rather than a generic word)."""
+    named = hits.where("named").select("record_id", F.lit(True).alias("hit"))
+    d = members.join(named, "record_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    total, own = d.agg(F.count(F.lit(1)), F.count_if("hit")).first()
+    brand = 1500.0 if total and own / total < share else 0.0
+    far = F.hypot(F.col("x") - near[0], F.col("z") - near[1]) / 1000 * 12 if near else F.lit(0.0)
+    listed = d.select("record_id", (F.when(F.col("hit"), brand).otherwise(0.0) + 2000 + F.col("boost") * 0.2 - far).alias("score"))
+    whole = hits.where(F.col("named") & F.col("exact") & ((F.col("category") == "commune") | F.lit(words >= 2)))
+    whole = whole.join(members.select("record_id"), "record_id", "left_anti").select("record_id", (F.col("boost") + 4000).alias("score"))
+    return whole.unionByName(listed)

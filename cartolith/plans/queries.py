@@ -572,3 +572,21 @@ def way_lines(spark, d):
 def display_names(spark, d):
     name = F.when(F.col("p_partkey") % 2 == 0, text.display_case(F.upper("p_name"))).otherwise(F.col("p_name"))
     return table(spark, d, "part").select("p_partkey", name.alias("shown"))
+
+
+@query(f"""
+with r as (select c_custkey record_id, case c_mktsegment {_SEGMENT} else lower(c_mktsegment) end category, (c_custkey % 50)::double boost, ((c_custkey * 7919) % 100003 - 50000)::double x, ((c_custkey * 104729) % 85009 - 42500)::double z from customer),
+h as (select * from r where record_id % 17 = 0), m as (select * from r where category = 'hotel'),
+k as (select (count(*) filter (where record_id % 17 = 0)) / count(*) < 0.3 brand from m)
+select record_id, round(2000 + case when record_id % 17 = 0 and brand then 1500 else 0 end + boost * 0.2 - sqrt(x * x + z * z) / 1000 * 12, 6) score from m, k
+union all select record_id, boost + 4000 from h where record_id % 51 = 0 and category <> 'hotel'""")
+def category_merge(spark, d):
+    r = records(spark, d)
+    hits = r.where("record_id % 17 = 0").select("record_id", (F.col("record_id") % 51 == 0).alias("exact"), F.lit(True).alias("named"), "category", "boost")
+    return search.merged_category(hits, r.where("category = 'hotel'"), (0.0, 0.0), 2).withColumn("score", F.round("score", 6))
+
+
+@query()
+def distinct_hits(spark, d):
+    r = records(spark, d).select("record_id", F.col("category").alias("name"), "x", "z", (F.col("boost") * 1000 - F.col("record_id")).alias("score"))
+    return search.distinct_hits(r, 25, 20_000.0)

@@ -46,3 +46,26 @@ def test_relations(spark):
     assert [(r.relation_id, r.ring, r.problem) for r in got] == [(1, 0, None), (1, 1, None), (2, None, "open outer ring"), (3, None, "missing way"), (4, None, "no outer ring")]
     assert len(got[0].line) == 5 and len(got[1].line) == 4
     assert join_ends([[1, 2], [3, 2], [3, 1]]) == [[1, 2, 3, 1]]
+
+
+def test_distinct_hits(spark):
+    import math
+    import random
+
+    from cartolith.operators.search import distinct_hits
+
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["A b", "a-B", "c"]), rng.random() * 500, rng.random() * 500, float(rng.randrange(100))) for i in range(60)]
+    want = []
+    for r in sorted(rows, key=lambda r: (-r[4], r[1], r[0])):
+        if len(want) < 10 and not any(w[1].lower().replace("-", " ") == r[1].lower().replace("-", " ") and math.hypot(w[2] - r[2], w[3] - r[3]) < 150 for w in want):
+            want.append(r)
+    got = distinct_hits(spark.createDataFrame(rows, "record_id long, name string, x double, z double, score double"), 10).collect()
+    assert [r.record_id for r in got] == [w[0] for w in want]
+
+
+def test_category_bonus(spark):
+    from cartolith.operators.search import with_category
+
+    d = spark.createDataFrame([(1, "hotel", 10.0), (2, "bus_stop", 500.0), (3, None, 20.0)], "record_id long, category string, score double")
+    assert {r.record_id: r.score for r in with_category(d, ("hotel",)).collect()} == {1: 250.0, 2: 100.0, 3: 20.0}
