@@ -30,7 +30,7 @@ def bins(rows: DataFrame, value: str, quantiles: tuple[float, ...] = (0.2, 0.4,
 def round_robin(rows: DataFrame, stratum: str, order: Column, target: int) -> DataFrame:
     """A sample of target rows: one of each stratum in turn, in the order of strata."""
     per = Window.partitionBy(stratum).orderBy(order)
-    return rows.withColumn("turn", F.row_number().over(per)).orderBy("turn", stratum).limit(target)
+    return rows.withColumn("turn", F.row_number().over(per).cast("long")).orderBy("turn", stratum).limit(target)
 
 
 def grid(rows: DataFrame, key: str, kind: str, x0: float, z0: float, width: float, depth: float, n: int = 8) -> DataFrame:

@@ -65,3 +65,17 @@ def metrics(sizes: DataFrame) -> DataFrame:
     """lod, tiles, largest, total of bytes, and median and p95: the values at floor((n-1) q) in order."""
     q = floor_percentiles(sizes, "lod", "bytes", {"median": 0.5, "p95": 0.95})
     return sizes.groupBy("lod").agg(F.count(F.lit(1)).alias("tiles"), F.max("bytes").alias("largest"), F.sum("bytes").alias("total")).join(q, "lod")
+
+
+def planned(tiles: DataFrame, view: tuple[float, float, float, float], lod: int, limit: int = 64) -> DataFrame:
+    """Tiles that a view (x0, z0, x1, z1) needs, centre first: those of the level, or else of the nearest finer, or else
+    coarser level that covers it. tiles: lod, tile_id, x0, z0, x1, z1."""
+    x0, z0, x1, z1 = view
+    seen = tiles.where((F.col("x1") > x0) & (F.col("x0") < x1) & (F.col("z1") > z0) & (F.col("z0") < z1))
+    order = [lod, *range(lod - 1, -1, -1), *range(lod + 1, len(SIZES))]
+    rank = F.array_position(F.array(*[F.lit(v) for v in order]), F.col("lod").cast("int"))
+    best = seen.agg(F.min(rank)).first()[0]
+    if best is None:
+        return seen
+    away = F.hypot((F.col("x0") + F.col("x1")) / 2 - (x0 + x1) / 2, (F.col("z0") + F.col("z1")) / 2 - (z0 + z1) / 2)
+    return seen.where(F.col("lod") == order[best - 1]).withColumn("away", away).orderBy("away", "tile_id").limit(limit)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import geometry, hours, taxonomy, text
 from cartolith.operators import audit, geocode, joins, osm, resolve, search, tiles
-from cartolith.sources import readers
+from cartolith.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -590,3 +590,23 @@ def category_merge(spark, d):
 def distinct_hits(spark, d):
     r = records(spark, d).select("record_id", F.col("category").alias("name"), "x", "z", (F.col("boost") * 1000 - F.col("record_id")).alias("score"))
     return search.distinct_hits(r, 25, 20_000.0)
+
+
+@query(f"""
+with f as (select id, lod, 'l' || lod || '_' || floor(x / s)::bigint || '_' || floor(z / s)::bigint tile_id, x, z, 60 + length(name) bytes from {A_SQL}, (values (0, 2048), (1, 8192), (2, 32768)) v(lod, s))
+select lod, tile_id, count(distinct id) features, count(*) fragments, sum(bytes)::bigint bytes, min(x) x0, min(z) z0, max(x) x1, max(z) z1 from f group by 1, 2""")
+def tile_manifest(spark, d):
+    lods = F.array(*[F.struct(F.lit(k).alias("lod"), F.lit(float(s)).alias("s")) for k, s in tiles.SIZES.items()])
+    p = points_a(spark, d).select("id", "x", "z", "name", F.explode(lods).alias("l")).select("id", "x", "z", "name", "l.*")
+    cell = lambda c: F.floor(F.col(c) / F.col("s")).cast("string")
+    f = p.select("lod", F.concat_ws("_", F.concat(F.lit("l"), F.col("lod").cast("string")), cell("x"), cell("z")).alias("tile_id"), "id", F.col("id").alias("fragment_id"), F.col("x").alias("x0"), F.col("z").alias("z0"), F.col("x").alias("x1"), F.col("z").alias("z1"), (F.length("name") + 60).alias("bytes"))
+    return sinks.manifest(f)
+
+
+@query(f"""
+with t as (select distinct floor(x / 8192)::bigint c, floor(z / 8192)::bigint r from {A_SQL} where id % 3 > 0), b as (select 'l1_' || c || '_' || r tile_id, c * 8192.0 x0, r * 8192.0 z0 from t)
+select tile_id from b where x0 + 8192 > -9000 and x0 < 20000 and z0 + 8192 > -15000 and z0 < 5000 order by pow(x0 + 4096 - 5500, 2) + pow(z0 + 4096 + 5000, 2), tile_id limit 12""")
+def tile_plan(spark, d):
+    p = points_a(spark, d).where("id % 3 > 0").select(F.floor(F.col("x") / 8192).alias("col"), F.floor(F.col("z") / 8192).alias("row")).distinct()
+    t = p.select(F.lit(1).alias("lod"), tiles.tile_id(1).alias("tile_id"), (F.col("col") * 8192.0).alias("x0"), (F.col("row") * 8192.0).alias("z0")).withColumn("x1", F.col("x0") + 8192).withColumn("z1", F.col("z0") + 8192)
+    return tiles.planned(t, (-9000.0, -15000.0, 20000.0, 5000.0), 0, 12).select("tile_id")

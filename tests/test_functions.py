@@ -102,3 +102,31 @@ def test_search_prefers_the_named_street(spark):
     top = lambda q, near: search(r, index, q, near).first().record_id
     assert top("rue gambetta", (0.0, -5000.0)) == 1 and top("rue gambetta", (-30000.0, 30000.0)) == 2
     assert top("rue gambetta condom", (0.0, -5000.0)) == 2 and top("nocire", (0.0, 0.0)) == 3 and top("rn124", None) == 4
+
+
+def test_sinks(spark, tmp_path):
+    from cartolith.sources import sinks
+
+    rows = spark.range(50).select("id", F.when(F.col("id") % 2 == 0, "road").otherwise("water").alias("kind"), F.array(F.struct(F.col("id").alias("feature"), F.lit("name").alias("property"))).alias("provenance"))
+    sinks.by_kind(rows.coalesce(1), f"{tmp_path}/k", rows_per_file=10)
+    assert spark.read.parquet(f"{tmp_path}/k").where("kind = 'road'").count() == 25 and len(list((tmp_path / "k" / "kind=road").glob("*.parquet"))) == 3
+    sinks.provenance(rows, f"{tmp_path}/p")
+    assert spark.read.parquet(f"{tmp_path}/p").columns == ["feature", "property"]
+    sinks.json_lines(rows, f"{tmp_path}/j", gzip=True)
+    assert spark.read.json(f"{tmp_path}/j").count() == 50
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    from cartolith.streaming.banded import first_rows
+
+    batches = [[(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:10:00")], [(1, "2024-01-01 00:01:00"), (3, "2024-01-01 03:00:00")], [(2, "2024-01-01 00:12:00"), (4, "2024-01-01 03:01:00")]]
+    schema = "id long, ts timestamp"
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, "id long, ts string").select("id", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if i == 0:
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+            q = first_rows(stream, ["id"], "ts", "1 hour").writeStream.outputMode("append").format("memory").queryName("firsts").option("checkpointLocation", f"{tmp_path}/ck").start()
+        q.processAllAvailable()
+    q.stop()
+    # the repeat of 1 is a duplicate, that of 2 comes after its time has passed
+    assert sorted(r.id for r in spark.table("firsts").collect()) == [1, 2, 3, 4]
