@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.functions import geometry, hours, taxonomy, text
-from cartolith.operators import audit, geocode, joins, osm, resolve, search, tiles
+from cartolith.operators import audit, geocode, graph, joins, osm, resolve, search, tiles
 from cartolith.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -610,3 +610,15 @@ def tile_plan(spark, d):
     p = points_a(spark, d).where("id % 3 > 0").select(F.floor(F.col("x") / 8192).alias("col"), F.floor(F.col("z") / 8192).alias("row")).distinct()
     t = p.select(F.lit(1).alias("lod"), tiles.tile_id(1).alias("tile_id"), (F.col("col") * 8192.0).alias("x0"), (F.col("row") * 8192.0).alias("z0")).withColumn("x1", F.col("x0") + 8192).withColumn("z1", F.col("z0") + 8192)
     return tiles.planned(t, (-9000.0, -15000.0, 20000.0, 5000.0), 0, 12).select("tile_id")
+
+
+@query(f"""
+with recursive b as (select id, kind, x x0, z z0, x + (id % 7) * 150 x1, z + (id % 5) * 120 z1 from {A_SQL}),
+e as (select a.id a, c.id b from b a join b c on a.kind = c.kind and a.id <> c.id
+ where pow(greatest(0, c.x0 - a.x1, a.x0 - c.x1), 2) + pow(greatest(0, c.z0 - a.z1, a.z0 - c.z1), 2) < 2250000),
+r(x, y) as (select a, b from e union select r.x, e.b from r join e on r.y = e.a)
+select b.id box_id, least(b.id, coalesce(min(r.y), b.id)) as "cluster" from b left join r on r.x = b.id group by b.id""")
+def name_clusters(spark, d):
+    p = points_a(spark, d)
+    b = p.select(F.col("id").alias("box_id"), F.col("kind").alias("name"), F.col("x").alias("x0"), F.col("z").alias("z0"), (F.col("x") + F.col("id") % 7 * 150).alias("x1"), (F.col("z") + F.col("id") % 5 * 120).alias("z1"))
+    return graph.clusters(b, 1500)
