@@ -22,6 +22,10 @@ GENERIC_WORDS = ("sarl", "sas", "sasu", "eurl", "sa", "sci", "snc", "et", "de",
 # fixed values: road number prefixes
 ROAD_PREFIXES = ("n", "d", "a", "rn", "rd", "c", "vc", "cr", "e")
 
+# fixed values: patterns of labels
+CUT_PARENTHESIS, LOOSE_ENDS = r"\s*\([^)]*$", r"^[\s\-–—,;:/_]+|[\s\-–—,;:/_]+$"
+ROAD_NUMBER = "[0-9]{1,4}[a-z]?"
+
 
 def _accents() -> tuple[str, str]:
     """Lower-case Latin letters with a mark, and their bases."""
@@ -51,8 +55,8 @@ def tokens(c: Column) -> Column:
 
 def search_tokens(c: Column) -> Column:
     """Tokens with road numbers joined, abbreviations spelled out, and stop words left out unless all are."""
-    joined = F.regexp_replace(F.concat(F.lit(" "), fold_text(c), F.lit(" ")), rf"(?<= )({'|'.join(ROAD_PREFIXES)}) (?=[0-9]{{1,4}}[a-z]? )", "$1")
-    short = F.regexp_replace(joined, r"(?<= )r([nd])(?=[0-9]{1,4}[a-z]? )", "$1")
+    joined = F.regexp_replace(F.concat(F.lit(" "), fold_text(c), F.lit(" ")), rf"(?<= )({'|'.join(ROAD_PREFIXES)}) (?={ROAD_NUMBER} )", "$1")
+    short = F.regexp_replace(joined, rf"(?<= )r([nd])(?={ROAD_NUMBER} )", "$1")
     words = F.filter(F.split(short, " "), lambda w: w != "")
     names = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
     spelled = F.flatten(F.transform(words, lambda w: F.split(F.coalesce(names[w], w), " ")))
@@ -89,8 +93,8 @@ def allowed_edits(length: Column) -> Column:
 
 def tidy_label(c: Column) -> Column:
     """Without a parenthesis cut off midway and without separators at the ends."""
-    cut = F.regexp_replace(c, r"\s*\([^)]*$", "")
-    bare = F.trim(F.regexp_replace(F.regexp_replace(cut, r"^[\s\-–—,;:/_]+|[\s\-–—,;:/_]+$", ""), r"\s+", " "))
+    cut = F.regexp_replace(c, CUT_PARENTHESIS, "")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(cut, LOOSE_ENDS, ""), r"\s+", " "))
     return F.when(bare == "", F.trim(c)).otherwise(bare)
 
 

@@ -10,6 +10,13 @@ from cartolith.functions import taxonomy, text
 # fixed values: weight of the field a token was found in
 FIELD_WEIGHT = {"name": 1.0, "alias": 0.9, "street": 0.72, "commune": 0.78, "code": 0.85, "category": 0.6, "number": 1.0}
 
+# fixed values: qualities of a word that a query word may stand for
+EXACT, VARIANT, ONE_EDIT, TWO_EDITS, TYPED_EDIT = 1.0, 0.93, 0.62, 0.45, 0.5
+LAST_PREFIX, INNER_PREFIX = (0.68, 0.22), (0.5, 0.2)
+# fixed values: parts of a score
+TEXT, COVERAGE, WHOLE_NAME, MISS, NEARNESS, NEARNESS_METRES = 1000, 300, 220.0, 380, 180, 15000
+CATEGORY_BONUS, STOP_PENALTY, BRAND_SHARE, SAME_PLACE_METRES = 240.0, 400.0, 0.3, 150.0
+
 
 def postings(records: DataFrame, fields: list[str]) -> DataFrame:
     """record_id, token, field, weight: the best field of each token of a record. Spread or partition by token to serve."""
@@ -25,16 +32,17 @@ def expand(vocabulary: DataFrame, token: str, last: bool) -> DataFrame:
     numeric, n = token.isdigit(), len(token)
     edits = 0 if numeric else 0 if n < 4 else 1 if n < 7 else 2
     ratio = F.lit(float(n)) / F.length(w)
-    options = [F.when(w == t, 1.0), F.when(F.array_contains(text.token_variants(t), w), 0.93)]
+    options = [F.when(w == t, EXACT), F.when(F.array_contains(text.token_variants(t), w), VARIANT)]
+    base, gain = LAST_PREFIX if last else INNER_PREFIX
     if n >= 3 or (last and not numeric):
-        options.append(F.when(w.startswith(token) & (w != t), (0.68 + ratio * 0.22) if last else (0.5 + ratio * 0.2)))
+        options.append(F.when(w.startswith(token) & (w != t), base + ratio * gain))
     if edits:
         gate = (F.substring(w, 1, 1) == token[0]) | ((F.substring(w, 1, 1) == token[1:2]) & (F.substring(w, 2, 1) == token[0]))
         d = text.bounded_edits(w, t, edits)
-        options.append(F.when(F.length(w).between(n - edits, n + edits) & gate & (d > 0), F.when(d == 1, 0.62).when(d <= edits, 0.45)))
+        options.append(F.when(F.length(w).between(n - edits, n + edits) & gate & (d > 0), F.when(d == 1, ONE_EDIT).when(d <= edits, TWO_EDITS)))
         if last and n >= 5:
             typed = F.substring(w, F.lit(1), F.lit(n))
-            options.append(F.when((F.length(w) > n) & (F.substring(w, 1, 1) == token[0]) & (text.bounded_edits(typed, t, 1) == 1), 0.5))
+            options.append(F.when((F.length(w) > n) & (F.substring(w, 1, 1) == token[0]) & (text.bounded_edits(typed, t, 1) == 1), TYPED_EDIT))
     quality = F.greatest(*options) if len(options) > 1 else options[0]
     return vocabulary.select("token", quality.alias("quality")).where("quality is not null")
 
@@ -60,9 +68,10 @@ def search(records: DataFrame, index: DataFrame, query: str, near: tuple[float,
     mine = text.search_tokens(F.col("name"))
     size = F.size(F.array_distinct(mine))
     cover = F.when(size > 0, F.least(F.lit(1.0), F.col("named") / size)).otherwise(0.0)
-    score = F.col("sum") / len(words) * 1000 + cover * 300 + F.when(F.array_join(mine, " ") == " ".join(words), 220.0).otherwise(0.0) + F.col("boost") - (len(words) - F.col("n")) * 380
+    whole = F.when(F.array_join(mine, " ") == " ".join(words), WHOLE_NAME).otherwise(0.0)
+    score = F.col("sum") / len(words) * TEXT + cover * COVERAGE + whole + F.col("boost") - (len(words) - F.col("n")) * MISS
     if near:
-        score = score + F.exp(-F.hypot(F.col("x") - near[0], F.col("z") - near[1]) / 15000) * 180
+        score = score + F.exp(-F.hypot(F.col("x") - near[0], F.col("z") - near[1]) / NEARNESS_METRES) * NEARNESS
     return d.select("record_id", score.alias("score"), "name").orderBy(F.desc("score"), "name", "record_id").limit(limit).select("record_id", "score")
 
 
@@ -99,7 +108,7 @@ def browse_category(records: DataFrame, category: str, near: tuple[float, float]
     return shown.orderBy("metres", "name", "record_id").limit(limit).select("record_id", score.cast("double").alias("score"), F.col("metres"))
 
 
-def distinct_hits(hits: DataFrame, limit: int, radius: float = 150.0) -> DataFrame:
+def distinct_hits(hits: DataFrame, limit: int, radius: float = SAME_PLACE_METRES) -> DataFrame:
     """The first limit hits (record_id, name, x, z, score, best first), leaving out any that is near a kept one of the
     same folded name. Only a few times limit rows, the best ones, are looked at, in one small group."""
     top = hits.withColumn("key", text.fold_text(F.col("name"))).orderBy(F.desc("score"), "name", "record_id").limit(8 * limit)
@@ -111,14 +120,14 @@ def distinct_hits(hits: DataFrame, limit: int, radius: float = 150.0) -> DataFra
     return flat.select("h.record_id", "h.name", "h.x", "h.z", (-F.col("h.rank")).alias("score"))
 
 
-def with_category(hits: DataFrame, wanted: tuple[str, ...], bonus: float = 240.0, stop_penalty: float = 400.0) -> DataFrame:
+def with_category(hits: DataFrame, wanted: tuple[str, ...], bonus: float = CATEGORY_BONUS, stop_penalty: float = STOP_PENALTY) -> DataFrame:
     """Hits of a wanted category gain, stops that take the name of what they serve lose."""
     families = {c for w in wanted for c in taxonomy.FAMILIES.get(w, (w,))}
     change = F.when(F.col("category").isin(*families), bonus).when(F.col("category") == "bus_stop", -stop_penalty).otherwise(0.0)
     return hits.withColumn("score", F.col("score") + change)
 
 
-def merged_category(hits: DataFrame, members: DataFrame, near: tuple[float, float] | None, words: int, share: float = 0.3) -> DataFrame:
+def merged_category(hits: DataFrame, members: DataFrame, near: tuple[float, float] | None, words: int, share: float = BRAND_SHARE) -> DataFrame:
     """A category browse with the hits of the query's words: record_id, score.
 
     hits: record_id, exact, named, category, boost; members: record_id, boost, x, z of the category. Whole-name
