@@ -1,57 +1,16 @@
-"""What the pipeline operators share: tables in the shared folder, word counts, match positions."""
+"""What the pipeline operators share: word counts, and values computed once."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: One word: anything but space and 0x09-0x0D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="cartolith-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
+from cartolith.plans.tables import discard, freed_shuffles, materialise, shared_dir
 
-@contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Within it, a query's shuffle files go as soon as it has ended."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, before)
+__all__ = ["WORD", "discard", "freed_shuffles", "let", "materialise", "n_words", "shared_dir", "table"]
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut, and a lost
-    executor costs no recomputation. Shuffle files of the job that wrote it are freed."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with freed_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialise() wrote and that nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+#: One word: anything but space and 0x09-0x0D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def let(value: Column, use) -> Column:

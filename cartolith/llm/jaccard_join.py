@@ -31,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.operators.graph import components
+
 from .common import discard, materialise
-from .components import components
 from .textnum import Words, mix, windows, words_of
 
 TABLE_BITS, PARTS = 20, 64

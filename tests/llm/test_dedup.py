@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 
 from cartolith.llm import substring_dedup as sd
-from cartolith.llm.components import components
+from cartolith.operators.graph import components
 from cartolith.llm.jaccard_join import jaccard_components, one_of_each, spare
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
