@@ -12,11 +12,12 @@ let l(n) = floor((1-t) n), and let the prefix have 2 l(n) + 1 shingles in hash o
 at least l(the smaller n) + 1 of them; each leaves out l(ceil(t n)) at most, and no partner has
 fewer than ceil(t n) shingles, so the rarest shared one stays on both sides.
 
-Inside a region the join recurses with documents as pivots. Each pivot meets every other document of its
-region that is not known to be connected with it; two documents whose distances to an earlier pivot
-differ by more than 1 - t cannot link, and a region whose documents are all connected is closed. Every turn
-takes more pivots a region (8 times as many), until all regions are closed. Copies of a set are one
-node, so a group of n near copies costs about n pairs.
+Inside a region the join goes on with documents. Its pivot, the document that lies in most regions, meets every
+other one; those within 1 - t of it are connected. Regions with one pivot then form its cell. What is
+left in a cell, pairs that are not connected yet, is taken block by block: two documents whose distances to the pivot differ by more than 1 - t cannot link, nor
+can two whose numbers of shingles in SKETCH slots differ too much. Only pairs that pass these bounds become
+rows, and their sets decide. Copies of a set are one node, so a group of n near copies of one document
+costs about n pairs; documents of a group that are not connected with it are compared by their sketches.
 
 Sets are keyed by 64-bit hashes. A document without words links with nothing. Null ids have no component.
 Rows that share an id count as documents of their own.
@@ -24,6 +25,7 @@ Rows that share an id count as documents of their own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from cartolith.operators.graph import components
 from .common import discard, materialise
 from .textnum import Words, mix, windows, words_of
 
-TABLE_BITS, PARTS = 20, 64
+TABLE_BITS, PARTS, SKETCH, BLOCK = 20, 64, 64, 1024
 _COEFFICIENTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -78,12 +80,14 @@ def _slot(codes: np.ndarray) -> np.ndarray:
 def _keys(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n = [], []
+            node, n, sketch = [], [], []
             for words in words_of(batch.column("text"), lower=True):
                 for codes in shingle_sets(words, size):
                     node.append(set_key(codes))
                     n.append(len(codes))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(node, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "row_key", "node", "n"])
+                    slots = np.bincount((codes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                    sketch.append(np.minimum(slots, 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "row_key", "node", "n", "sketch"])
 
     return run
 
@@ -162,50 +166,127 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "both"])
 
 
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int64) for c in ("sketch_a", "sketch_b"))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(np.abs(x - y).sum(axis=1))], names=["a", "b", "na", "nb", "apart"])
+
+
+def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds apart, a lower bound of the symmetric difference, to pairs of a, b, na, nb; nodes: node, sketch."""
+    rows = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    return rows.mapInArrow(_apart, "a long, b long, na long, nb long, apart long")
+
+
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Adds both (shared shingles) and far (distance) and link to distinct pairs of a, b, na, nb."""
+    """Adds both (shared shingles), far (distance) and link to distinct pairs of a, b, na, nb."""
     rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("codes_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("codes").alias("codes_b")), "b")
     d = rows.select("a", "b", "na", "nb", "codes_a", "codes_b").mapInArrow(_overlap, "a long, b long, na long, nb long, both long")
     union = F.col("na") + F.col("nb") - F.col("both")
     return d.withColumn("far", 1 - F.col("both") / union).withColumn("link", 100 * F.col("both") >= percent * union)
 
 
-def linked(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect the same nodes as all links do; regions: token, node, n."""
-    reach = 1 - percent / 100
+def with_partners(regions: DataFrame, percent: int) -> DataFrame:
+    """Rows that have another node of linkable size in their region. Sizes are cut into classes whose bounds
+    differ by the factor t, each taken together with the next."""
+    # a little wider than t asks for, so that rounding never puts linkable sizes two classes apart
+    level = F.floor(F.log(F.col("n").cast("double")) / (-math.log(percent / 100) * (1 + 1e-6)))
+    d = regions.withColumn("span", F.explode(F.array(level, level - 1)))
+    full = d.groupBy("token", "span").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token", "span")
+    return d.join(full, ["token", "span"], "left_semi").select("token", "node", "n").distinct()
+
+
+def _survivors(rows: pa.Table, percent: int, same: bool) -> tuple[np.ndarray, ...]:
+    """a, b, na, nb of the pairs between the two sides of a block that may link and are not yet connected."""
+    get = lambda c: rows.column(c).to_numpy()
+    node, n, comp, low, high, side = (get(c) for c in ("node", "n", "comp", "low", "high", "side"))
+    left, right = (np.arange(len(node)), np.arange(len(node))) if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    x, y = left[:, None], right[None, :]
+    reach = 1 - percent / 100 + 1e-9
+    may = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+    may &= (low[x] - high[y] <= reach) & (low[y] - high[x] <= reach)
+    if same:
+        may &= x < y
+    k, l = np.nonzero(may)
+    k, l = left[k], right[l]
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16)
+    keep = np.zeros(len(k), dtype=bool)
+    for at in range(0, len(k), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        apart = np.abs(sketch[k[part]] - sketch[l[part]]).sum(axis=1, dtype=np.int64)
+        total = n[k[part]] + n[l[part]]
+        keep[part] = 100 * (total - apart) >= percent * (total + apart)
+    k, l = k[keep], l[keep]
+    return node[k], node[l], n[k], n[l]
+
+
+def _blocks(percent: int):
+    """Over rows sorted by token, i, j: the surviving pairs of each block; a block may run across batches."""
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = [table.column(c).to_numpy() for c in ("token", "i", "j")]
+        new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        found = [_survivors(table.slice(a, b - a), percent, bool(keys[1][a] == keys[2][a])) for a, b in zip([0, *new.tolist()], [*new.tolist(), len(table)])]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in range(4)], names=["a", "b", "na", "nb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            keys = [rest.column(c).to_numpy() for c in ("token", "i", "j")]
+            whole = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+            if len(whole):
+                yield from pairs(rest.slice(0, int(whole[-1]) + 1))
+                rest = rest.slice(int(whole[-1]) + 1).combine_chunks()
+        if rest is not None and len(rest):
+            yield from pairs(rest)
+
+    return run
+
+
+def surviving_pairs(regions: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a, b, na, nb of a region that may link. Regions are cut into blocks of about BLOCK nodes by a
+    hash, and blocks meet two at a time, so a task never holds a whole region and only pairs that pass
+    every bound become rows."""
+    sizes = regions.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+    d = regions.join(nodes.select("node", "sketch"), "node").join(sizes, "token").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    d = d.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "comp", "low", "high", "sketch")
+    dealt = d.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.mapInArrow(_blocks(percent), "a long, b long, na long, nb long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+
+
+def linked(regions: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, comp) of the nodes that have links; regions: token, node, n; nodes: node, sketch; sets: node, codes."""
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    links, turn, near = None, 0, None
-    regions = regions.withColumn("comp", F.col("node")).withColumn("low", F.lit(0.0)).withColumn("high", F.lit(1.0))
-    while True:
-        lane = F.pmod(F.xxhash64("node"), F.lit(8**turn))
-        # pivots come from the components with the largest labels: stragglers rather than a large group
-        pick = F.min_by if turn == 0 else F.max_by
-        key = F.struct("node") if turn == 0 else F.struct("comp", "node")
-        pivots = regions.groupBy("token", lane.alias("lane")).agg(pick(F.struct("node", "n", "comp", "low", "high"), key).alias("p")).select("token", F.col("p.node").alias("b"), F.col("p.n").alias("nb"), F.col("p.comp").alias("comp_b"), F.col("p.low").alias("low_b"), F.col("p.high").alias("high_b"))
-        pivots = materialise(pivots, "op5-pivots")
-        met = regions.join(pivots, "token").withColumnsRenamed({"node": "a", "n": "na"}).where("comp <> comp_b and a <> b")
-        met = met.where((F.col("low") - F.col("high_b") <= reach + 1e-9) & (F.col("low_b") - F.col("high") <= reach + 1e-9))
-        pairs = met.where(fits).select("a", "b", "na", "nb").distinct()
-        found = materialise(measured(pairs, sets, percent), "op5-pairs")
-        new = found.where("link").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        comps = components(links)
-        left = regions.join(pivots.select("token", F.col("b").alias("node")), ["token", "node"], "left_anti").drop("comp")
-        left = left.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if turn == 0:  # the distance to the first pivot, or what the sizes say of it
-            left = left.drop("low", "high").join(pivots.select("token", "b", "nb"), "token")
-            left = left.join(found.select(F.col("a").alias("node"), "b", "far"), ["node", "b"], "left")
-            size_gap = 1 - F.least("n", "nb") / F.greatest("n", "nb")
-            left = left.select("token", "node", "n", "comp", F.coalesce("far", size_gap).alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"))
-        open_ = left.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
-        before = regions
-        regions = materialise(left.join(open_, "token", "left_semi").select("token", "node", "n", "comp", "low", "high"), "op5-regions")
-        if turn:
-            discard(before)
-        discard(pivots)
-        turn += 1
-        if not regions.limit(1).count():
-            return links
+    total = F.col("na") + F.col("nb")
+    # the pivot of a region is its node that lies in most regions: of near copies, the one the others come from
+    degree = regions.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    pivots = regions.join(degree, "node").groupBy("token").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("p"))
+    pivots = materialise(pivots.select("token", F.col("p.node").alias("b"), F.col("p.n").alias("nb")), "op5-pivots")
+    met = regions.join(pivots, "token").withColumnsRenamed({"node": "a", "n": "na"}).where("a <> b")
+    pairs = materialise(bounded(met.where(fits).select("a", "b", "na", "nb").distinct(), nodes), "op5-pairs")
+    close = pairs.where(100 * (total - F.col("apart")) >= percent * (total + F.col("apart"))).drop("apart")
+    found = materialise(measured(close, sets, percent), "op5-found")
+    links = found.where("link").select("a", "b")
+    comps = components(links)
+    # what is known of the distance to the pivot: itself, or a bound from the sketches or the sizes
+    least = 1 - (total - F.col("apart")) / (total + F.col("apart"))
+    known = pairs.select("a", "b", least.alias("least")).join(found.select("a", "b", "far"), ["a", "b"], "left").withColumnRenamed("a", "node")
+    left = regions.join(pivots, "token").where("node <> b").join(known, ["node", "b"], "left").join(comps, "node", "left")
+    size_gap = 1 - F.least("n", "nb") / F.greatest("n", "nb")
+    # from here on a region is the cell of a pivot: the shingle regions that chose it become one
+    left = left.select(F.col("b").alias("token"), "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("far", "least", size_gap).alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"))
+    left = materialise(left.distinct(), "op5-regions")
+    open_ = left.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
+    pairs = materialise(surviving_pairs(left.join(open_, "token", "left_semi"), nodes, percent), "op5-pairs")
+    more = materialise(measured(pairs, sets, percent).where("link").select("a", "b"), "op5-found")
+    discard(left, pivots)
+    return components(more.union(comps.select("node", "comp"))) if more.limit(1).count() else comps
 
 
 def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -214,23 +295,24 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -
     Two documents link if 100 * intersection >= percent * union of their sets of shingles of size words."""
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
     sound = docs.where("doc_id is not null and text is not null")
-    keys = materialise(docs.mapInArrow(_keys(size), "doc_id long, row_key long, node long, n long"), "op5-keys")
+    keys = materialise(docs.mapInArrow(_keys(size), "doc_id long, row_key long, node long, n long, sketch binary"), "op5-keys")
     common = documents.sparkSession.sparkContext.broadcast(commonness(sound, size, percent))
     tokens = sound.mapInArrow(_tokens(size, percent, common), "token long, node long, n long")
     shared = tokens.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
-    regions = materialise(tokens.join(shared, "token").distinct(), "op5-regions")
-    firsts = keys.where("doc_id is not null and n > 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "row_key"), F.struct("doc_id", "row_key")).alias("r"))
-    firsts = materialise(firsts.select("node", "r.doc_id", "r.row_key"), "op5-nodes")
-    wanted = firsts.join(regions.select("node").distinct(), "node", "left_semi")
+    wide = materialise(tokens.join(shared, "token").distinct(), "op5-regions")
+    regions = materialise(with_partners(wide, percent), "op5-regions")
+    firsts = keys.where("doc_id is not null and n > 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "row_key", "sketch"), F.struct("doc_id", "row_key")).alias("r"))
+    firsts = materialise(firsts.select("node", "r.doc_id", "r.row_key", "r.sketch"), "op5-nodes")
+    wanted = firsts.join(regions.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "row_key")
     # rows equal in id and text give equal sets: one is enough
     texts = sound.join(wanted, ["doc_id", "row_key"]).select("node", "text")
-    sets = materialise(texts.mapInArrow(_sets(size), "node long, codes binary").groupBy("node").agg(F.first("codes").alias("codes")), "op5-sets")
-    comps = components(linked(regions, sets, percent)).join(firsts.select("node", "doc_id"), "node")
+    sets = materialise(texts.mapInArrow(_sets(size), "node long, codes binary").dropDuplicates(["node"]), "op5-sets")
+    comps = linked(regions, firsts.select("node", "sketch"), sets, percent).join(firsts.select("node", "doc_id"), "node")
     smallest = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = comps.join(smallest, "comp").select("node", "component_id")
     ids = materialise(firsts.join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "op5-components")
-    discard(regions, sets)
-    out = keys.join(ids, "node", "left")
+    discard(wide, regions, sets)
+    out = keys.drop("sketch").join(ids, "node", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), "row_key")
 
