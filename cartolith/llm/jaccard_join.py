@@ -38,7 +38,7 @@ from cartolith.operators.graph import components
 from .common import discard, materialise
 from .textnum import Words, mix, windows, words_of
 
-TABLE_BITS, PARTS, SKETCH, BLOCK = 20, 64, 64, 1024
+TABLE_BITS, PARTS, SKETCH, BLOCK = 20, 64, 512, 1024
 _COEFFICIENTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -211,8 +211,8 @@ def _survivors(rows: pa.Table, percent: int, same: bool) -> tuple[np.ndarray, ..
     k, l = left[k], right[l]
     sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16)
     keep = np.zeros(len(k), dtype=bool)
-    for at in range(0, len(k), 1 << 16):
-        part = slice(at, at + (1 << 16))
+    for at in range(0, len(k), 1 << 13):
+        part = slice(at, at + (1 << 13))
         apart = np.abs(sketch[k[part]] - sketch[l[part]]).sum(axis=1, dtype=np.int64)
         total = n[k[part]] + n[l[part]]
         keep[part] = 100 * (total - apart) >= percent * (total + apart)
