@@ -13,7 +13,7 @@ from .fingerprints import edited_likeness
 from .jaccard_join import jaccard_components
 from .mixing import mix
 from .pii import pii
-from .quality import quality
+from .quality import judged
 from .secret_scan import secret_scan
 from .substring_dedup import substring_dedup
 from .url_filter import url_filter
@@ -49,7 +49,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
