@@ -5,7 +5,7 @@ record. Files hold about ``file_bytes``, so a task reads one whole. Of records w
 or more, the one with the smallest page_id is the response, the others are revisits without a payload.
 
 To read, tasks emit for every magic string in a file, also those inside payloads, the offset where its
-record would end. Those offset pairs form chains; pointer jumping from offset 0 doubles the distance in
+record would end; its header runs to the next blank line, however far that is. Those offset pairs form chains; pointer jumping from offset 0 doubles the distance in
 each turn and keeps the records that the start of their file reaches, whatever payloads hold.
 
 A null html is an empty payload, a null url an empty one. Repeated rows give repeated records; rows that
@@ -28,8 +28,6 @@ from .common import freed_shuffles, materialise, shared_dir
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 REVISIT_BYTES = 100
-#: Headers longer than this are not headers.
-HEADER_BYTES = 1 << 16
 
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = 16 << 20, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -59,9 +57,15 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = 16 << 20, date
         records.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
-def _fields(header: bytes) -> dict[str, str]:
-    lines = header.decode("utf-8", "replace").split("\r\n")[1:]
-    return {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+def _fields(data: bytes, at: int, stop: int) -> dict[str, tuple[int, str]]:
+    """Where the last line of each name begins, and its value, after the first line of a header."""
+    fields, line = {}, data.find(b"\r\n", at, stop)
+    while line >= 0:
+        end = data.find(b"\r\n", line + 2, stop)
+        name, _, value = data[line + 2 : end if end >= 0 else stop].decode("utf-8", "replace").partition(":")
+        fields[name.strip().lower()] = line + 2, value.strip()
+        line = end
+    return fields
 
 
 def _page(value: str | None) -> int | None:
@@ -76,17 +80,24 @@ def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
             data, rows = gzip.decompress(content.as_py()), []
-            at = data.find(MAGIC)
+            at, stop = data.find(MAGIC), -1
             while at >= 0:
-                stop = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-                head = _fields(data[at:stop]) if stop >= 0 else {}
+                # magic strings before the same blank line share its lines: those that follow each one are its header
+                if stop < at:
+                    stop, whole = data.find(b"\r\n\r\n", at), ""
+                    if stop < 0:
+                        break
+                    fields = _fields(data, at, stop)
+                names_here = ("content-length", "warc-type", "x-payload-length", "warc-payload-digest", "warc-record-id", "warc-refers-to")
+                head = {k: fields[k][1] for k in names_here if k in fields and fields[k][0] > at}
                 size = head.get("content-length", "")
                 begin = stop + 4
                 if size.isdigit() and data[begin + int(size) : begin + int(size) + 4] == b"\r\n\r\n":
                     kind, said = head.get("warc-type"), head.get("x-payload-length", "")
                     digest, length = head.get("warc-payload-digest", "").removeprefix("sha256:"), int(said) if said.isdigit() else None
                     if kind == "response":
-                        digest, length = hashlib.sha256(data[begin : begin + int(size)]).hexdigest(), int(size)
+                        whole = whole or hashlib.sha256(data[begin : begin + int(size)]).hexdigest()
+                        digest, length = whole, int(size)
                     rows.append((path, at, begin + int(size) + 4, _page(head.get("warc-record-id")), kind, length, digest, _page(head.get("warc-refers-to"))))
                 at = data.find(MAGIC, at + 1)
             columns = list(zip(*rows)) or [()] * len(names)

@@ -30,6 +30,12 @@ def test_round_trip(spark, tmp_path):
     assert read_archives(spark, f"{tmp_path}/a").count() == 3
 
 
+def test_long_url(spark):
+    rows = [(1, "http://h/1", "first"), (2, "http://h/" + "u" * 100_000, "é" * 60), (3, "http://h/WARC/1.1", FAKE), (4, "http://h/4", "xWARC/1.1\r\n" * 20_000), (5, "http://h/5", "last")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert sorted((tuple(r) for r in round_trip(pages).collect()), key=str) == brute(rows)
+
+
 def test_empty(spark):
     assert round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
