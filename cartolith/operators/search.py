@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cartolith.functions import taxonomy, text
 
@@ -110,14 +113,31 @@ def browse_category(records: DataFrame, category: str, near: tuple[float, float]
 
 def distinct_hits(hits: DataFrame, limit: int, radius: float = SAME_PLACE_METRES) -> DataFrame:
     """The first limit hits (record_id, name, x, z, score, best first), leaving out any that is near a kept one of the
-    same folded name. Only a few times limit rows, the best ones, are looked at, in one small group."""
-    top = hits.withColumn("key", text.fold_text(F.col("name"))).orderBy(F.desc("score"), "name", "record_id").limit(8 * limit)
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "name", "record_id", "key", "x", "z")))
-    near = lambda a, b: (a["key"] == b["key"]) & (F.hypot(a["x"] - b["x"], a["z"] - b["z"]) < radius)
-    first = F.slice("all", 1, 1)
-    kept = F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), first, lambda have, hit: F.when(F.exists(have, lambda k: near(k, hit)), have).otherwise(F.concat(have, F.array(hit))))
-    flat = top.groupBy().agg(listed.alias("all")).select(F.explode(F.slice(kept, 1, limit)).alias("h"))
-    return flat.select("h.record_id", "h.name", "h.x", "h.z", (-F.col("h.rank")).alias("score"))
+    same folded name. The driver looks at a few times limit rows at a time, the best ones that no kept hit rules out, until
+    limit hits are kept or the rows are used up."""
+    columns = ["record_id", "name", "x", "z", "score"]
+    order = ["rank", "name", "record_id", "x", "z"]
+    d = hits.select(*columns).withColumn("key", text.fold_text(F.col("name"))).withColumn("rank", F.coalesce(-F.col("score").cast("double"), F.lit(float("inf"))))
+    types, kept, rest = {f.name: f.dataType for f in d.schema}, [], d
+    while len(kept) < limit:
+        top = rest.orderBy(*order).limit(8 * limit).collect()
+        for hit in top:
+            if len(kept) < limit and not any(_near(hit, k, radius) for k in kept):
+                kept.append(hit)
+        if len(top) < 8 * limit:
+            break
+        # what comes after, without what the kept hits rule out
+        after = F.struct(*order) > F.struct(*[F.lit(top[-1][c]).cast(types[c]).alias(c) for c in order])
+        ruled = hits.sparkSession.createDataFrame([(k["key"], k["x"], k["z"]) for k in kept], StructType([StructField(n, types[c]) for n, c in (("_key", "key"), ("_x", "x"), ("_z", "z"))]))
+        near = (F.col("key") == F.col("_key")) & (F.hypot(F.col("x") - F.col("_x"), F.col("z") - F.col("_z")) < radius)
+        rest = d.where(after).join(F.broadcast(ruled), near, "left_anti")
+    return hits.sparkSession.createDataFrame([tuple(k[c] for c in columns) for k in kept], StructType([StructField(c, types[c]) for c in columns]))
+
+
+def _near(a, b, radius: float) -> bool:
+    if any(r[c] is None for r in (a, b) for c in ("key", "x", "z")):
+        return False
+    return a["key"] == b["key"] and math.hypot(a["x"] - b["x"], a["z"] - b["z"]) < radius
 
 
 def with_category(hits: DataFrame, wanted: tuple[str, ...], bonus: float = CATEGORY_BONUS, stop_penalty: float = STOP_PENALTY) -> DataFrame:
