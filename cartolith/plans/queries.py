@@ -218,7 +218,17 @@ h as (select distinct c_nationkey k, c_custkey % 200 f from customer),
 p as (select w.k, w.v number, w.k % 25 street, f, abs(w.v - f) + case when w.v % 2 = f % 2 then 0.0 else 0.5 end gap from w join h on h.k = w.k % 25)
 select k orderkey, number, street, f found, gap::double gap from (select *, row_number() over (partition by k, number, street order by gap, f) r from p where gap <= 10) where r = 1""")
 def nearest_number(spark, d):
-    w = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("orderkey"), (F.col("l_suppkey") % 100).alias("number"), (F.col("l_orderkey") % 25).alias("street"))
+    return _numbers(spark, d, table(spark, d, "lineitem").where("l_linenumber = 1"))
+
+
+@query()
+def nearest_number_whole(spark, d):
+    """Over all lines, each of which is a wanted number."""
+    return _numbers(spark, d, table(spark, d, "lineitem"), F.col("l_linenumber").alias("line"))
+
+
+def _numbers(spark, d, lines, *more):
+    w = lines.select(*more, F.col("l_orderkey").alias("orderkey"), (F.col("l_suppkey") % 100).alias("number"), (F.col("l_orderkey") % 25).alias("street"))
     k = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("street"), (F.col("c_custkey") % 200).alias("number"))
     return joins.nearest_number(w, k, ["street"])
 
@@ -514,8 +524,13 @@ _UNION = "select 'customer' feed, c_custkey id, c_name name from customer union
 
 @query(f"select feed, id, name from ({_UNION}) where id <= 500")
 def union_feeds(spark, d):
+    return union_feeds_whole(spark, d).where("id <= 500")
+
+
+@query()
+def union_feeds_whole(spark, d):
     pick = lambda t, k, n: table(spark, d, t).select(F.lit(t).alias("feed"), F.col(k).alias("id"), F.col(n).alias("name"))
-    return pick("customer", "c_custkey", "c_name").unionByName(pick("supplier", "s_suppkey", "s_name")).unionByName(pick("part", "p_partkey", "p_name")).where("id <= 500")
+    return pick("customer", "c_custkey", "c_name").unionByName(pick("supplier", "s_suppkey", "s_name")).unionByName(pick("part", "p_partkey", "p_name"))
 
 
 @query("""
@@ -562,7 +577,16 @@ g as (select way_id, count(*) n, count(n.node) k, (list(x order by pos, x))[1] f
 select way_id, n points from g where n = k""")
 def way_lines(spark, d):
     """Ways are the lines of orders, nodes the parts; ways with an unknown node are dropped."""
-    li = table(spark, d, "lineitem").where("l_orderkey % 50 = 0 or l_linenumber <= 2")
+    return _ways(spark, d, table(spark, d, "lineitem").where("l_orderkey % 50 = 0 or l_linenumber <= 2"))
+
+
+@query()
+def way_lines_whole(spark, d):
+    """Every line of an order is a node of its way."""
+    return _ways(spark, d, table(spark, d, "lineitem"))
+
+
+def _ways(spark, d, li):
     ways = li.groupBy(F.col("l_orderkey").alias("way_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("n")).select("way_id", F.transform("n", lambda v: v["l_partkey"]).alias("nodes"))
     nodes = table(spark, d, "part").where("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("node_id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
     return osm.way_lines(ways, nodes).select("way_id", F.size("line").cast("long").alias("points"))
@@ -607,7 +631,16 @@ def tile_manifest(spark, d):
 with t as (select distinct floor(x / 8192)::bigint c, floor(z / 8192)::bigint r from {A_SQL} where id % 3 > 0), b as (select 'l1_' || c || '_' || r tile_id, c * 8192.0 x0, r * 8192.0 z0 from t)
 select tile_id from b where x0 + 8192 > -9000 and x0 < 20000 and z0 + 8192 > -15000 and z0 < 5000 order by pow(x0 + 4096 - 5500, 2) + pow(z0 + 4096 + 5000, 2), tile_id limit 12""")
 def tile_plan(spark, d):
-    p = points_a(spark, d).where("id % 3 > 0").select(F.floor(F.col("x") / 8192).alias("col"), F.floor(F.col("z") / 8192).alias("row")).distinct()
+    return _plan(points_a(spark, d).where("id % 3 > 0"))
+
+
+@query()
+def tile_plan_whole(spark, d):
+    return _plan(points_a(spark, d))
+
+
+def _plan(points):
+    p = points.select(F.floor(F.col("x") / 8192).alias("col"), F.floor(F.col("z") / 8192).alias("row")).distinct()
     t = p.select(F.lit(1).alias("lod"), tiles.tile_id(1).alias("tile_id"), (F.col("col") * 8192.0).alias("x0"), (F.col("row") * 8192.0).alias("z0")).withColumn("x1", F.col("x0") + 8192).withColumn("z1", F.col("z0") + 8192)
     return tiles.planned(t, (-9000.0, -15000.0, 20000.0, 5000.0), 0, 12).select("tile_id")
 
