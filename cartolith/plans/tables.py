@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -9,12 +10,16 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SPLIT = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is configured."""
+    """The folder that driver and executors share; without one, a fresh local folder in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="cartolith-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -22,13 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def freed_shuffles(spark: SparkSession):
-    """Within it, a query's shuffle files go as soon as it has ended."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """Within it, a query's shuffle files go as soon as it has ended, and joins split hot keys even where that
+    costs another shuffle."""
+    before = {key: spark.conf.get(key, "false") for key in (CLEANUP, SPLIT)}
+    for key in before:
+        spark.conf.set(key, "true")
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
@@ -38,14 +46,31 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with freed_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in _open:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cartolith_path = path
+    return out
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that materialise() writes within it, at its end: for results that are written inside."""
+    _open.append(paths := [])
+    try:
+        yield
+    finally:
+        _open[:] = [other for other in _open if other is not paths]
+        for path in paths:
+            drop_folder(spark, path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialise() wrote and that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        drop_folder(df.sparkSession, df.cartolith_path)
