@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.plans.tables import discard, freed_shuffles, materialise, shared_dir
+from cartolith.plans.tables import discard, drop_folder, freed_shuffles, materialise, scratch, shared_dir
 
-__all__ = ["WORD", "discard", "freed_shuffles", "let", "materialise", "n_words", "shared_dir", "table"]
+__all__ = ["WORD", "discard", "drop_folder", "freed_shuffles", "let", "materialise", "n_words", "scratch", "shared_dir", "table"]
 
 #: One word: anything but space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -192,8 +192,11 @@ def with_partners(regions: DataFrame, percent: int) -> DataFrame:
     # a little wider than t asks for, so that rounding never puts linkable sizes two classes apart
     level = F.floor(F.log(F.col("n").cast("double")) / (-math.log(percent / 100) * (1 + 1e-6)))
     d = regions.withColumn("span", F.explode(F.array(level, level - 1)))
-    full = d.groupBy("token", "span").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token", "span")
-    return d.join(full, ["token", "span"], "left_semi").select("token", "node", "n").distinct()
+    # as in the other joins by token, the side with one row a key is a table, so that hot keys of the other can be split
+    full = materialise(d.groupBy("token", "span").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token", "span"), "op5-full")
+    out = materialise(d.join(full, ["token", "span"], "left_semi").select("token", "node", "n").distinct(), "op5-regions")
+    discard(full)
+    return out
 
 
 def _survivors(rows: pa.Table, percent: int, same: bool) -> tuple[np.ndarray, ...]:
@@ -251,17 +254,23 @@ def surviving_pairs(regions: DataFrame, nodes: DataFrame, percent: int) -> DataF
     """Distinct pairs a, b, na, nb of a region that may link. Regions are cut into blocks of about BLOCK nodes by a
     hash, and blocks meet two at a time, so a task never holds a whole region and only pairs that pass
     every bound become rows."""
-    sizes = regions.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = materialise(regions.groupBy("token").agg(F.count(F.lit(1)).alias("rows")), "op5-sizes")
     d = regions.join(nodes.select("node", "sketch"), "node").join(sizes, "token").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     d = d.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     d = d.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "comp", "low", "high", "sketch")
     dealt = d.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(_blocks(percent), "a long, b long, na long, nb long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+    found = dealt.mapInArrow(_blocks(percent), "a long, b long, na long, nb long")
+    in_order = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), in_order("na", "nb").alias("na"), in_order("nb", "na").alias("nb"))
+    out = materialise(pairs.distinct(), "op5-pairs")
+    discard(sizes)
+    return out
 
 
-def linked(regions: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, comp) of the nodes that have links; regions: token, node, n; nodes: node, sketch; sets: node, codes."""
+def linked(regions: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFrame:
+    """(node, comp) of the nodes that have links; regions: token, node, n; nodes: node, sketch; sets_of gives
+    (node, codes) of a table of nodes: only sets that some pair needs are ever made."""
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     total = F.col("na") + F.col("nb")
     # the pivot of a region is its node that lies in most regions: of near copies, the one the others come from
@@ -271,7 +280,7 @@ def linked(regions: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
     met = regions.join(pivots, "token").withColumnsRenamed({"node": "a", "n": "na"}).where("a <> b")
     pairs = materialise(bounded(met.where(fits).select("a", "b", "na", "nb").distinct(), nodes), "op5-pairs")
     close = pairs.where(100 * (total - F.col("apart")) >= percent * (total + F.col("apart"))).drop("apart")
-    found = materialise(measured(close, sets, percent), "op5-found")
+    found = settled(close, sets_of, percent)
     links = found.where("link").select("a", "b")
     comps = components(links)
     # what is known of the distance to the pivot: itself, or a bound from the sketches or the sizes
@@ -280,13 +289,25 @@ def linked(regions: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
     left = regions.join(pivots, "token").where("node <> b").join(known, ["node", "b"], "left").join(comps, "node", "left")
     size_gap = 1 - F.least("n", "nb") / F.greatest("n", "nb")
     # from here on a region is the cell of a pivot: the shingle regions that chose it become one
-    left = left.select(F.col("b").alias("token"), "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("far", "least", size_gap).alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"))
+    cell = (F.col("b").alias("token"), "node", "n", F.coalesce("comp", "node").alias("comp"))
+    left = left.select(*cell, F.coalesce("far", "least", size_gap).alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"))
     left = materialise(left.distinct(), "op5-regions")
     open_ = left.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
-    pairs = materialise(surviving_pairs(left.join(open_, "token", "left_semi"), nodes, percent), "op5-pairs")
-    more = materialise(measured(pairs, sets, percent).where("link").select("a", "b"), "op5-found")
-    discard(left, pivots)
-    return components(more.union(comps.select("node", "comp"))) if more.limit(1).count() else comps
+    open_ = materialise(open_, "op5-open")
+    rest = surviving_pairs(left.join(open_, "token", "left_semi"), nodes, percent)
+    more = settled(rest, sets_of, percent).where("link").select("a", "b")
+    out = components(more.union(comps.select("node", "comp"))) if more.limit(1).count() else comps
+    discard(left, pivots, pairs, open_, rest)
+    return out
+
+
+def settled(pairs: DataFrame, sets_of, percent: int) -> DataFrame:
+    """measured() of a table of pairs, as a table; the sets are made for it and deleted again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialise(sets_of(wanted), "op5-sets")
+    out = materialise(measured(pairs, sets, percent), "op5-found")
+    discard(sets)
+    return out
 
 
 def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -298,20 +319,24 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -
     keys = materialise(docs.mapInArrow(_keys(size), "doc_id long, row_key long, node long, n long, sketch binary"), "op5-keys")
     common = documents.sparkSession.sparkContext.broadcast(commonness(sound, size, percent))
     tokens = sound.mapInArrow(_tokens(size, percent, common), "token long, node long, n long")
-    shared = tokens.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
+    shared = materialise(tokens.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token"), "op5-shared")
     wide = materialise(tokens.join(shared, "token").distinct(), "op5-regions")
-    regions = materialise(with_partners(wide, percent), "op5-regions")
+    discard(shared)
+    regions = with_partners(wide, percent)
     firsts = keys.where("doc_id is not null and n > 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "row_key", "sketch"), F.struct("doc_id", "row_key")).alias("r"))
     firsts = materialise(firsts.select("node", "r.doc_id", "r.row_key", "r.sketch"), "op5-nodes")
-    wanted = firsts.join(regions.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "row_key")
-    # rows equal in id and text give equal sets: one is enough
-    texts = sound.join(wanted, ["doc_id", "row_key"]).select("node", "text")
-    sets = materialise(texts.mapInArrow(_sets(size), "node long, codes binary").dropDuplicates(["node"]), "op5-sets")
-    comps = linked(regions, firsts.select("node", "sketch"), sets, percent).join(firsts.select("node", "doc_id"), "node")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        where = materialise(firsts.join(nodes, "node", "left_semi").select("node", "doc_id", "row_key"), "op5-wanted")
+        # rows equal in id and text give equal sets: one is enough
+        texts = sound.join(where, ["doc_id", "row_key"]).select("node", "text")
+        return texts.mapInArrow(_sets(size), "node long, codes binary").dropDuplicates(["node"])
+
+    comps = linked(regions, firsts.select("node", "sketch"), sets_of, percent).join(firsts.select("node", "doc_id"), "node")
     smallest = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = comps.join(smallest, "comp").select("node", "component_id")
     ids = materialise(firsts.join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "op5-components")
-    discard(wide, regions, sets)
+    discard(wide, regions)
     out = keys.drop("sketch").join(ids, "node", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), "row_key")
@@ -320,15 +345,15 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -
 def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents with the smallest id of their component, all columns; of rows that share that id one.
 
-    Documents without words or id stay."""
+    Documents without words or id stay. Columns may have any name."""
     found = materialise(jaccard_components(documents, size, percent), "op5-rows").where("doc_id is not null and n_shingles > 0")
     key = ["doc_id", "row_key"]
     again = found.groupBy("doc_id").agg(F.min("row_key").alias("first_key"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     later = found.join(again, "doc_id").where("row_key <> first_key").select(*key)
-    gone = found.where("component_id < doc_id").select(*key).union(later).distinct().select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row"))
-    same = found.groupBy(*key).count().where("count > 1").select(*key).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("row_key") == F.col("_row")), "left_anti")
-    marks = materialise(gone.withColumn("_mark", F.lit("gone")).union(same.withColumn("_mark", F.lit("same"))), "op5-marks")
-    d = documents.withColumn("_key", F.xxhash64("text"))
-    d = d.join(marks, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
+    gone = found.where("component_id < doc_id").select(*key).union(later).distinct()
+    same = found.groupBy(*key).count().where("count > 1").select(*key).join(gone, key, "left_anti")
+    marks = materialise(gone.withColumn("mark", F.lit("gone")).union(same.withColumn("mark", F.lit("same"))), "op5-marks")
+    # the row travels as one column, beside which any name is free
+    d = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", F.xxhash64("text").alias("row_key")).join(marks, key, "left")
     # rows equal in id and text, few by nature, are settled apart
-    return d.where("_mark is null").unionByName(d.where("_mark = 'same'").dropDuplicates(["doc_id", "_key"])).select(*documents.columns)
+    return d.where("mark is null").unionByName(d.where("mark = 'same'").dropDuplicates(key)).select("row.*")
