@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPLIT = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _open: list[list[str]] = []
 
 
@@ -27,16 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def freed_shuffles(spark: SparkSession):
-    """Within it, a query's shuffle files go as soon as it has ended, and joins split hot keys even where that
-    costs another shuffle."""
-    before = {key: spark.conf.get(key, "false") for key in (CLEANUP, SPLIT)}
-    for key in before:
-        spark.conf.set(key, "true")
+    """Within it, a query's shuffle files go as soon as it has ended, joins split hot keys even where that
+    costs another shuffle, and Arrow batches are bounded in bytes."""
+    wanted = {CLEANUP: "true", SPLIT: "true", BATCH: str(32 << 20)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
