@@ -3,25 +3,29 @@
 Labelled page outcomes (good or bad) are counted by host, registered domain and public suffix. Each
 level shrinks towards the one above it: a beta prior whose mean is the parent's posterior mean and
 whose strength is fitted to all groups of the level by moments of the beta-binomial. A page passes if the lower
-bound of its host's posterior exceeds the threshold; a host without outcomes is judged by its domain,
-suffix, or the whole. Counting is partial before every shuffle, so a host with a third of all rows
-costs no more than another.
-
-A null url, or one without ``://``, has an empty host and path and is judged by the overall rate.
+quantile of its host's beta posterior reaches the threshold; a host without outcomes is judged by its domain,
+suffix, or the whole. Hosts are grouped without user, port and final dot. Counting is partial before every shuffle, and pages
+meet a table of one row a host, so a host with a third of all rows can be split.
+
+A null url, or one without ``://``, has an empty host and path and is judged by the overall rate, unless such pages have
+outcomes themselves. Urls are read whole, whatever their length. Without any outcome all hosts have the uniform prior.
+Repeated rows are judged alike; an empty table gives no rows; ties between rules of one length cannot fit one url.
+Columns beside those named are not read, so they may have any name.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import let, materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Second-level names under which domains are registered, as in co.uk.
-SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov", "edu")
+SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov", "edu", "or", "ne", "go", "gob", "gouv", "mil", "nom", "ltd", "plc", "sch", "asso", "info", "id", "art", "web", "firm", "adm", "jus")
 
 
 @dataclass(frozen=True)
@@ -49,6 +53,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def site_of(host: Column) -> Column:
+    """The host without user, port and final dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"(?::[0-9]*+)?\.?$|\.(?::[0-9]*+)$", "")
+
+
 def suffix_of(host: Column) -> Column:
     """The public suffix: the last label, or two where the last is a country under a generic second level."""
     two = F.regexp_extract(host, r"(?:^|\.)((?:" + "|".join(SECOND_LEVEL) + r")\.[a-z]{2})$", 1)
@@ -83,10 +92,49 @@ def _level(joined: DataFrame, key: str, floor: float = 2.0) -> DataFrame:
     return joined.select(key, (p * strength + F.col("good")).alias("a"), ((1 - p) * strength + n - F.col("good")).alias("b"))
 
 
+def _log_gamma(z: Column) -> Column:
+    """Stirling's series, eight steps above z."""
+    w = z + 8
+    series = (w - 0.5) * F.log(w) - w + 0.5 * math.log(2 * math.pi) + 1 / (w * 12) - 1 / (F.pow(w, 3) * 360) + 1 / (F.pow(w, 5) * 1260)
+    return series - sum((F.log(z + k) for k in range(1, 8)), F.log(z))
+
+
+def _fraction(x: Column, a: Column, b: Column) -> Column:
+    """The continued fraction of the incomplete beta function, by Lentz's method; in the order of sqrt(a + b) steps."""
+
+    def turn(s: Column, part: Column) -> Column:
+        d, c = 1 / (part * s["d"] + 1), part / s["c"] + 1
+        return F.struct(d.alias("d"), c.alias("c"), (s["h"] * d * c).alias("h"))
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + m * 2 - 1) * (a + m * 2))
+        odd = -(a + m) * (a + b + m) * x / ((a + m * 2) * (a + m * 2 + 1))
+        return let(let(s, lambda v: turn(v, even)), lambda v: turn(v, odd))
+
+    d = 1 / (1 - (a + b) * x / (a + 1))
+    steps = F.sequence(F.lit(1), (F.sqrt(a + b) * 3).cast("int") + 30)
+    return F.aggregate(steps, F.struct(d.alias("d"), F.lit(1.0).alias("c"), d.alias("h")), step, lambda s: s["h"])
+
+
+def beta_cdf(x: Column, a: Column, b: Column) -> Column:
+    """Chance that a beta variable of (a, b) is at most x, for x strictly between 0 and 1."""
+    front = F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+    return F.when(x < (a + 1) / (a + b + 2), front * _fraction(x, a, b) / a).otherwise(1 - front * _fraction(1 - x, b, a) / b)
+
+
 def lower_bound(a: Column, b: Column, z: float) -> Column:
-    """Normal approximation of a low quantile of Beta(a, b)."""
-    mean = a / (a + b)
-    return mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))
+    """The quantile of Beta(a, b) that lies z standard deviations low on the normal scale, by halving; to 2 ** -40."""
+    level = 0.5 * math.erfc(z / math.sqrt(2))
+
+    def of(p: Column) -> Column:
+        def halve(s: Column, _: Column) -> Column:
+            middle = (s["lo"] + s["hi"]) / 2
+            return let(F.struct(middle.alias("m"), (beta_cdf(middle, p["a"], p["b"]) < level).alias("up")), lambda t: F.struct(F.when(t["up"], t["m"]).otherwise(s["lo"]).alias("lo"), F.when(t["up"], s["hi"]).otherwise(t["m"]).alias("hi")))
+
+        start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def reputations(outcomes: DataFrame, z: float) -> tuple[DataFrame, DataFrame, DataFrame, float]:
@@ -100,7 +148,7 @@ def reputations(outcomes: DataFrame, z: float) -> tuple[DataFrame, DataFrame, Da
     d = _level(up(hosts, "domain", "suffix").join(mean(s, "suffix"), "suffix"), "domain")
     h = _level(hosts.join(mean(d, "domain"), "domain"), "host")
     bound = lower_bound(F.col("a"), F.col("b"), z)
-    overall = (good + 1) / (n + 2) - z * ((good + 1) * (n - good + 1) / ((n + 2) ** 2 * (n + 3))) ** 0.5
+    overall = hosts.sparkSession.range(1).select(lower_bound(F.lit(good + 1.0), F.lit(n - good + 1.0), z)).first()[0]
     return h.select("host", bound.alias("by_host")), d.select("domain", bound.alias("by_domain")), s.select("suffix", bound.alias("by_suffix")), overall
 
 
@@ -109,15 +157,15 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] =
 
     outcomes: page_id, good (0 or 1); several outcomes of a page all count. The verdict is the longest
     rule's, else allow where the bound is at least threshold."""
-    d = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    labelled = d.select("page_id", "host").join(outcomes.select("page_id", "good"), "page_id")
+    d = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("site", site_of(F.col("host")))
+    labelled = d.select("page_id", F.col("site").alias("host")).join(outcomes.select("page_id", "good"), "page_id")
     by_host, by_domain, by_suffix, overall = reputations(labelled, z)
     # each distinct host is judged once; pages meet the verdict of their host
-    hosts = d.select("host").distinct().withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = d.select(F.col("site").alias("host")).distinct().withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     judged = hosts.join(by_host, "host", "left").join(by_domain, "domain", "left").join(by_suffix, "suffix", "left")
-    judged = judged.select("host", F.coalesce("by_host", "by_domain", "by_suffix", F.lit(overall)).alias("bound"))
+    judged = materialise(judged.select(F.col("host").alias("site"), F.coalesce("by_host", "by_domain", "by_suffix", F.lit(overall)).alias("bound")), "op4-judged")
     rule = lambda field: ruled(F.col("host"), F.col("path"), rules, field)
-    return d.join(judged, "host").select(
+    return d.join(judged, "site").select(
         "page_id", "host", "path", rule("text").alias("rule"),
         F.coalesce(rule("verdict"), F.when(F.col("bound") >= threshold, "allow").otherwise("block")).alias("verdict"), "bound",
     )
