@@ -49,20 +49,22 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget:
     return d.withColumn("target", F.least("most", F.coalesce(level * F.col("w"), F.col("most")))).drop("w", "most", "level")
 
 
-def newton(sources: DataFrame, tolerance: float = 1e-12, most_steps: int = 60) -> DataFrame:
+def newton(sources: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """Adds rate = exp(multiplier): the dual optimum of each source's token constraint.
 
     The dual of a source is size * exp(m) - target * m; the gradient and curvature of a step are taken
-    from the table of sources, and only the largest residual passes the driver."""
-    d = sources.withColumn("m", F.lit(0.0))
+    from the table of sources, and only the largest residual passes the driver. The dual is convex and steps are held to
+    a length of 1, so the residual falls until it is within the tolerance, or rounding stops it."""
+    d, last = sources.withColumn("m", F.lit(0.0)), None
     size = F.greatest(F.col("source_size").cast("double"), F.lit(1.0))
-    for _ in range(most_steps):
+    while True:
         e = size * F.exp("m")
         step = (e - F.col("target")) / e
         d = materialise(d.withColumn("m", F.when((F.col("target") > 0), F.col("m") - F.greatest(F.least(step, F.lit(1.0)), F.lit(-1.0))).otherwise(F.lit(float("-inf")))), "op8-dual")
         worst = d.agg(F.max(F.when(F.col("target") > 0, F.abs(size * F.exp("m") - F.col("target")) / F.col("target")))).first()[0]
-        if worst is None or worst <= tolerance:
+        if worst is None or worst <= tolerance or last is not None and worst >= last:
             break
+        last = worst
     return d.withColumn("rate", F.exp("m")).drop("m")
 
 
@@ -98,16 +100,23 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: fl
     sources = newton(targets(source_table(d), weights, budget, float(cap)))
     sources = materialise(sources.select("source", F.col("rank").alias("source_no"), "source_size", "target", "rate"), "op8-sources")
     joined = d.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.row_key", "d.size", "s.source_no", "s.source_size", "s.target", "s.rate")
-    lane = F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(LANES)).cast("int")
+    # as many lanes as documents of one source and size may need
+    lane = F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(max(LANES, d.count() >> 16))).cast("int")
     out = copies(joined.withColumn("lane", lane), cap)
     return out.select("doc_id", "row_key", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
 def mixed_documents(documents: DataFrame, **how) -> DataFrame:
-    """The documents that the mix takes, one row a copy: their columns and copy (from 1)."""
-    taken = mix(documents, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row"), "copies")
-    taken = taken.groupBy("_id", "_row").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("_n"))
-    joined = documents.withColumn("_key", F.xxhash64("text")).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")))
+    """The documents that the mix takes, one row a copy: their columns and the copy's number from 1, as the column
+    ``copy``, or with underscores after it where the documents have that name."""
+    taken = mix(documents, **how).where("copies > 0").groupBy("doc_id", "row_key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = materialise(taken.select(F.struct("doc_id", "row_key").alias("key"), "copies", "rows"), "op8-taken")
+    # the row travels as one column, beside which any name is free; a struct as key lets null ids meet
+    rows = documents.select(F.struct(*documents.columns).alias("row"), F.struct("doc_id", F.xxhash64("text").alias("row_key")).alias("key"))
+    joined = rows.join(taken, rows["key"].eqNullSafe(taken["key"])).select("row", rows["key"], "copies", "rows")
     # rows equal in id and text stand for each other: one of them gives the copies of all
-    joined = joined.where("_n = 1").unionByName(joined.where("_n > 1").dropDuplicates(["doc_id", "_key"]))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*documents.columns, "copy")
+    joined = joined.where("rows = 1").unionByName(joined.where("rows > 1").dropDuplicates(["key"]))
+    name = "copy"
+    while name in {c.lower() for c in documents.columns}:
+        name += "_"
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*", F.col("copy").alias(name))
