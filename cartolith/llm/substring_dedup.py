@@ -118,15 +118,17 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     docs has doc_id, row_key (a hash of the text) and text; of equal texts only the first is listed."""
     firsts = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min_by(F.struct("doc_id", "row_key"), "doc_id").alias("r")).select("r.*")
     anchors = docs.mapInArrow(_anchors(length), "anchor long, doc_id long, row_key long, at int")
-    shared = anchors.groupBy("anchor").agg(F.min("row_key").alias("a"), F.max("row_key").alias("b")).where("a <> b").select("anchor")
+    # the sides with one row a key are tables, so that joins can split the keys of passages that many documents share
+    shared = materialise(anchors.groupBy("anchor").agg(F.min("row_key").alias("a"), F.max("row_key").alias("b")).where("a <> b").select("anchor"), "op1-shared")
     hits = anchors.join(shared, "anchor").groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("hits"))
     # rows equal in id and text are one here: they share their hits
     hits = materialise(hits.join(firsts.distinct(), ["doc_id", "row_key"], "left_semi"), "op1-hits")
     found = materialise(docs.join(hits, ["doc_id", "row_key"]).mapInArrow(_windows(length), "w1 long, w2 long, doc_id long, row_key long, at int"), "op1-windows")
-    smallest = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest")
+    smallest = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest").drop("largest")
+    smallest = materialise(smallest, "op1-smallest")
     starts = found.join(smallest, ["w1", "w2"]).where("doc_id > smallest").groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("starts"))
     out = materialise(starts, "op1-starts")
-    discard(hits, found)
+    discard(shared, hits, found, smallest)
     return out
 
 
@@ -138,6 +140,7 @@ def substring_dedup(documents: DataFrame, length: int = 50, with_text: bool = Fa
     starts = repeated_windows(sound, length)
     digests = sound.select("doc_id", "row_key", F.sha2("text", 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
+    firsts = materialise(firsts, "op1-firsts")
     copies = digests.join(firsts, "digest").where("doc_id > first_id").select("doc_id", "row_key", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("is_copy"))
     touched = starts.withColumn("is_copy", F.lit(False)).unionByName(copies).groupBy("doc_id", "row_key").agg(F.max("is_copy").alias("is_copy"), F.first("starts", ignorenulls=True).alias("starts"))
     joined = docs.join(touched, ["doc_id", "row_key"], "left").withColumn("is_copy", F.coalesce("is_copy", F.lit(False)))
