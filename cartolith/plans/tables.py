@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPLIT = "spark.sql.adaptive.forceOptimizeSkewedJoin"
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BLOOM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 _open: list[list[str]] = []
 
 
@@ -29,8 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
 @contextmanager
 def freed_shuffles(spark: SparkSession):
     """Within it, a query's shuffle files go as soon as it has ended, joins split hot keys even where that
-    costs another shuffle, and Arrow batches are bounded in bytes."""
-    wanted = {CLEANUP: "true", SPLIT: "true", BATCH: str(32 << 20)}
+    costs another shuffle, Arrow batches are bounded in bytes, and rows that a small filtered side cannot match are sifted
+    by Spark's own Bloom filter before they are shuffled, however small the scan."""
+    wanted = {CLEANUP: "true", SPLIT: "true", BATCH: str(32 << 20), BLOOM: "1"}
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
