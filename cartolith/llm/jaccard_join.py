@@ -327,9 +327,10 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -
     firsts = materialise(firsts.select("node", "r.doc_id", "r.row_key", "r.sketch"), "op5-nodes")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        where = materialise(firsts.join(nodes, "node", "left_semi").select("node", "doc_id", "row_key"), "op5-wanted")
+        where = materialise(firsts.join(nodes, "node", "left_semi").select("node", "doc_id", "row_key", F.lit(1).alias("wanted")), "op5-wanted")
+        # the filter is what lets Spark sift the texts before it shuffles them
+        texts = sound.join(where.where("wanted > 0"), ["doc_id", "row_key"]).select("node", "text")
         # rows equal in id and text give equal sets: one is enough
-        texts = sound.join(where, ["doc_id", "row_key"]).select("node", "text")
         return texts.mapInArrow(_sets(size), "node long, codes binary").dropDuplicates(["node"])
 
     comps = linked(regions, firsts.select("node", "sketch"), sets_of, percent).join(firsts.select("node", "doc_id"), "node")
