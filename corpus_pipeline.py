@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolith.llm.common import shared_dir, table
+from cartolith.llm.common import drop_folder, scratch, shared_dir, table
 from cartolith.llm.decontaminate import decontaminate
 from cartolith.llm.jaccard_join import one_of_each
 from cartolith.llm.mixing import mixed_documents
@@ -41,16 +41,26 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs, weights=(5, 2, 1), budget=1.5, cap=2)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("mixing", mixing)]
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", pii),
+    ("mixing", mixing),
+]
 #: Not expressible in SQL; tests hold it against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of the documents. Tables that a stage made go when it has been written, each stage's rows when the next has read them."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{number}-{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{number}-{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{number}-{name}")
+        if number:
+            drop_folder(spark, f"{folder}/{number - 1}-{STAGES[number - 1][0]}")
     return docs
