@@ -655,3 +655,7 @@ def name_clusters(spark, d):
     p = points_a(spark, d)
     b = p.select(F.col("id").alias("box_id"), F.col("kind").alias("name"), F.col("x").alias("x0"), F.col("z").alias("z0"), (F.col("x") + F.col("id") % 7 * 150).alias("x1"), (F.col("z") + F.col("id") % 5 * 120).alias("z1"))
     return graph.clusters(b, 1500)
+
+
+# further queries, which register themselves
+from . import audit_queries, feature_queries, join_queries  # noqa: E402, F401
