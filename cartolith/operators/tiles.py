@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.functions import geometry
+from cartolith.functions import geometry, polygons
 from cartolith.operators.audit import floor_percentiles
 
 # fixed values: tile sizes in metres by level
@@ -33,9 +33,9 @@ def fragments(rings: DataFrame, size: float) -> DataFrame:
     box = F.struct((F.col("col") * float(size)).alias("x0"), (F.col("row") * float(size)).alias("y0"), ((F.col("col") + 1) * float(size)).alias("x1"), ((F.col("row") + 1) * float(size)).alias("y1"))
     d = d.withColumn("box", box)
     whole = (F.col("b.x0") >= F.col("box.x0")) & (F.col("b.x1") <= F.col("box.x1")) & (F.col("b.y0") >= F.col("box.y0")) & (F.col("b.y1") <= F.col("box.y1"))
-    # rings inside one tile stay in the JVM; only the others meet the clipper
+    # rings inside one tile stay as they are; the others are cut by expressions, side by side
     uncut = d.where(whole).withColumn("cut", F.lit(False))
-    cut = d.where(~whole).withColumn("ring", geometry.clipped("ring", "box")).where(F.size("ring") > 0).withColumn("cut", F.lit(True))
+    cut = d.where(~whole).withColumn("ring", polygons.clip_ring(F.col("ring"), F.col("box"))).where(F.size("ring") > 0).withColumn("cut", F.lit(True))
     name = F.concat(F.col("id").cast("string"), F.lit("@"), F.col("col").cast("string"), F.lit("_"), F.col("row").cast("string"))
     return uncut.unionByName(cut).select("id", "col", "row", "ring", F.when(F.col("cut"), name).otherwise(F.col("id").cast("string")).alias("fragment_id"), F.when(F.col("cut"), F.col("id")).alias("fragment_of"))
 

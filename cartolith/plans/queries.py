@@ -658,4 +658,4 @@ def name_clusters(spark, d):
 
 
 # further queries, which register themselves
-from . import audit_queries, feature_queries, join_queries  # noqa: E402, F401
+from . import audit_queries, feature_queries, join_queries, shape_queries  # noqa: E402, F401
