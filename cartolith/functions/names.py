@@ -65,7 +65,8 @@ def street_name(c: Column) -> Column:
     words = F.split(T.display_case(c), " ")
     first = F.lower(F.regexp_replace(F.get(words, F.lit(0)), r"\.$", ""))
     spelled = F.when(F.size(words) > 1, F.coalesce(_lookup(STREET_TYPES, first), F.get(words, F.lit(0)))).otherwise(F.get(words, F.lit(0)))
-    return capitalise_compounds(F.concat_ws(" ", spelled, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))))
+    whole = F.concat_ws(" ", spelled, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))))
+    return F.when(c.isNotNull(), capitalise_compounds(whole))
 
 
 def canonical_label(kind: Column, c: Column) -> Column:
