@@ -165,3 +165,19 @@ def address_records(spark, d):
     box = F.when(k % 2 == 0, F.when(k % 4 == 0, F.lit(None).cast("struct<x0:double,z0:double,x1:double,z1:double>")).otherwise(F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("z0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("z1")))).otherwise(F.struct(F.lit(9.0).alias("x0"), F.lit(9.0).alias("z0"), F.lit(9.5).alias("x1"), F.lit(9.5).alias("z1")))
     layer = F.when(k % 3 == 0, "buildings").otherwise("ELEVATION.grid")
     return table(spark, d, "orders").select("o_orderkey", r.alias("r"), index.applicable(layer, F.lit(None).cast("string"), box, (0.5, 0.5, 2.0, 2.0)).alias("elevation")).select("o_orderkey", "r.label", "r.reason", "elevation")
+
+
+@query("""
+with n as (select distinct p_name ph, 'n' || (p_size % 3) c from part), t as (select distinct lower(p_type) ph, 'm' || (p_size % 4) c from part),
+m as (select p_partkey id, c from part join n on ph = p_name union select p_partkey, c from part join t on ph = lower(p_type))
+select id query_id, list_sort(list(distinct c)) categories, true pure from m group by 1""")
+def category_intents(spark, d):
+    """Names and types of parts are the phrases, numbers of their sizes the categories; each query is a name and a type."""
+    from cartolith.operators import intents
+
+    p = table(spark, d, "part")
+    number = lambda letter, n: F.concat(F.lit(letter), (F.col("p_size") % n).cast("string")).alias("category")
+    phrases = p.select(F.col("p_name").alias("phrase"), number("n", 3)).unionByName(p.select(F.lower("p_type").alias("phrase"), number("m", 4)))
+    tokens = F.concat(F.split("p_name", " "), F.array(F.lower("p_type")))
+    found = intents.intents(p.select(F.col("p_partkey").alias("query_id"), tokens.alias("tokens")), phrases, prefix=False)
+    return found.select("query_id", F.array_sort(F.transform("found", lambda f: f["category"])).alias("categories"), intents.pure(F.col("found"), F.col("tokens")).alias("pure"))
