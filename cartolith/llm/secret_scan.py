@@ -35,7 +35,7 @@ BITS, PACKED = 5, 12
 #: (class, pattern of the whole string, least entropy in bits), first that fits; numbers alone are no secrets.
 CLASSES = (
     ("decimal", "^[0-9]+$", 9.0), ("hex", "^[0-9A-Fa-f]+$", 3.0), ("letters", "^([a-z]+|[A-Z]+)$", 4.1), ("base32", "^[A-Z2-7]+=*$", 3.5),
-    ("mixed letters", "^[A-Za-z]+$", 4.0), ("words", "^[A-Za-z]*([-_/+=]+[A-Za-z]*)+$", 4.3), ("base64", "", 3.9),
+    ("mixed letters", "^[A-Za-z]+$", 4.0), ("words", "^[A-Za-z/_+=-]+$", 4.3), ("base64", "", 3.9),
 )
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
