@@ -30,7 +30,8 @@ def _days(spec: str) -> set[int] | None:
 
 
 def parse(text: str | None) -> list[list[dict]] | None:
-    """Week of a schedule such as ``Mo-Fr 09:00-12:00,14:00-19:00; Sa off``; None if it cannot be read.
+    """Week of a schedule such as ``Mo-Fr 09:00-12:00,14:00-19:00; Sa off``; None if it cannot be read, also where days come
+    without times. A + after an end (or later) says nothing more.
 
     A later rule replaces the days it names; a range that ends before it starts runs past midnight."""
     value = (text or "").strip().lower()
@@ -40,7 +41,7 @@ def parse(text: str | None) -> list[list[dict]] | None:
         return [[{"start": 0, "stop": 1440}] for _ in DAYS]
     week: list[list[dict]] = [[] for _ in DAYS]
     for rule in filter(None, (r.strip() for r in value.split(";"))):
-        m = re.fullmatch(r"((?:(?:mo|tu|we|th|fr|sa|su|ph|sh)[-, ]*)+)?\s*(off|closed|[0-9:,\s-]+)?", rule)
+        m = re.fullmatch(r"((?:(?:mo|tu|we|th|fr|sa|su|ph|sh)[-, ]*)+)?\s*(off|closed|[0-9:,+\s-]+)?", rule)
         if not m or not (m[1] or m[2]):
             return None
         days = _days(m[1].strip().strip(",").replace(" ", "")) if m[1] else set(range(7))
@@ -50,11 +51,12 @@ def parse(text: str | None) -> list[list[dict]] | None:
         if m[2] in ("off", "closed"):
             spans = []
         elif not m[2] or not m[2].strip():
-            spans = [{"start": 0, "stop": 1440}]
+            if days:
+                return None
         else:
             for part in m[2].split(","):
-                t = re.fullmatch(r"\s*(\d{1,2}):(\d{2})\s*-\s*(\d{1,2}):(\d{2})\s*", part)
-                if not t:
+                t = re.fullmatch(r"\s*(\d{1,2}):(\d{2})\s*-\s*(\d{1,2}):(\d{2})\+?\s*", part)
+                if not t or int(t[1]) > 24 or int(t[3]) > 24 or int(t[2]) > 59 or int(t[4]) > 59:
                     return None
                 a, b = int(t[1]) * 60 + int(t[2]), int(t[3]) * 60 + int(t[4])
                 spans.append({"start": a, "stop": b if b > a else b + 1440})
@@ -72,3 +74,14 @@ def is_open(week: Column, day: Column, minute: Column) -> Column:
     """Whether a week is open on a day (0 is Monday) at a minute; ranges past midnight count for the next day."""
     today, before = F.get(week, day), F.get(week, (day + 6) % 7)
     return F.exists(today, lambda s: (s["start"] <= minute) & (minute < s["stop"])) | F.exists(before, lambda s: minute < s["stop"] - 1440)
+
+
+def next_opening(week: Column, day: Column, minute: Column) -> Column:
+    """struct<days, minute>: how many days ahead and when a week opens next, after this minute; null if it never does."""
+
+    def first(offset: Column) -> Column:
+        starts = F.transform(F.get(week, ((day + offset) % 7).cast("int")), lambda s: s["start"])
+        soon = F.array_min(F.filter(starts, lambda s: (offset > 0) | (s > minute)))
+        return F.when(soon.isNotNull(), F.struct(offset.alias("days"), soon.alias("minute")))
+
+    return F.array_min(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(6)), first)))

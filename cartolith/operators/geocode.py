@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,22 @@ def by_street(wanted: DataFrame, known: DataFrame, gap: int = 10, span: float =
     return near.unionByName(rest).select("id", "p.x", "p.z", "score")
 
 
+def in_the_middle(known: DataFrame, span: float = 1200.0) -> DataFrame:
+    """postcode, street, x, z of streets no wider than span: the median of all positions along each axis by itself, the upper one of two.
+
+    known: postcode, street, x, z, one row a house. Positions are counted before they are put in order."""
+    key = ["postcode", "street"]
+    wide = known.groupBy(*key).agg(F.hypot(F.max("x") - F.min("x"), F.max("z") - F.min("z")).alias("width")).where(F.col("width") <= span).drop("width")
+    near = known.join(wide, key)
+
+    def median(axis: str) -> DataFrame:
+        line = Window.partitionBy(*key).orderBy(axis)
+        counts = near.groupBy(*key, axis).agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(line)).withColumn("n", F.sum("k").over(Window.partitionBy(*key)))
+        return counts.groupBy(*key).agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col(axis))).alias(axis))
+
+    return median("x").join(median("z"), key)
+
+
 def by_name(wanted: DataFrame, places: DataFrame, most: float = 600.0) -> DataFrame:
     """id, x, z, score 0.5 where all namesakes in the commune lie within most of the first one (by place_id).
     wanted: id, commune, key; places: place_id, commune, key, x, z."""

@@ -34,26 +34,24 @@ def best_match(pairs: DataFrame, key: str, *order: Column) -> DataFrame:
     return pairs.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_b")).select("_b.*")
 
 
-def one_to_one(pairs: DataFrame, left: str, right: str, score: str, turns: int = 50) -> DataFrame:
+def one_to_one(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """Matching in which each side is used once: in every turn, pairs that are best for both sides are
-    taken and their rows leave. Pairs are ordered by score (higher first), left, right; the result is that of
-    taking pairs greedily in this order."""
-    from cartolith.plans.tables import materialise
+    taken and their rows leave, until none is left. Pairs are ordered by score (higher first), left, right; the result is that of
+    taking pairs greedily in this order. The best pair of all is taken in each turn, so the turns end."""
+    from cartolith.plans.tables import discard, materialise
 
     order = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
-    rest, taken = materialise(pairs.withColumn("_o", order)), None
-    for _ in range(turns):
+    rest, taken = materialise(pairs.withColumn("_o", order), "one-rest"), None
+    while True:
         by_left = rest.groupBy(left).agg(F.min("_o").alias("_o"))
         by_right = rest.groupBy(right).agg(F.min("_o").alias("_o"))
         mutual = rest.join(by_left, [left, "_o"], "left_semi").join(by_right, [right, "_o"], "left_semi")
-        mutual = materialise(mutual)
+        mutual = materialise(mutual, "one-taken")
         taken = mutual if taken is None else taken.unionByName(mutual)
-        rest = materialise(rest.join(mutual.select(left), left, "left_anti").join(mutual.select(right), right, "left_anti"))
+        old, rest = rest, materialise(rest.join(mutual.select(left), left, "left_anti").join(mutual.select(right), right, "left_anti"), "one-rest")
+        discard(old)
         if not rest.limit(1).count():
-            break
-    else:
-        raise RuntimeError("one_to_one: turns are used up")
-    return taken.drop("_o")
+            return taken.drop("_o")
 
 
 def contained(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:

@@ -66,6 +66,9 @@ def _assemble(part: pd.DataFrame) -> pd.DataFrame:
 def relation_polygons(members: DataFrame, lines: DataFrame) -> DataFrame:
     """Rings of each relation (polygon, ring 0 outer and counter-clockwise, holes after it), or its problem.
 
-    members: relation_id, pos, role, way_id. Chaining is sequential within a relation, whose members are few."""
-    joined = members.where(F.col("role").isin("outer", "inner")).join(lines, "way_id", "left").select("relation_id", "pos", "role", "line")
+    members: relation_id, pos, role, way_id. Chaining is sequential within a relation, whose members are few. A hole goes to the smallest
+    exterior that holds it."""
+    # a way that is listed again is passed over
+    once = members.where(F.col("role").isin("outer", "inner")).groupBy("relation_id", "way_id").agg(F.min_by("role", "pos").alias("role"), F.min("pos").alias("pos"))
+    joined = once.join(lines, "way_id", "left").select("relation_id", "pos", "role", "line")
     return joined.groupBy("relation_id").applyInPandas(_assemble, _OUT)

@@ -37,7 +37,8 @@ def expand(vocabulary: DataFrame, token: str, last: bool) -> DataFrame:
     ratio = F.lit(float(n)) / F.length(w)
     options = [F.when(w == t, EXACT), F.when(F.array_contains(text.token_variants(t), w), VARIANT)]
     base, gain = LAST_PREFIX if last else INNER_PREFIX
-    if n >= 3 or (last and not numeric):
+    # the beginning of a number is only tried as the last word
+    if (last and (not numeric or n >= 3)) or (not numeric and n >= 3):
         options.append(F.when(w.startswith(token) & (w != t), base + ratio * gain))
     if edits:
         gate = (F.substring(w, 1, 1) == token[0]) | ((F.substring(w, 1, 1) == token[1:2]) & (F.substring(w, 2, 1) == token[0]))

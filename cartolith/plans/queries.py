@@ -186,7 +186,13 @@ def best_match(spark, d):
     return joins.best_match(pairs, "a", F.col("d2"), F.col("b"))
 
 
-@query()
+@query(f"""
+with recursive p as (select a.id a, b.id b, -((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)) score from {A_SQL} a, {B_SQL} b where abs(a.x - b.x) <= 400 and abs(a.z - b.z) <= 400 and (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) <= 160000),
+o as (select *, row_number() over (order by score desc, a, b) n from p),
+r(n, l, r, a, b, score) as (select 0::bigint, []::bigint[], []::bigint[], null::bigint, null::bigint, null::bigint
+ union all select o.n, case when list_contains(r.l, o.a) or list_contains(r.r, o.b) then r.l else list_append(r.l, o.a) end, case when list_contains(r.l, o.a) or list_contains(r.r, o.b) then r.r else list_append(r.r, o.b) end,
+ case when not (list_contains(r.l, o.a) or list_contains(r.r, o.b)) then o.a end, o.b, o.score from r join o on o.n = r.n + 1)
+select a, b, score from r where a is not null""")
 def one_to_one(spark, d):
     pairs = joins.blocked_pairs(points_a(spark, d), points_b(spark, d), 400).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), (-F.col("d2")).alias("score"))
     return joins.one_to_one(pairs, "a", "b", "score")
@@ -559,6 +565,15 @@ def geocode_street(spark, d):
     return geocode.by_street(wanted, known)
 
 
+@query(f"""
+with h as (select id % 40 postcode, id % 3 street, (x % 900)::double x, (z % 900)::double z from {A_SQL}),
+n as (select *, row_number() over (partition by postcode, street order by x) rx, row_number() over (partition by postcode, street order by z) rz, count(*) over (partition by postcode, street) k from h)
+select postcode, street, max(x) filter (where rx = k // 2 + 1) x, max(z) filter (where rz = k // 2 + 1) z from n group by 1, 2 having sqrt(pow(max(x) - min(x), 2) + pow(max(z) - min(z), 2)) <= 1500""")
+def geocode_middle(spark, d):
+    known = points_a(spark, d).select((F.col("id") % 40).alias("postcode"), (F.col("id") % 3).alias("street"), (F.col("x") % 900).cast("double").alias("x"), (F.col("z") % 900).cast("double").alias("z"))
+    return geocode.in_the_middle(known, 1500)
+
+
 @query(f"""
 with p as (select id, nation commune, kind k, x // 40 x, z // 40 z from {A_SQL}),
 f as (select commune, k, min({{'id': id, 'x': x, 'z': z}}) f from p group by 1, 2),
