@@ -84,3 +84,14 @@ def first_wins(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def best_overlap(left: DataFrame, right: DataFrame, reach: float, least: float) -> DataFrame:
+    """l_id, r_id, iou: each left box with the right box of the greatest overlap (then the smallest id) whose centre lies within reach; null where
+    none overlaps by least. Both sides: id, box (struct of x0, y0, x1, y1)."""
+    from cartolith.functions.geometry import bbox_iou
+
+    middle = lambda d: d.withColumn("x", (F.col("box.x0") + F.col("box.x1")) / 2).withColumn("z", (F.col("box.y0") + F.col("box.y1")) / 2)
+    pairs = blocked_pairs(middle(left), middle(right), reach).withColumn("iou", bbox_iou(F.col("l_box"), F.col("r_box"))).where(F.col("iou") >= least)
+    best = pairs.groupBy("l_id").agg(F.min(F.struct((-F.col("iou")).alias("o"), F.col("r_id"))).alias("b")).select("l_id", "b.r_id", (-F.col("b.o")).alias("iou"))
+    return left.select(F.col("id").alias("l_id")).join(best, "l_id", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartolith.functions import coerce, names, osm_tags, survey
+from cartolith.functions import coerce, levels, names, osm_tags, survey, taxonomy
 
 from .queries import query, table
 
@@ -215,3 +215,60 @@ def record_boosts(spark, d):
     pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (k % n).cast("int"))
     place = survey.place_boost(pick(_KINDS, 5), F.when(k % 3 > 0, k * 13), F.when(k % 4 > 0, k % 6 + 1))
     return table(spark, d, "customer").select("c_custkey", place.cast("long").alias("place"), survey.street_boost(pick(("primary", "residential", "ferry"), 3), k * F.lit(1.7)).alias("street"))
+
+_LEVEL_KINDS = ("building", "road", "water", "poi", "landuse", "transport", "structure", "place", "boundary", "address")
+_LEVEL_TYPES = ("motorway", "service", "track", "forest", "bus_stop", "rail", "commune", "river")
+_TILE_RANK = " ".join(f"when '{k}' then {v}" for k, v in levels.TILE_RANK.items())
+_LEVEL_SQL = f"""(select o_orderkey id, lod, {list(_LEVEL_KINDS)!r}[(o_orderkey % 10 + 1)::int] kind, {list(_LEVEL_TYPES)!r}[(o_orderkey // 10 % 8 + 1)::int] t, case when o_orderkey % 3 > 0 then 'n' end n, (o_orderkey * 7919 % 200003)::double area,
+ (o_orderkey * 104729 % 3001)::double len, o_orderkey // 3 % 2 = 0 surface, case when o_orderkey % 7 > 0 then o_orderkey % 7 end imp, case when o_orderkey % 5 > 0 then (o_orderkey % 11)::double end w from orders, range(0, 3) l(lod))"""
+
+
+@query(f"""
+with f as (select *, case t {_TILE_RANK} else 10 end rk, coalesce(imp, 6) i from {_LEVEL_SQL})
+select id, lod, coalesce(case when lod = 0 or kind = 'boundary' or kind = 'place' and t = 'commune' then true
+ when lod = 1 then case kind when 'building' then area >= 1500 when 'road' then rk <= 7 when 'water' then case when surface then area >= 400 else len >= 150 end when 'poi' then n is not null when 'landuse' then area >= 2000 when 'transport' then t <> 'bus_stop' or n is not null when 'structure' then area >= 1000 when 'place' then i <= 5 else false end
+ else case kind when 'road' then rk <= 4 when 'water' then case when surface then area >= 20000 else len >= 1500 and (n is not null or coalesce(w, 0) >= 5) end when 'landuse' then area >= 150000 and t = 'forest' when 'place' then i <= 3 when 'transport' then t = 'rail' else false end end, false) kept,
+ case when kind in ('road', 'water') and w > 0 then w when kind = 'road' then case t when 'motorway' then 12 when 'service' then 3.5 when 'track' then 2.5 else 4 end when kind = 'water' then case t when 'river' then 10 else 3 end else 0 end::double width from f""")
+def level_keeps(spark, d):
+    k = F.col("o_orderkey")
+    pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
+    f = table(spark, d, "orders").select(
+        k.alias("id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("lod"), pick(_LEVEL_KINDS, k % 10).alias("kind"), pick(_LEVEL_TYPES, F.expr("o_orderkey div 10 % 8")).alias("subtype"),
+        F.when(k % 3 > 0, "n").alias("name"), (k * 7919 % 200003).cast("double").alias("area"), (k * 104729 % 3001).cast("double").alias("length"), F.expr("o_orderkey div 3 % 2 = 0").alias("surface"),
+        F.when(k % 7 > 0, k % 7).alias("importance"), F.when(k % 5 > 0, (k % 11).cast("double")).alias("width"),
+    )
+    return f.select("id", F.col("lod").cast("long").alias("lod"), levels.keep_at(F.col("lod"), F.col).alias("kept"), levels.width(F.col("kind"), F.col("width"), F.col("subtype")).alias("width"))
+
+
+_CODES = sorted(taxonomy.ACTIVITIES)
+_ACTIVITY = " ".join(f"when '{k}' then '{v}'" for k, v in taxonomy.ACTIVITIES.items())
+_SECTION = " ".join(f"when v between {a} and {b} then '{c}'" for a, b, _, c in taxonomy.SECTIONS)
+
+
+@query(f"""
+with c as (select p_partkey, case when p_partkey % 2 = 0 then lpad((p_partkey % 99)::varchar, 2, '0') || '.' || lpad((p_partkey * 7 % 100)::varchar, 2, '0') || 'Z' else {_CODES!r}[(p_partkey // 2 % {len(_CODES)} + 1)::int] end code from part),
+n as (select *, left(code, 2)::int v from c)
+select p_partkey, coalesce(case code {_ACTIVITY} end, case when regexp_matches(code, '^0[123]\\.') then 'farm' when code like '46.%' then 'wholesale' {_SECTION} end) category,
+ case p_partkey % 4 when 0 then 'bakery' when 1 then 'fuel' when 2 then 'other' else 'bank' end as shown from n""")
+def activity_categories(spark, d):
+    k = F.col("p_partkey")
+    listed = F.get(F.array(*[F.lit(c) for c in _CODES]), F.expr(f"cast(p_partkey div 2 % {len(_CODES)} as int)"))
+    code = F.when(k % 2 == 0, F.concat(F.lpad((k % 99).cast("string"), 2, "0"), F.lit("."), F.lpad((k * 7 % 100).cast("string"), 2, "0"), F.lit("z"))).otherwise(F.concat(F.lit(" "), listed))
+    first = F.when(k % 4 == 0, "bakery").when(k % 4 == 2, "mystery")
+    second = F.when(k % 4 == 1, "fuel").when(k % 4 == 3, "bank").when(k % 4 == 0, "bank")
+    return table(spark, d, "part").select("p_partkey", taxonomy.activity_category(code).alias("category"), levels.shown_category([first, second], ("bakery", "restaurant")).alias("shown"))
+
+
+@query("""
+with t as (select p_partkey k, case p_partkey % 5 when 0 then null when 1 then '12.5' when 2 then '7 m' when 3 then 'tall' else '0' end h, case when p_partkey % 3 > 0 then (p_partkey % 7)::varchar end l, case p_partkey % 4 when 0 then 'yes' when 1 then 'no' end b, case p_partkey % 6 when 0 then 'yes' end tu,
+ ['communes', 'vegetation', 'roads'][(p_partkey % 3 + 1)::int] layer, case when p_partkey % 2 = 0 then '32' else '31' end dep, ['Bois', 'Vigne', 'Haie'][(p_partkey // 3 % 3 + 1)::int] nature, p_size * 100.0 area from part)
+select k p_partkey, case k % 5 when 1 then 12.5 when 2 then 7.0 else case when l::double > 0 then l::double * 3 else 3.0 end end::double metres, k % 5 not in (1, 2) inferred, case when tu = 'yes' then 'tunnel' when b = 'yes' then 'bridge' else 'ground' end stratum,
+ case layer when 'communes' then dep = '32' when 'vegetation' then nature <> 'Haie' and area >= 2000 else true end read_it from t""")
+def built_features(spark, d):
+    k = F.col("p_partkey")
+    pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
+    height = F.when(k % 5 == 1, "12.5").when(k % 5 == 2, "7 m").when(k % 5 == 3, "tall").when(k % 5 == 4, "0")
+    tags = F.create_map(F.lit("height"), height, F.lit("building:levels"), F.when(k % 3 > 0, (k % 7).cast("string")), F.lit("bridge"), F.when(k % 4 == 0, "yes").when(k % 4 == 1, "no"), F.lit("tunnel"), F.when(k % 6 == 0, "yes"))
+    p = table(spark, d, "part").select("p_partkey", "p_size", tags.alias("t"), osm_tags.building_height(tags).alias("h"))
+    read = levels.read_at_all(pick(("communes", "vegetation", "roads"), k % 3), F.when(k % 2 == 0, "32").otherwise("31"), pick(("Bois", "Vigne", "Haie"), F.expr("p_partkey div 3 % 3")), F.col("p_size") * 100.0)
+    return p.select("p_partkey", "h.metres", "h.inferred", osm_tags.stratum(F.col("t")).alias("stratum"), read.alias("read_it"))

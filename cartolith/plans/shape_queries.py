@@ -149,3 +149,18 @@ def paired_vertices(spark, d):
     other = F.when(F.col("id") % 3 == 0, F.array(at(0, 0))).otherwise(F.array(at(0, 0), at(13, 24)))
     p = points_a(spark, d).select("id", polygons.paired(F.array(at(0, 0), at(10, 20)), other).alias("v"))
     return p.select("id", F.array_max(F.transform("v", lambda q: F.hypot(q["a"]["x"] - q["b"]["x"], q["a"]["y"] - q["b"]["y"]))).alias("farthest"))
+
+
+@query(f"""
+with b as (select id, x x0, z y0, x + 3000 + (id % 7) * 500 x1, z + 2500 + (id % 5) * 400 y1, id % 2 s from {A_SQL}),
+p as (select b.id a, c.id b, greatest(0, least(b.x1, c.x1) - greatest(b.x0, c.x0)) * greatest(0, least(b.y1, c.y1) - greatest(b.y0, c.y0)) i, (b.x1 - b.x0) * (b.y1 - b.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) u from b join b c on b.s = 0 and c.s = 1
+ and pow(b.x0 + b.x1 - c.x0 - c.x1, 2) + pow(b.y0 + b.y1 - c.y0 - c.y1, 2) <= 16000000),
+r as (select a, b, i / (u - i) iou, row_number() over (partition by a order by i / (u - i) desc, b) n from p where i / (u - i) >= 0.2)
+select x.id a, r.b, round(r.iou, 6) iou from b x left join r on r.a = x.id and n = 1 where x.s = 0""")
+def parity_matches(spark, d):
+    """Each box of one side with the box of the other that it overlaps best, by centres within 2,000; null without one."""
+    from cartolith.operators import joins
+
+    k = F.col("id")
+    p = points_a(spark, d).select("id", F.struct(F.col("x").cast("double").alias("x0"), F.col("z").cast("double").alias("y0"), (F.col("x") + 3000 + k % 7 * 500).cast("double").alias("x1"), (F.col("z") + 2500 + k % 5 * 400).cast("double").alias("y1")).alias("box"))
+    return joins.best_overlap(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 2000, 0.2).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.round("iou", 6).alias("iou"))
