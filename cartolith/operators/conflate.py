@@ -158,11 +158,11 @@ def repaired_streets(rows: DataFrame, spellings: DataFrame) -> DataFrame:
 
 
 def overlaid_tags(elements: DataFrame) -> DataFrame:
-    """One row an element (type, id): the tags of all its rows, later rows (seq) over earlier ones; elements: type, id, seq, tags.
+    """One row an element (type, id): the tags of all its rows, later rows (seq, then the greater value) over earlier ones; elements: type, id, seq, tags.
 
     Tags are dealt out by key, so an element that comes in many files is no list in one task."""
     each = elements.select("type", "id", "seq", F.explode_outer("tags").alias("key", "value"))
-    last = each.groupBy("type", "id", "key").agg(F.max_by("value", "seq").alias("value"))
+    last = each.groupBy("type", "id", "key").agg(F.max_by("value", F.struct("seq", "value")).alias("value"))
     kept = F.filter(F.collect_list(F.struct("key", "value")), lambda t: t["key"].isNotNull())
     return last.groupBy("type", "id").agg(F.map_from_entries(F.array_sort(kept)).alias("tags"))
 

@@ -57,7 +57,7 @@ _RADIUS = "case when a.kind = 'place' and b.kind = 'place' then 1500.0 else grea
 @query(f"""
 with recursive d as (select *, 'cafe ' || (record_id % 40) key, row_number() over (partition by record_id % 40 order by richness desc, boost desc, record_id) turn from {_RECORDS} where kind <> 'address'),
 p as (select a.key, a.turn e, b.turn l from d a join d b on a.key = b.key and a.turn < b.turn and ((a.kind = 'place') = (b.kind = 'place') or not (a.kind = 'place' and a.category = 'village' or b.kind = 'place' and b.category = 'village')) and sqrt(pow(a.x - b.x, 2) + pow(a.z - b.z, 2)) <= {_RADIUS}),
-n as (select d.key, d.turn, coalesce((select list(e order by e) from p where p.key = d.key and p.l = d.turn), []) es from d),
+n as materialized (select d.key, d.turn, coalesce((select list(e order by e) from p where p.key = d.key and p.l = d.turn), []) es from d),
 r(key, turn, kept, twin) as (select key, 0::bigint, []::bigint[], null::bigint from (select distinct key from d)
  union all select r.key, r.turn + 1, case when len(list_filter(n.es, lambda q: list_contains(r.kept, q))) = 0 then list_append(r.kept, n.turn) else r.kept end, list_filter(n.es, lambda q: list_contains(r.kept, q))[1] from r join n on n.key = r.key and n.turn = r.turn + 1),
 h as (select d.*, coalesce(r.twin, d.turn) home from d join r on r.key = d.key and r.turn = d.turn),

@@ -52,8 +52,8 @@ RULES = {
 _ALONG = lambda c: f"greatest(0, least(a.{c} + a.side / 2, b.{c} + b.side / 2) - greatest(a.{c} - a.side / 2, b.{c} - b.side / 2))"
 _BOTH = f"({_ALONG('x')} * {_ALONG('z')})"
 _IOU = f"({_BOTH} / (a.side * a.side + b.side * b.side - {_BOTH}))"
-PAIRS_SQL = f"""f as (select *, strip_accents(lower(name)) n, regexp_replace(lower(coalesce(address, '')), '[^a-z0-9]+', ' ', 'g') ad from {FEATURES_SQL}),
-p as (select a.id a, b.id b from f a join f b on a.kind = b.kind and a.id < b.id and a.source <> b.source and abs(floor(a.x / 100) - floor(b.x / 100)) <= 2 and abs(floor(a.z / 100) - floor(b.z / 100)) <= 2
+PAIRS_SQL = f"""f as materialized (select *, strip_accents(lower(name)) n, regexp_replace(lower(coalesce(address, '')), '[^a-z0-9]+', ' ', 'g') ad from {FEATURES_SQL}),
+p as materialized (select a.id a, b.id b from f a join f b on a.kind = b.kind and a.id < b.id and a.source <> b.source and abs(floor(a.x / 100) - floor(b.x / 100)) <= 2 and abs(floor(a.z / 100) - floor(b.z / 100)) <= 2
  where case a.kind
  when 'business' then case when a.siret is not null and b.siret is not null then a.siret = b.siret else a.siret is null and b.siret is null and a.n <> '' and a.n = b.n and a.ad <> '' and b.ad <> ''
   and (contains(a.ad, b.ad) or contains(b.ad, a.ad) or len(list_filter(string_split(a.ad, ' '), lambda w: len(w) > 2 and list_contains(string_split(b.ad, ' '), w))) > 0) and sqrt(pow(a.x - b.x, 2) + pow(a.z - b.z, 2)) <= 150 end
@@ -89,7 +89,7 @@ v as (select *, list_filter(string_split(lower(name), ' '), lambda t: t not in (
 sim as (select business_id, place_id, sqrt(pow(w.x - v.x, 2) + pow(w.z - v.z, 2)) d, lower(w.name) = lower(v.name) same,
  greatest(case when len(v.t) <= len(w.t) then len(list_filter(v.t, lambda q: list_contains(w.t, q))) / len(v.t) else len(list_filter(w.t, lambda q: list_contains(v.t, q))) / len(w.t) end,
  case when len(w.bt) = 0 then 0 when len(v.t) <= len(w.bt) then len(list_filter(v.t, lambda q: list_contains(w.bt, q))) / len(v.t) else len(list_filter(w.bt, lambda q: list_contains(v.t, q))) / len(w.bt) end) score from w, v),
-c as (select *, row_number() over (order by business_id, score desc, d, place_id) n from sim where score >= 0.8 and d <= case when same then 300 else 150 end),
+c as materialized (select *, row_number() over (order by business_id, score desc, d, place_id) n from sim where score >= 0.8 and d <= case when same then 300 else 150 end),
 r(n, bs, ps, b, p, s, d) as (select 0::bigint, []::bigint[], []::bigint[], null::bigint, null::bigint, null::double, null::double
  union all select c.n, case when list_contains(r.bs, c.business_id) or list_contains(r.ps, c.place_id) then r.bs else list_append(r.bs, c.business_id) end, case when list_contains(r.bs, c.business_id) or list_contains(r.ps, c.place_id) then r.ps else list_append(r.ps, c.place_id) end,
  case when not (list_contains(r.bs, c.business_id) or list_contains(r.ps, c.place_id)) then c.business_id end, c.place_id, c.score, c.d from r join c on c.n = r.n + 1)
@@ -157,7 +157,7 @@ def street_spelling(spark, d):
 
 @query("""
 with t as (select l_partkey id, l_orderkey * 10 + l_linenumber seq, unnest([{'k': 'flag', 'v': l_returnflag}, {'k': 'mode' || (l_linenumber % 3), 'v': l_linestatus}]) t from lineitem),
-o as (select id, t.k k, arg_max(t.v, seq) v from t group by 1, 2)
+o as (select id, t.k k, (list(t.v order by seq desc, t.v desc))[1] v from t group by 1, 2)
 select id, list_sort(list(k || '=' || v)) tags from o group by 1""")
 def overlaid_elements(spark, d):
     tags = F.create_map(F.lit("flag"), F.col("l_returnflag"), F.concat(F.lit("mode"), (F.col("l_linenumber") % 3).cast("string")), F.col("l_linestatus"))

@@ -188,7 +188,7 @@ def best_match(spark, d):
 
 @query(f"""
 with recursive p as (select a.id a, b.id b, -((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)) score from {A_SQL} a, {B_SQL} b where abs(a.x - b.x) <= 400 and abs(a.z - b.z) <= 400 and (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) <= 160000),
-o as (select *, row_number() over (order by score desc, a, b) n from p),
+o as materialized (select *, row_number() over (order by score desc, a, b) n from p),
 r(n, l, r, a, b, score) as (select 0::bigint, []::bigint[], []::bigint[], null::bigint, null::bigint, null::bigint
  union all select o.n, case when list_contains(r.l, o.a) or list_contains(r.r, o.b) then r.l else list_append(r.l, o.a) end, case when list_contains(r.l, o.a) or list_contains(r.r, o.b) then r.r else list_append(r.r, o.b) end,
  case when not (list_contains(r.l, o.a) or list_contains(r.r, o.b)) then o.a end, o.b, o.score from r join o on o.n = r.n + 1)
