@@ -568,10 +568,10 @@ def geocode_street(spark, d):
 @query(f"""
 with h as (select id % 40 postcode, id % 3 street, (x % 900)::double x, (z % 900)::double z from {A_SQL}),
 n as (select *, row_number() over (partition by postcode, street order by x) rx, row_number() over (partition by postcode, street order by z) rz, count(*) over (partition by postcode, street) k from h)
-select postcode, street, max(x) filter (where rx = k // 2 + 1) x, max(z) filter (where rz = k // 2 + 1) z from n group by 1, 2 having sqrt(pow(max(x) - min(x), 2) + pow(max(z) - min(z), 2)) <= 1500""")
+select postcode, street, max(x) filter (where rx = k // 2 + 1) x, max(z) filter (where rz = k // 2 + 1) z from n group by 1, 2 having sqrt(pow(max(x) - min(x), 2) + pow(max(z) - min(z), 2)) <= 2300""")
 def geocode_middle(spark, d):
     known = points_a(spark, d).select((F.col("id") % 40).alias("postcode"), (F.col("id") % 3).alias("street"), (F.col("x") % 900).cast("double").alias("x"), (F.col("z") % 900).cast("double").alias("z"))
-    return geocode.in_the_middle(known, 1500)
+    return geocode.in_the_middle(known, 2300)
 
 
 @query(f"""
