@@ -9,7 +9,7 @@ from cartolith.operators.osm import join_ends, relation_polygons
 
 @pytest.mark.parametrize(
     "value, want",
-    [("RUE DE L'ÉGLISE", "Rue de l'Église"), ("chemin du bigourdan", "Chemin du Bigourdan"), ("Sadi-carnot", "Sadi-carnot"), ("SAINT-CLAR", "Saint-Clar"), ("12", "12"), ("  le  TEST ", "le TEST")],
+    [("PLACE DE L'ÉTANG", "Place de l'Étang"), ("impasse du tilleul", "Impasse du Tilleul"), ("Jean-paul", "Jean-paul"), ("MONT-LAUR", "Mont-Laur"), ("7", "7"), ("  la  NOUE ", "la NOUE")],
 )
 def test_display_case(spark, value, want):
     assert spark.createDataFrame([(value,)], "v string").select(text.display_case(F.col("v"))).first()[0] == want
@@ -18,9 +18,9 @@ def test_display_case(spark, value, want):
 @pytest.mark.parametrize(
     "value, want",
     [
-        ("19 AVENUE D ALSACE 32000 AUCH", ("19", "AVENUE D ALSACE", "32000", "AUCH")),
-        ("12 bis rue Gambetta, 32100 Condom", ("12 bis", "rue Gambetta", "32100", "Condom")),
-        ("Place de la Mairie", (None, "Place de la Mairie", None, None)),
+        ("3 RUE HAUTE 65400 ARGELES", ("3", "RUE HAUTE", "65400", "ARGELES")),
+        ("8 ter quai Neuf, 31000 Toulouse", ("8 ter", "quai Neuf", "31000", "Toulouse")),
+        ("Cours des Halles", (None, "Cours des Halles", None, None)),
     ],
 )
 def test_postal_address(spark, value, want):
@@ -28,10 +28,12 @@ def test_postal_address(spark, value, want):
 
 
 def test_hours():
-    week = hours.parse("Mo-Fr 09:00-12:00,14:00-19:00; Sa 09:00-12:00; PH off")
-    assert week[0] == week[4] == [{"start": 540, "stop": 720}, {"start": 840, "stop": 1140}] and week[5] == [{"start": 540, "stop": 720}] and week[6] == []
-    assert hours.parse("Fr-Mo 22:00-02:00")[0] == [{"start": 1320, "stop": 1560}] and hours.parse("Fr-Mo 22:00-02:00")[2] == []
-    assert hours.parse("by appointment") is None and hours.parse(None) is None and hours.parse("Mo 9-12") is None
+    week = hours.parse("Mo-Th 08:30-12:30,13:00-17:00; Su 10:00-11:00; PH off")
+    assert week[0] == week[3] == [{"start": 510, "stop": 750}, {"start": 780, "stop": 1020}] and week[6] == [{"start": 600, "stop": 660}] and week[5] == []
+    assert hours.parse("Sa-Tu 21:00-01:30")[0] == [{"start": 1260, "stop": 1530}] and hours.parse("Sa-Tu 21:00-01:30")[2] == []
+    assert hours.parse("on demand") is None and hours.parse(None) is None and hours.parse("Tu 8-11") is None
+    assert hours.parse("We 10:00-18:00+")[2] == [{"start": 600, "stop": 1080}]
+    assert hours.parse("25:70-26:00") is None and hours.parse("Mo") is None
     assert all(d == [{"start": 0, "stop": 1440}] for d in hours.parse("24/7"))
 
 
@@ -41,7 +43,7 @@ def test_relations(spark):
     ways[2] = ways[2][::-1]
     ways[9] = [(2.0, 2.0), (4.0, 2.0), (4.0, 4.0), (2.0, 2.0)]
     lines = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in v]) for k, v in ways.items()], "way_id long, line array<struct<x:double,y:double>>")
-    members = [(1, i, "outer", i) for i in range(4)] + [(1, 4, "inner", 9), (1, 5, "label", 77)] + [(2, 0, "outer", 0)] + [(3, 0, "outer", 55)] + [(4, 0, "inner", 9)]
+    members = [(1, i, "outer", i) for i in range(4)] + [(1, 4, "inner", 9), (1, 5, "label", 77), (1, 6, "outer", 2)] + [(2, 0, "outer", 0)] + [(3, 0, "outer", 55)] + [(4, 0, "inner", 9)]
     got = sorted(relation_polygons(spark.createDataFrame(members, "relation_id long, pos int, role string, way_id long"), lines).collect(), key=lambda r: (r.relation_id, r.ring or 0))
     assert [(r.relation_id, r.ring, r.problem) for r in got] == [(1, 0, None), (1, 1, None), (2, None, "open outer ring"), (3, None, "missing way"), (4, None, "no outer ring")]
     assert len(got[0].line) == 5 and len(got[1].line) == 4
@@ -69,3 +71,10 @@ def test_category_bonus(spark):
 
     d = spark.createDataFrame([(1, "hotel", 10.0), (2, "bus_stop", 500.0), (3, None, 20.0)], "record_id long, category string, score double")
     assert {r.record_id: r.score for r in with_category(d, ("hotel",)).collect()} == {1: 250.0, 2: 100.0, 3: 20.0}
+
+
+def test_next_opening(spark):
+    week = [[(540, 720)], [], [(600, 660)], [], [], [], []]
+    d = spark.createDataFrame([(week, 0, 500), (week, 0, 600), (week, 2, 600), (week, 3, 0), ([[]] * 7, 0, 0)], "w array<array<struct<start:int,stop:int>>>, day int, minute int")
+    got = [r[0] and tuple(r[0]) for r in d.select(hours.next_opening(F.col("w"), F.col("day"), F.col("minute"))).collect()]
+    assert got == [(0, 540), (2, 600), (5, 540), (4, 540), None]
