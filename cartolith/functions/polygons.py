@@ -192,7 +192,7 @@ def clip_ring(ring: Column, box: Column) -> Column:
             return F.when(stays & (e >= 0), F.array(p)).when(stays, F.array(p, crossing)).when(e >= 0, F.array(crossing)).otherwise(none)
 
         after = F.concat(rest(points), F.slice(points, 1, 1))
-        return F.flatten(F.zip_with(points, after, cut))
+        return F.when(F.forall(points, lambda p: depth(p) >= 0), points).otherwise(F.flatten(F.zip_with(points, after, cut)))
 
     open_ = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))
     sides = [partial(side, key=key, sign=sign, bound=box[bound]) for key, sign, bound in (("x", 1, "x0"), ("x", -1, "x1"), ("y", 1, "y0"), ("y", -1, "y1"))]

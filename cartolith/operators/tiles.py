@@ -35,7 +35,9 @@ def fragments(rings: DataFrame, size: float) -> DataFrame:
     whole = (F.col("b.x0") >= F.col("box.x0")) & (F.col("b.x1") <= F.col("box.x1")) & (F.col("b.y0") >= F.col("box.y0")) & (F.col("b.y1") <= F.col("box.y1"))
     # rings inside one tile stay as they are; the others are cut by expressions, side by side
     uncut = d.where(whole).withColumn("cut", F.lit(False))
-    cut = d.where(~whole).withColumn("ring", polygons.clip_ring(F.col("ring"), F.col("box"))).where(F.size("ring") > 0).withColumn("cut", F.lit(True))
+    # an exploded list of one: the cut is made once, however often the ring is read afterwards
+    parts = F.filter(F.array(polygons.clip_ring(F.col("ring"), F.col("box"))), lambda r: F.size(r) > 0)
+    cut = d.where(~whole).withColumn("ring", F.explode(parts)).withColumn("cut", F.lit(True))
     name = F.concat(F.col("id").cast("string"), F.lit("@"), F.col("col").cast("string"), F.lit("_"), F.col("row").cast("string"))
     return uncut.unionByName(cut).select("id", "col", "row", "ring", F.when(F.col("cut"), name).otherwise(F.col("id").cast("string")).alias("fragment_id"), F.when(F.col("cut"), F.col("id")).alias("fragment_of"))
 
