@@ -625,7 +625,13 @@ def category_merge(spark, d):
     return search.merged_category(hits, r.where("category = 'hotel'"), (0.0, 0.0), 2).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""
+with recursive h as (select c_custkey record_id, case c_mktsegment {_SEGMENT} else lower(c_mktsegment) end as name, (c_custkey * 7919) % 100003 - 50000 x, (c_custkey * 104729) % 85009 - 42500 z, (c_custkey % 50) * 1000.0::double - c_custkey score from customer),
+o as materialized (select *, row_number() over (order by score desc, name, record_id) n from h),
+k(n, kept, id) as (select 0::bigint, []::struct(name varchar, x bigint, z bigint)[], null::bigint
+ union all select o.n, case when len(list_filter(kept, lambda v: v.name = o.name and sqrt(pow(v.x - o.x, 2) + pow(v.z - o.z, 2)) < 20000)) = 0 then list_append(kept, {{'name': o.name, 'x': o.x, 'z': o.z}}) else kept end,
+ case when len(list_filter(kept, lambda v: v.name = o.name and sqrt(pow(v.x - o.x, 2) + pow(v.z - o.z, 2)) < 20000)) = 0 then o.record_id end from k join o on o.n = k.n + 1 where len(kept) < 25)
+select record_id, name, x, z, score from o where record_id in (select id from k where id is not null)""")
 def distinct_hits(spark, d):
     r = records(spark, d).select("record_id", F.col("category").alias("name"), "x", "z", (F.col("boost") * 1000 - F.col("record_id")).alias("score"))
     return search.distinct_hits(r, 25, 20_000.0)
