@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contaminated
 from .fingerprints import edited_likeness
+from .importance import importance_sample
 from .jaccard_join import jaccard_components
 from .mixing import mix
+from .packing import Limits, packed
 from .periodic_runs import periodic_runs, planted, run_digests
 from .pii import pii
 from .quality import judged
@@ -69,6 +71,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain documents: no prompts, so every token bears loss."""
+    import public_tokenizers
+
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), Limits(tokens=1024, segments=64, loss=1024))
+
+
+def op13_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=3, buckets=10_000, share=5, least_words=20, seed=42)
+    return sampled.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -81,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_packing": op12_packing,
+    "op13_importance_sample": op13_importance_sample,
 }
 #: DuckDB's \x20 and friends are read by RE2; a word is what WORD says.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -116,5 +132,33 @@ e as (select a x, b y from l union all select b, a from l),
 r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
 select d.doc_id, coalesce(len(s.sh), 0)::bigint n_shingles, least(d.doc_id, coalesce((select min(r.y) from r where r.x = d.doc_id), d.doc_id)) component_id
 from d left join s using (doc_id)
+""",
+    "op13_importance_sample": r"""
+with recursive crc(i, k, c) as (
+  select range, 0, range::bigint from range(256)
+  union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end from crc where k < 8),
+steps as (select list(c order by i) t from crc where k = 8),
+texts as (
+  select 0 kind, row_number() over () r, doc_id, text from documents
+  union all select 1, row_number() over (), null, text from benchmark),
+w as (select kind, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from texts),
+f as (
+  select kind, r, array_to_string(w[i:i + k], ' ') x, count(*) n
+  from w, unnest([0, 1, 2]) a(k), unnest(range(1, len(w) + 1 - k)) b(i) group by all),
+codes as (
+  select x, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(x) * 2, 2), lambda p: ('0x' || hex(x)[p:p + 1])::bigint)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::bigint) % 10000 b
+  from (select distinct x from f), steps),
+fb as (select kind, r, b, sum(n) n from f join codes using (x) group by all),
+gains as (
+  select b, floor(1000 * ln((t + 1) * (sum(s) over () + 10000) / ((s + 1) * (sum(t) over () + 10000)))) g
+  from (select b, coalesce(sum(n) filter (kind = 0), 0)::double s, coalesce(sum(n) filter (kind = 1), 0)::double t from fb group by b)),
+weights as (select r, sum(n)::bigint n_features, sum(n * g)::bigint weight from fb join gains using (b) where kind = 0 group by r),
+scored as (
+  select doc_id, len(w) n_words, coalesce(n_features, 0)::bigint n_features, coalesce(weight, 0)::bigint weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::bigint + 0.5::double) / 4294967296::double))))::bigint score
+  from w left join weights using (r) where kind = 0),
+ranked as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) k, sum((n_words >= 20)::int) over () able from scored)
+select doc_id, n_features, weight, score, case when n_words >= 20 and k <= floor(5 * able / 100) then k end rank from ranked
 """,
 }
