@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens of byte-level pair encodings, over PLAIN characters only: letters, digits and white space are settled there.
+#: Pre-tokens of byte-level pair encodings, the commonest kind first; for texts without NOT_PLAIN characters only, as letters, digits and
+#: white space are settled there.
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ſ"
-PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
+PRETOKEN = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
 NOT_PLAIN = re.compile(rf"[^\t\n\x0b\x0c\r\x20-\x7e\xa1\xa7\xab\xb0\xb7\xbb\xbf\xd7\xf7{_LETTER}]")
-#: Pre-tokens remembered by a task, and characters of a text whose pre-tokens are listed at once.
+#: Pre-tokens remembered by a worker, twice so many at the most, and characters of a text whose pre-tokens are listed at once.
 REMEMBERED, LISTED = 1 << 19, 1 << 20
 #: Pieces that wait in a task; packing starts at so many and stops at half.
 POOL = 2048
@@ -53,20 +55,22 @@ class Limits:
 
 
 class _Ids(dict):
-    """Little-endian 32-bit ids of a text, by pre-tokens."""
+    """Little-endian 32-bit ids of a text, by pre-tokens. A full memory becomes the older one; what is still in use moves on from there."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[str, bytes] = {}
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        self[piece] = ids = self.encoded(piece)
+        self[piece] = ids = self.older.get(piece) or self.encoded(piece)
         return ids
 
     def of(self, text: str | None) -> bytes:
@@ -78,6 +82,12 @@ class _Ids(dict):
         return b"".join(map(self.__getitem__, pieces))
 
 
+@cache
+def _known(path: str) -> _Ids:
+    """One a worker process, whose tasks share it."""
+    return _Ids(path)
+
+
 @dataclass
 class _Example:
     key: int | None
@@ -101,30 +111,34 @@ class Packer:
         self.limits = limits
         self.caps = np.array([limits.tokens, limits.segments, limits.loss], dtype=np.float64)
         self.pieces: list[tuple[_Example, int, int]] = []
-        self.demand = np.ones((2 * POOL, 3))
+        self.demand = np.ones((3, 2 * POOL))
 
     def add(self, example: _Example, start: int, size: int) -> None:
-        if len(self.pieces) == len(self.demand):
-            self.demand = np.concatenate([self.demand, np.ones_like(self.demand)])
-        self.demand[len(self.pieces)] = size, 1, example.loss(start, size)
+        if len(self.pieces) == self.demand.shape[1]:
+            self.demand = np.concatenate([self.demand, np.ones_like(self.demand)], axis=1)
+        self.demand[:, len(self.pieces)] = size, 1, example.loss(start, size)
         self.pieces.append((example, start, size))
 
     def take(self, k: int) -> tuple[_Example, int, int]:
         piece, last = self.pieces[k], self.pieces.pop()
         if k < len(self.pieces):
-            self.pieces[k], self.demand[k] = last, self.demand[len(self.pieces)]
+            self.pieces[k], self.demand[:, k] = last, self.demand[:, len(self.pieces)]
         return piece
 
     def sequence(self) -> list[tuple[_Example, int, int]]:
         """One sequence from the pool, which holds a piece at least."""
         left, chosen = self.caps.copy(), []
-        weights = self.demand[: len(self.pieces)].sum(axis=0) / self.caps
+        weights = self.demand[:, : len(self.pieces)].sum(axis=1) / self.caps
         weights /= weights.max()
         while self.pieces and left.min() >= 1:
-            demand = self.demand[: len(self.pieces)]
-            product = demand @ (weights * left / self.caps**2)
-            fits = (demand <= left).all(axis=1)
-            k = int(np.argmax(np.where(fits, product, -1.0) if fits.any() else product))
+            tokens, _, loss = self.demand[:, : len(self.pieces)]
+            # every piece is one segment: that term of the product is the same for all
+            rate = weights * left / self.caps**2
+            product = tokens * rate[0] + loss * rate[2]
+            fits = product * ((tokens <= left[0]) & (loss <= left[2]))
+            k = int(fits.argmax())
+            if not fits[k]:
+                k = int(product.argmax())
             example, start, size = self.take(k)
             room = example.room(start, size, int(left[0]), int(left[2]))
             if room < size:
@@ -162,7 +176,7 @@ def _pack(path: str, limits: Limits, end_id: int, with_ids: bool):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Ids(path)
+        known = _known(path)
 
         def examples() -> Iterator[_Example]:
             for batch in batches:

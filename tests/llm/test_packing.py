@@ -83,7 +83,7 @@ def test_memory_of_pretokens_is_bounded(monkeypatch, tokenizer):
     monkeypatch.setattr(m, "REMEMBERED", 5)
     monkeypatch.setattr(m, "LISTED", 10)
     known, text = m._Ids(PATH), "the quick brown fox jumps over the lazy dog " * 3
-    assert known.of(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() and len(known) <= 5
+    assert known.of(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() and len(known) <= 5 and len(known.older) <= 5
 
 
 def greedy(sizes, limits):
