@@ -58,20 +58,38 @@ def site_of(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"(?::[0-9]*+)?\.?$|\.(?::[0-9]*+)$", "")
 
 
+def is_address(host: Column) -> Column:
+    """Hosts that are IPv4 addresses, or IPv6 ones in brackets: no part of them names an owner."""
+    return host.rlike(r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*\])$")
+
+
 def suffix_of(host: Column) -> Column:
-    """The public suffix: the last label, or two where the last is a country under a generic second level."""
+    """The public suffix: the last label, or two where the last is a country under a generic second level; an address is its own."""
     two = F.regexp_extract(host, r"(?:^|\.)((?:" + "|".join(SECOND_LEVEL) + r")\.[a-z]{2})$", 1)
-    return F.when(two != "", two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(is_address(host), host).when(two != "", two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the suffix and one label before it."""
-    suffix = suffix_of(host)
+def domain_of(host: Column, suffix: Column | None = None) -> Column:
+    """The registered domain: the suffix, by default suffix_of(), and one label before it; an address is its own."""
+    suffix = suffix_of(host) if suffix is None else suffix
     return F.when(F.length(suffix) == F.length(host), host).otherwise(
         F.concat_ws(".", F.substring_index(F.substring(host, F.lit(1), F.length(host) - F.length(suffix) - 1), ".", -1), suffix)
     )
 
 
+def named(hosts: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    """hosts with their domain and suffix. suffixes: a table of public suffixes (suffix), of which the longest that ends a host is its own;
+    hosts that none ends have suffix_of()."""
+    host = F.col("host")
+    if suffixes is None:
+        return hosts.withColumn("suffix", suffix_of(host)).withColumn("domain", domain_of(host))
+    ends = F.transform(F.sequence(F.lit(1), F.size(F.split(host, r"\."))), lambda k: F.array_join(F.slice(F.split(host, r"\."), k, 1_000_000), "."))
+    listed = suffixes.where("suffix is not null").select(F.lower("suffix").alias("end")).distinct()
+    found = hosts.where(~is_address(host)).select("host", F.explode(ends).alias("end")).join(listed, "end").groupBy("host").agg(F.max_by("end", F.length("end")).alias("listed"))
+    out = hosts.join(found, "host", "left").withColumn("suffix", F.coalesce("listed", suffix_of(host))).drop("listed")
+    return out.withColumn("domain", domain_of(host, F.col("suffix")))
+
+
 def ruled(host: Column, path: Column, rules: tuple[Rule, ...], field: str) -> Column:
     """Text or verdict of the longest rule that fits, or null. Rules are a short list, part of the program."""
     fits = lambda r: ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
@@ -137,10 +155,10 @@ def lower_bound(a: Column, b: Column, z: float) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
-def reputations(outcomes: DataFrame, z: float) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+def reputations(outcomes: DataFrame, z: float, suffixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, float]:
     """Bounds by host, domain and suffix, and overall; outcomes: host, good (0 or 1), one row a labelled page."""
     hosts = outcomes.where("host is not null and good is not null").groupBy("host").agg(F.sum(F.col("good").cast("double")).alias("good"), F.count(F.lit(1)).cast("double").alias("n"))
-    hosts = materialise(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "op4-hosts")
+    hosts = materialise(named(hosts, suffixes), "op4-hosts")
     up = lambda d, *keys: d.groupBy(*keys).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     good, n = hosts.agg(F.coalesce(F.sum("good"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
     mean = lambda d, key: d.select(key, (F.col("a") / (F.col("a") + F.col("b"))).alias("p_mean"))
@@ -152,16 +170,16 @@ def reputations(outcomes: DataFrame, z: float) -> tuple[DataFrame, DataFrame, Da
     return h.select("host", bound.alias("by_host")), d.select("domain", bound.alias("by_domain")), s.select("suffix", bound.alias("by_suffix")), overall
 
 
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, z: float = 1.645) -> DataFrame:
+def url_filter(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, z: float = 1.645, suffixes: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, bound.
 
     outcomes: page_id, good (0 or 1); several outcomes of a page all count. The verdict is the longest
-    rule's, else allow where the bound is at least threshold."""
+    rule's, else allow where the bound is at least threshold. suffixes: see named()."""
     d = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("site", site_of(F.col("host")))
     labelled = d.select("page_id", F.col("site").alias("host")).join(outcomes.select("page_id", "good"), "page_id")
-    by_host, by_domain, by_suffix, overall = reputations(labelled, z)
+    by_host, by_domain, by_suffix, overall = reputations(labelled, z, suffixes)
     # each distinct host is judged once; pages meet the verdict of their host
-    hosts = d.select(F.col("site").alias("host")).distinct().withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = named(d.select(F.col("site").alias("host")).distinct(), suffixes)
     judged = hosts.join(by_host, "host", "left").join(by_domain, "domain", "left").join(by_suffix, "suffix", "left")
     judged = materialise(judged.select(F.col("host").alias("site"), F.coalesce("by_host", "by_domain", "by_suffix", F.lit(overall)).alias("bound")), "op4-judged")
     rule = lambda field: ruled(F.col("host"), F.col("path"), rules, field)

@@ -1,6 +1,6 @@
 """URL rules and reputations."""
 
-from cartolith.llm.url_filter import domain_of, host_of, path_of, reputations, suffix_of, url_filter
+from cartolith.llm.url_filter import domain_of, host_of, named, path_of, reputations, suffix_of, url_filter
 from pyspark.sql import functions as F
 
 URLS = {
@@ -32,6 +32,26 @@ def test_domains(spark):
     d = spark.createDataFrame([("a.b.co.uk",), ("b.com",), ("com",), ("x.y.z.net",), ("",)], "h string")
     got = [(r.s, r.d) for r in d.select(suffix_of(F.col("h")).alias("s"), domain_of(F.col("h")).alias("d")).collect()]
     assert got == [("co.uk", "b.co.uk"), ("com", "b.com"), ("com", "com"), ("net", "z.net"), ("", "")]
+    addresses = ["10.0.0.4", "99.1.0.4", "[2001:db8::1]"]
+    own = spark.createDataFrame([(a,) for a in addresses], "h string").select(suffix_of(F.col("h")), domain_of(F.col("h"))).collect()
+    assert [tuple(r) for r in own] == [(a, a) for a in addresses]
+
+
+def test_suffix_table(spark):
+    """The longest listed suffix counts; hosts that none ends, and addresses, go by the built-in rule."""
+    hosts = spark.createDataFrame([("a.github.io",), ("github.io",), ("x.b.co.uk",), ("10.0.0.4",), ("one.io",), ("",)], "host string")
+    table = spark.createDataFrame([("github.io",), ("io",), ("4",), (None,), ("IO",)], "suffix string")
+    got = {r.host: (r.suffix, r.domain) for r in named(hosts, table).collect()}
+    assert got == {"a.github.io": ("github.io", "a.github.io"), "github.io": ("github.io", "github.io"), "x.b.co.uk": ("co.uk", "b.co.uk"), "10.0.0.4": ("10.0.0.4", "10.0.0.4"), "one.io": ("io", "one.io"), "": ("", "")}
+
+
+def test_addresses_are_judged_apart(spark):
+    """Bad pages of one address leave another one alone; ports do not part a host."""
+    pages = [(k, f"http://10.0.0.4:{80 + k}/p") for k in range(40)] + [(100 + k, "http://good.net/p") for k in range(200)] + [(500, "http://99.1.0.4/x"), (501, "http://[2001:db8::1]:8080/x"), (502, "http://10.0.0.4/new")]
+    good = [(k, 0) for k in range(40)] + [(100 + k, 1) for k in range(200)]
+    for table in (None, spark.createDataFrame([("net",)], "suffix string")):
+        got = {r.page_id: r.verdict for r in url_filter(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(good, "page_id long, good int"), suffixes=table).collect()}
+        assert (got[500], got[501], got[502]) == ("allow", "allow", "block")
 
 
 def test_shrinkage(spark):
