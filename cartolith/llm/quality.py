@@ -32,6 +32,7 @@ all words; languages share the models. Phrases of harmless words are not seen.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -340,9 +341,11 @@ def fitted(documents: DataFrame, labels: DataFrame, quantile: float, margin: flo
     level, n = F.percentile_approx(F.log("perplexity"), quantile, 10_000).alias("level"), F.count(F.lit(1)).alias("n")
     overall = crossed.agg(level).first()[0]
     own = crossed.groupBy("model").agg(level, n).unionByName(crossed.agg(level, n).withColumn("model", F.lit(ALL)))
-    share = F.col("n") / (F.col("n") + PRIOR_DOCS)
-    drawn = F.exp(share * F.col("level") + (1 - share) * F.lit(overall).cast("double")) * margin
-    limits = materialise(own.select("model", drawn.alias("threshold")), "op7-limits")
+    # a language whose trusted texts all lie in one half has a model but no text scored across: it has the overall quantile
+    named = models.where("shard = 0").select("model").unionByName(own.select("model")).distinct().join(own, "model", "left")
+    share = F.coalesce(F.col("n") / (F.col("n") + PRIOR_DOCS), F.lit(0.0))
+    drawn = F.exp(share * F.coalesce("level", F.lit(0.0)) + (1 - share) * F.lit(overall).cast("double")) * margin
+    limits = materialise(named.select("model", drawn.alias("threshold")), "op7-limits")
     discard(ids, trusted)
     return models, limits
 
@@ -366,9 +369,10 @@ def _quality(documents: DataFrame, labels: DataFrame, quantile: float, margin: f
     return scored.select("doc_id", "lang", "model", "n_chars", "perplexity", "row_key", "threshold", keep.alias("keep"))
 
 
-def good_documents(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.15) -> DataFrame:
-    """The documents that quality() keeps, all columns."""
-    bad = _quality(documents, labels, quantile, margin).where("not keep").select("doc_id", "lang", "row_key").distinct()
+def good_documents(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.15, toxic: bool = False) -> DataFrame:
+    """The documents that quality() keeps, all columns; with toxic those that judged() keeps, which rejects toxic ones too."""
+    found = (_judged if toxic else _quality)(documents, labels, quantile, margin)
+    bad = found.where("not keep").select("doc_id", "lang", "row_key").distinct()
     bad = materialise(bad.select(F.struct("doc_id", "lang", "row_key").alias("key")), "op7-bad")
     # rows are told apart by a struct, which is never null, so that null ids and languages meet as well
     rows = documents.select(F.struct(*documents.columns).alias("row"), F.struct("doc_id", "lang", F.xxhash64("text").alias("row_key")).alias("key"))
@@ -399,12 +403,15 @@ def toxic_words(documents: DataFrame, labels: DataFrame, quantile: float = 0.99)
         rest = discount * total[f"{name}_some"] / total["words"]
         return F.log((F.greatest(parts[name] - discount, F.lit(0.0)) + rest) / float(total[f"{name}_sum"]))
 
-    if not all(total[f"{n}_sum"] for n in parts):
+    if not (total["r2_sum"] and total["t2_sum"]):
         return counts.where("false").select("word", F.lit(0.0).alias("ratio"))
-    # by each half's model, in how many trusted documents of the other half the words of a ratio lie, at most
-    held = [counts.where(parts[f"r{m}"] > 0).select((log_p(f"r{m}") - log_p(f"t{m}")).alias("ratio"), F.col(f"t{1 - m}").alias("n")) for m in (0, 1)]
-    steps = held[0].union(held[1]).groupBy(F.floor(F.col("ratio") / STEP).alias("step")).agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
-    trusted = documents.select("doc_id", "text").where("text is not null").join(materialise(trusted_ids(labels), "op7-side"), "doc_id").count()
+    # by each half's model, in how many trusted documents of the other half the words of a ratio lie, at most; a half without
+    # toxic or without trusted text has no model, and if neither has one, the whole's model is held against its own texts
+    halves = [(m, 1 - m) for m in (0, 1) if total[f"r{m}_sum"] and total[f"t{m}_sum"]] or [(2, 2)]
+    held = [counts.where(parts[f"r{m}"] > 0).select((log_p(f"r{m}") - log_p(f"t{m}")).alias("ratio"), parts[f"t{other}"].alias("n")) for m, other in halves]
+    steps = reduce(DataFrame.union, held).groupBy(F.floor(F.col("ratio") / STEP).alias("step")).agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
+    tried = d.where("text is not null").where(F.col("fold").isin([other for _, other in halves]) | F.lit(halves == [(2, 2)]))
+    trusted = tried.join(materialise(trusted_ids(labels), "op7-side"), "doc_id").count()
     limit, hit = 0.0, 0
     for row in steps:  # as many rows as a logarithm has steps
         hit += row.n
@@ -418,7 +425,11 @@ def toxic_words(documents: DataFrame, labels: DataFrame, quantile: float = 0.99)
 def judged(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.15) -> DataFrame:
     """The columns of quality() and toxic_ratio, the strongest ratio of a word that rejects, or null without one; such
     documents are not kept."""
+    return _judged(documents, labels, quantile, margin).drop("row_key")
+
+
+def _judged(documents: DataFrame, labels: DataFrame, quantile: float, margin: float) -> DataFrame:
     found = _words(documents.select("text", F.xxhash64("text").alias("row_key")), "row_key").join(toxic_words(documents, labels, quantile), "word")
     hits = materialise(found.groupBy("row_key").agg(F.max("ratio").alias("toxic_ratio")), "op7-hits")
-    d = _quality(documents, labels, quantile, margin).join(hits, "row_key", "left").drop("row_key")
+    d = _quality(documents, labels, quantile, margin).join(hits, "row_key", "left")
     return d.withColumn("keep", F.col("keep") & F.col("toxic_ratio").isNull())

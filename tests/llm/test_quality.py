@@ -84,3 +84,46 @@ def test_counts_of_many_languages():
         for lang, n in zip(part.column("lang").to_pylist(), part.column("n").to_pylist()):
             got[lang] += n
     assert got == {f"l{k}": 4 * (5 + k) for k in range(45)}
+
+
+def _prose(k, words="the quick brown fox and the lazy dog walk along the river in the morning sun while birds sing above old stone walls".split()):
+    return " ".join(words[(k * 7 + i * (k % 5 + 1)) % len(words)] for i in range(60))
+
+
+def test_a_language_trusted_in_one_fold(spark):
+    """One trusted text of a language lies in one half of the documents: its junk is held against the overall quantile."""
+    rng = np.random.default_rng(3)
+    noise = ["".join(chr(97 + c) for c in rng.integers(0, 26, 300)) + "qzx jkv" for _ in range(10)]
+    docs = [(k, _prose(k), "en") for k in range(60)] + [(100, _prose(100), "xx")]
+    docs += [(200 + k, noise[k], "en" if k < 5 else "xx") for k in range(10)] + [(300, _prose(4), "xx")]
+    labels = spark.createDataFrame([(k, 1, 0) for k in (*range(60), 100)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in q.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels).collect()}
+    assert {r.model for r in got.values() if r.lang == "xx"} == {"xx"}
+    assert not any(got[200 + k].keep for k in range(10)) and got[300].keep and got[100].keep
+    assert all(r.threshold is not None for r in got.values())
+
+
+def test_thresholds_by_hand(spark):
+    """Each model's limit: the quantile of its held-out texts, drawn to the overall one by their number, times the margin."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    models, limits = q.fitted(docs, labels, 0.9, 1.1)
+    d = docs.select("doc_id", "lang", "text", q.fold().alias("fold"), F.xxhash64("text").alias("row_key")).join(q.trusted_ids(labels), "doc_id").where("text is not null")
+    rows = q.score(q.placed(d.withColumn("fold", 1 - F.col("fold")), models), models).where("perplexity is not null and modelled").collect()
+    level = lambda values: np.sort(np.log(values))[int(np.ceil(0.9 * len(values))) - 1]
+    overall = level([r.perplexity for r in rows])
+    for row in limits.collect():
+        own = [r.perplexity for r in rows if r.model == row.model]
+        own = [r.perplexity for r in rows] if row.model == q.ALL else own
+        share = len(own) / (len(own) + q.PRIOR_DOCS)
+        assert row.threshold == pytest.approx(1.1 * np.exp(share * (level(own) if own else 0) + (1 - share) * overall), rel=1e-3)
+
+
+def test_toxic_labels_in_one_fold(spark):
+    """Toxic labels of one half of the documents only still reject toxic documents."""
+    ids = [r.doc_id for r in spark.range(400).select(F.col("id").alias("doc_id")).select("doc_id", q.fold().alias("fold")).where("fold = 0").collect()]
+    docs = spark.createDataFrame([(k, _prose(k) + (" vile" if k in set(ids[::4]) or k in (1000, 1001) else ""), "en") for k in (*range(400), 1000, 1001)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, int(k in set(ids[::4]))) for k in range(400)], "doc_id long, quality int, toxic int")
+    bad = {r.doc_id for r in q.judged(docs, labels).where("toxic_ratio is not null").collect()}
+    assert bad == {*ids[::4], 1000, 1001}
+    kept = {r.doc_id for r in q.good_documents(docs, labels, toxic=True).collect()}
+    assert not kept & bad and len(kept) > 250
