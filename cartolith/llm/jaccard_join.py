@@ -311,7 +311,10 @@ def settled(pairs: DataFrame, sets_of, percent: int) -> DataFrame:
 
 
 def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, row_key (hash of the text): one row a document.
+    """doc_id, n_shingles, component_id, row_key (hash of the text), component_key: one row a document.
+
+    Rows have one component_key if they are in one component; unlike component_id it also tells components apart
+    whose smallest ids are one repeated id. It is null for rows without id or words.
 
     Two documents link if 100 * intersection >= percent * union of their sets of shingles of size words."""
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
@@ -335,23 +338,26 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -
 
     comps = linked(regions, firsts.select("node", "sketch"), sets_of, percent).join(firsts.select("node", "doc_id"), "node")
     smallest = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = comps.join(smallest, "comp").select("node", "component_id")
-    ids = materialise(firsts.join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "op5-components")
+    named = comps.join(smallest, "comp").select("node", "comp", "component_id")
+    ids = firsts.join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("comp", "node").alias("component_key"))
+    ids = materialise(ids, "op5-components")
     discard(wide, regions)
     out = keys.drop("sketch").join(ids, "node", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), "row_key")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), "row_key", F.when(F.col("n") > 0, F.col("component_key")).alias("component_key"))
 
 
 def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest id of their component, all columns; of rows that share that id one.
+    """One document of each component, all columns: the one with the smallest id, and of rows that share that id and are near each other the
+    one with the smallest row_key. Rows of one id with unlike texts are in different components: each is settled by itself.
 
     Documents without words or id stay. Columns may have any name."""
     found = materialise(jaccard_components(documents, size, percent), "op5-rows").where("doc_id is not null and n_shingles > 0")
     key = ["doc_id", "row_key"]
-    again = found.groupBy("doc_id").agg(F.min("row_key").alias("first_key"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    later = found.join(again, "doc_id").where("row_key <> first_key").select(*key)
-    gone = found.where("component_id < doc_id").select(*key).union(later).distinct()
+    # one row a component, in a table, so that a component with many of the rows can be split
+    firsts = found.groupBy("component_key").agg(F.min(F.struct(*key)).alias("first"), F.max(F.struct(*key)).alias("last")).where("first <> last")
+    firsts = materialise(firsts.select("component_key", "first"), "op5-survivors")
+    gone = found.join(firsts, "component_key").where(F.struct(*key) != F.col("first")).select(*key).distinct()
     same = found.groupBy(*key).count().where("count > 1").select(*key).join(gone, key, "left_anti")
     marks = materialise(gone.withColumn("mark", F.lit("gone")).union(same.withColumn("mark", F.lit("same"))), "op5-marks")
     # the row travels as one column, beside which any name is free

@@ -36,7 +36,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The number in a page's path is the id of its document; a page is good if that one's label says so."""
+    """The number in a page's path is the id of the document that the page shows, whose first words its html holds; a page is good
+    if that document's label says so."""
     pages = table(spark, sf_dir, "pages")
     labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
     made_from = pages.select("page_id", F.expr(r"try_cast(regexp_extract(url, '^[^?#]*/([0-9]+)', 1) as bigint)").alias("doc_id"))
@@ -44,7 +45,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85).drop("row_key")
+    return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85).drop("row_key", "component_key")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

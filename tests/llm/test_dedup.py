@@ -112,7 +112,19 @@ def test_jaccard_components(spark, size, percent):
     kept = one_of_each(d, size, percent)
     assert kept.columns == d.columns
     ids = [r.doc_id for r in kept.collect() if r.doc_id not in (5, 6, None)]
-    assert sorted(ids) == sorted({r[2] for r in got if r[1] and r[2] is not None})
+    # id 7 has two unlike texts, which are in two components: a row of each stays
+    assert sorted(ids) == sorted([*{r[2] for r in got if r[1] and r[2] is not None}, 7])
+
+
+def test_one_of_each_loses_no_text(spark):
+    """Of repeated ids with unlike texts, each text's component keeps one row; of equal rows one stays."""
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(7, x), (7, y), (9, x + " more"), (9, y), (7, x), (3, "a b c d e f g"), (4, None), (4, None), (None, x), (5, "")]
+    d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_key int")
+    want = [(7, x), (7, y), (3, "a b c d e f g"), (4, None), (4, None), (None, x), (5, "")]
+    assert sorted(((r.doc_id, r.text) for r in one_of_each(d).collect()), key=str) == sorted(want, key=str)
+    near = [(1, x + " one"), (1, x), (2, x + " two")]
+    assert [r.doc_id for r in one_of_each(spark.createDataFrame(near, "doc_id long, text string")).collect()] == [1]
 
 
 def test_spare_is_monotone():

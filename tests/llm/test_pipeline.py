@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline
 from cartolith.llm.decontaminate import budget, myers, normalise
-from cartolith.llm.quality import quality
+from cartolith.llm.quality import judged
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def test_stages(spark, tmp_path):
         kept[name] = len(after)
         ids = {r["doc_id"] for r in after}
         if name == "quality":
-            want = {r.doc_id for r in quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("keep").collect()}
+            want = {r.doc_id for r in judged(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("keep").collect()}
             assert ids == want and 0.5 * len(before) < len(ids) < len(before)
         elif name == "near_duplicates":
             sets = {r["doc_id"]: shingles(r["text"]) for r in before}
