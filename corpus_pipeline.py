@@ -17,8 +17,8 @@ from cartolith.llm.quality import good_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return good_documents(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier rejects go, toxic ones among them."""
+    return good_documents(docs, table(spark, sf_dir, "labels"), toxic=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
