@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from . import geometry as G
 
-EPSILON, BOUND = 1e-12, 1e7
+EPSILON, BOUND = 1e-10, 1e7
 _POINTS = "array<struct<x:double,y:double>>"
 
 

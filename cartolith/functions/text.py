@@ -22,6 +22,9 @@ GENERIC_WORDS = ("sarl", "sas", "sasu", "eurl", "sa", "sci", "snc", "et", "de",
 # fixed values: road number prefixes
 ROAD_PREFIXES = ("n", "d", "a", "rn", "rd", "c", "vc", "cr", "e")
 
+# fixed values: what may follow a house number
+HOUSE_SUFFIXES = ("bis", "ter", "quater", "quinquies", "a", "b", "c", "d", "e", "f")
+JOINED_SUFFIX = "bis|ter|quater|[a-f]"
 # fixed values: patterns of labels
 CUT_PARENTHESIS, LOOSE_ENDS = r"\s*\([^)]*$", r"^[\s\-–—,;:/_]+|[\s\-–—,;:/_]+$"
 ROAD_NUMBER = "[0-9]{1,4}[a-z]?"
@@ -69,6 +72,22 @@ def house_number(c: Column) -> Column:
     return F.array_join(tokens(F.regexp_replace(c, "(?i)^([0-9]+)([a-z]+)$", "$1 $2")), " ")
 
 
+def parsed_query(c: Column) -> Column:
+    """struct<words, number, rest, tokens> of a query: its folded words, the house number that it begins with or null, the words after that
+    number as one string, and the search tokens of these."""
+
+    def split(words: Column) -> Column:
+        second, n = F.get(words, F.lit(1)), F.size(words)
+        begins = F.get(words, F.lit(0)).rlike("^[0-9]{1,4}$") & (n > 1)
+        used = F.when(begins & (n > 2) & second.isin(*HOUSE_SUFFIXES), 2).when(begins & ~second.rlike("^[0-9]"), 1).otherwise(0)
+        part = lambda first, size: F.array_join(F.slice(words, first, size), " ")
+        return F.struct(words.alias("words"), F.when(used > 0, part(F.lit(1), used)).alias("number"), part(used + 1, n).alias("rest"))
+
+    words = tokens(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?i)^\s*([0-9]{{1,4}})({JOINED_SUFFIX})\b", "$1 $2"))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    return once(once(words, split), lambda p: F.struct(p["words"], p["number"], p["rest"], search_tokens(p["rest"]).alias("tokens")))
+
+
 def token_variants(t: Column) -> Column:
     """Singular and plural forms of a token, itself left out."""
     last = F.right(t, F.lit(1)).isin("s", "x")
