@@ -47,26 +47,52 @@ CATEGORY_KEYS = (
     "natural", "social_facility", "landuse", "building",
 )
 PRESENCE = {"shop": "shop", "office": "office", "craft": "contractor", "historic": "monument", "tourism": "attraction"}
-# fixed values: the commonest tags and their categories; a full table is a parameter of the functions below
+# fixed values: tags and their categories
 TAG_CATEGORY = {
-    "amenity=restaurant": "restaurant", "amenity=fast_food": "fast_food", "amenity=cafe": "cafe", "amenity=ice_cream": "cafe", "amenity=bar": "bar", "amenity=pub": "bar",
-    "amenity=pharmacy": "pharmacy", "healthcare=pharmacy": "pharmacy", "amenity=doctors": "doctor", "healthcare=doctor": "doctor", "amenity=clinic": "hospital",
-    "amenity=hospital": "hospital", "amenity=dentist": "dentist", "healthcare=nurse": "nurse", "healthcare=physiotherapist": "nurse", "healthcare=laboratory": "laboratory",
-    "amenity=veterinary": "veterinary", "amenity=nursing_home": "nursing_home", "amenity=police": "police", "amenity=fire_station": "fire_station",
-    "tourism=hotel": "hotel", "tourism=guest_house": "guest_house", "tourism=camp_site": "campsite", "amenity=fuel": "fuel", "amenity=charging_station": "charging",
-    "amenity=parking": "parking", "shop=car_repair": "car_repair", "shop=car": "car_dealer", "railway=station": "train_station", "railway=halt": "train_station",
-    "highway=bus_stop": "bus_stop", "aeroway=aerodrome": "airport", "amenity=bank": "bank", "amenity=atm": "atm", "office=insurance": "insurance",
-    "amenity=post_office": "post_office", "amenity=townhall": "town_hall", "office=government": "public_service", "amenity=school": "school", "amenity=university": "university",
-    "amenity=kindergarten": "kindergarten", "amenity=library": "library", "tourism=museum": "museum", "amenity=cinema": "cinema", "amenity=theatre": "theatre",
-    "amenity=place_of_worship": "place_of_worship", "building=church": "place_of_worship", "landuse=cemetery": "cemetery", "tourism=attraction": "attraction",
-    "tourism=viewpoint": "viewpoint", "tourism=information": "tourist_info", "historic=castle": "castle", "historic=monument": "monument", "historic=memorial": "monument",
-    "man_made=water_tower": "water_tower", "man_made=wastewater_plant": "utility", "leisure=park": "park", "leisure=garden": "park", "leisure=pitch": "sports",
-    "leisure=sports_centre": "sports", "leisure=stadium": "sports", "leisure=swimming_pool": "swimming_pool", "leisure=playground": "playground", "amenity=marketplace": "market",
-    "amenity=toilets": "toilets", "amenity=drinking_water": "water_point", "natural=spring": "water_point", "natural=peak": "viewpoint", "shop=supermarket": "supermarket",
-    "shop=convenience": "convenience", "shop=bakery": "bakery", "shop=butcher": "butcher", "shop=wine": "wine_shop", "craft=winery": "winery", "shop=hairdresser": "hairdresser",
-    "shop=laundry": "laundry", "office=estate_agent": "real_estate", "office=lawyer": "legal", "office=accountant": "accountant", "office=architect": "architect",
-    "shop=clothes": "clothes", "shop=shoes": "shoes", "shop=florist": "florist", "shop=hardware": "diy", "shop=furniture": "furniture", "shop=electronics": "electronics",
-    "shop=books": "books_news", "shop=optician": "optician", "shop=jewelry": "jewelry", "shop=sports": "sports_shop", "shop=gift": "gift_shop",
+    "amenity=restaurant": "restaurant", "amenity=fast_food": "fast_food", "amenity=food_court": "fast_food", "amenity=cafe": "cafe", "amenity=ice_cream": "cafe",
+    "amenity=bar": "bar", "amenity=pub": "bar", "amenity=biergarten": "bar", "amenity=nightclub": "bar", "amenity=pharmacy": "pharmacy",
+    "healthcare=pharmacy": "pharmacy", "amenity=doctors": "doctor", "healthcare=doctor": "doctor", "amenity=clinic": "hospital", "healthcare=clinic": "hospital",
+    "amenity=hospital": "hospital", "healthcare=hospital": "hospital", "amenity=dentist": "dentist", "healthcare=dentist": "dentist", "healthcare=nurse": "nurse",
+    "healthcare=physiotherapist": "nurse", "healthcare=alternative": "nurse", "healthcare=psychotherapist": "nurse", "healthcare=podiatrist": "nurse",
+    "healthcare=speech_therapist": "nurse", "healthcare=midwife": "nurse", "healthcare=laboratory": "laboratory", "healthcare=centre": "doctor",
+    "amenity=veterinary": "veterinary", "amenity=nursing_home": "nursing_home", "social_facility=nursing_home": "nursing_home",
+    "amenity=social_facility": "nursing_home", "amenity=police": "police", "amenity=fire_station": "fire_station", "emergency=ambulance_station": "hospital",
+    "emergency=defibrillator": "hospital", "tourism=hotel": "hotel", "tourism=motel": "hotel", "tourism=hostel": "hotel", "tourism=guest_house": "guest_house",
+    "tourism=chalet": "guest_house", "tourism=apartment": "guest_house", "tourism=camp_site": "campsite", "tourism=caravan_site": "campsite", "amenity=fuel": "fuel",
+    "amenity=charging_station": "charging", "amenity=parking": "parking", "amenity=bicycle_parking": "parking", "amenity=car_wash": "car_repair",
+    "shop=car_repair": "car_repair", "shop=tyres": "car_repair", "shop=car": "car_dealer", "shop=car_parts": "car_dealer", "shop=motorcycle": "car_dealer",
+    "railway=station": "train_station", "railway=halt": "train_station", "public_transport=station": "train_station", "highway=bus_stop": "bus_stop",
+    "amenity=bus_station": "bus_stop", "aeroway=aerodrome": "airport", "amenity=taxi": "taxi", "amenity=bank": "bank", "amenity=atm": "atm",
+    "amenity=bureau_de_change": "bank", "office=insurance": "insurance", "amenity=post_office": "post_office", "amenity=post_box": "post_office",
+    "amenity=townhall": "town_hall", "office=government": "public_service", "amenity=courthouse": "public_service", "amenity=community_centre": "theatre",
+    "amenity=social_centre": "public_service", "amenity=school": "school", "amenity=college": "university", "amenity=university": "university",
+    "amenity=kindergarten": "kindergarten", "amenity=childcare": "kindergarten", "amenity=driving_school": "driving_school", "amenity=library": "library",
+    "tourism=museum": "museum", "tourism=gallery": "museum", "amenity=arts_centre": "museum", "amenity=cinema": "cinema", "amenity=theatre": "theatre",
+    "amenity=events_venue": "theatre", "amenity=place_of_worship": "place_of_worship", "building=church": "place_of_worship", "building=chapel": "place_of_worship",
+    "building=cathedral": "place_of_worship", "historic=wayside_cross": "monument", "historic=wayside_shrine": "monument", "amenity=grave_yard": "cemetery",
+    "landuse=cemetery": "cemetery", "tourism=attraction": "attraction", "tourism=viewpoint": "viewpoint", "tourism=artwork": "monument",
+    "tourism=picnic_site": "park", "tourism=information": "tourist_info", "historic=castle": "castle", "historic=fort": "castle", "historic=tower": "castle",
+    "historic=city_gate": "castle", "historic=monument": "monument", "historic=memorial": "monument", "historic=ruins": "monument",
+    "historic=archaeological_site": "monument", "historic=manor": "castle", "historic=church": "place_of_worship", "historic=monastery": "place_of_worship",
+    "man_made=windmill": "monument", "man_made=watermill": "monument", "man_made=water_tower": "water_tower", "man_made=tower": "water_tower",
+    "man_made=wastewater_plant": "utility", "man_made=water_works": "utility", "amenity=recycling": "utility", "leisure=park": "park", "leisure=garden": "park",
+    "leisure=nature_reserve": "park", "leisure=pitch": "sports", "leisure=sports_centre": "sports", "leisure=stadium": "sports", "leisure=golf_course": "sports",
+    "leisure=horse_riding": "sports", "leisure=track": "sports", "leisure=swimming_pool": "swimming_pool", "leisure=water_park": "swimming_pool",
+    "leisure=fitness_centre": "fitness", "amenity=spa": "fitness", "leisure=playground": "playground", "amenity=marketplace": "market", "amenity=toilets": "toilets",
+    "amenity=drinking_water": "water_point", "amenity=fountain": "water_point", "natural=peak": "viewpoint", "natural=spring": "water_point",
+    "shop=supermarket": "supermarket", "shop=convenience": "convenience", "shop=general": "convenience", "shop=greengrocer": "greengrocer", "shop=farm": "farm",
+    "shop=bakery": "bakery", "shop=pastry": "bakery", "shop=butcher": "butcher", "shop=deli": "butcher", "shop=cheese": "greengrocer", "shop=seafood": "butcher",
+    "shop=wine": "wine_shop", "shop=alcohol": "wine_shop", "craft=winery": "winery", "craft=distillery": "winery", "shop=hairdresser": "hairdresser",
+    "shop=beauty": "beauty", "shop=cosmetics": "beauty", "shop=massage": "beauty", "shop=tattoo": "beauty", "shop=laundry": "laundry",
+    "shop=dry_cleaning": "laundry", "shop=funeral_directors": "funeral", "office=estate_agent": "real_estate", "office=lawyer": "legal", "office=notary": "legal",
+    "office=accountant": "accountant", "office=architect": "architect", "office=engineer": "architect", "shop=travel_agency": "travel_agency",
+    "office=it": "it_media", "shop=clothes": "clothes", "shop=boutique": "clothes", "shop=fashion_accessories": "clothes", "shop=shoes": "shoes",
+    "shop=florist": "florist", "shop=garden_centre": "florist", "shop=pet": "florist", "shop=hardware": "diy", "shop=doityourself": "diy", "shop=trade": "diy",
+    "shop=furniture": "furniture", "shop=interior_decoration": "furniture", "shop=appliance": "furniture", "shop=kitchen": "furniture",
+    "shop=electronics": "electronics", "shop=computer": "electronics", "shop=mobile_phone": "electronics", "shop=books": "books_news",
+    "shop=newsagent": "books_news", "shop=stationery": "books_news", "shop=tobacco": "books_news", "shop=optician": "optician", "shop=hearing_aids": "optician",
+    "shop=jewelry": "jewelry", "shop=sports": "sports_shop", "shop=bicycle": "sports_shop", "shop=outdoor": "sports_shop", "shop=gift": "gift_shop",
+    "shop=toys": "gift_shop", "shop=antiques": "gift_shop", "shop=second_hand": "gift_shop", "shop=variety_store": "gift_shop",
 }
 # fixed values: the order in which keys are tried for a bare value
 VALUE_KEYS = ("amenity", "shop", "healthcare", "tourism", "historic", "leisure", "office", "craft", "man_made", "natural", "railway", "highway", "emergency", "aeroway")

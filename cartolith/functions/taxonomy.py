@@ -17,7 +17,7 @@ SECTIONS = (
     (45, 47, "G", "shop"), (49, 53, "H", "industry"), (55, 56, "I", "restaurant"), (58, 63, "J", "it_media"), (64, 66, "K", "bank"), (68, 68, "L", "real_estate"),
     (69, 75, "M", "office"), (77, 82, "N", "office"), (84, 84, "O", "public_service"), (85, 85, "P", "school"), (86, 88, "Q", "doctor"), (90, 93, "R", "attraction"), (94, 96, "S", "office"),
 )
-# fixed values: the commonest activity codes and their categories; a full table is a parameter of activity_category
+# fixed values: activity codes whose category is not that of their division; another table is a parameter of activity_category
 ACTIVITIES = {
     "10.71A": "bakery", "10.71B": "bakery", "10.71C": "bakery", "10.71D": "bakery", "10.13B": "butcher", "10.11Z": "industry", "11.01Z": "winery", "11.02A": "winery",
     "11.02B": "winery", "01.21Z": "winery", "45.11Z": "car_dealer", "45.19Z": "car_dealer", "45.20A": "car_repair", "45.20B": "car_repair", "45.31Z": "car_dealer",

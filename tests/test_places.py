@@ -78,3 +78,16 @@ def test_next_opening(spark):
     d = spark.createDataFrame([(week, 0, 500), (week, 0, 600), (week, 2, 600), (week, 3, 0), ([[]] * 7, 0, 0)], "w array<array<struct<start:int,stop:int>>>, day int, minute int")
     got = [r[0] and tuple(r[0]) for r in d.select(hours.next_opening(F.col("w"), F.col("day"), F.col("minute"))).collect()]
     assert got == [(0, 540), (2, 600), (5, 540), (4, 540), None]
+
+
+def test_categories_of_rarer_tags(spark):
+    """Tags beyond the common ones, key order and presence: examples of our own."""
+    from cartolith.functions import osm_tags
+
+    rows = [
+        ({"shop": "pastry"}, "bakery"), ({"amenity": "college"}, "university"), ({"tourism": "hostel", "name": "x"}, "hotel"), ({"shop": "variety_store"}, "gift_shop"), ({"healthcare": "midwife"}, "nurse"),
+        ({"historic": "city_gate", "shop": "kiosk"}, "castle"), ({"shop": "kiosk"}, "shop"), ({"craft": "distillery"}, "winery"), ({"craft": "roofer"}, "contractor"), ({"amenity": "spa", "shop": "bakery"}, "fitness"), ({"natural": "tree"}, None),
+    ]
+    d = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, t map<string,string>")
+    assert [r.c for r in d.select("k", osm_tags.category(d.t).alias("c")).orderBy("k").collect()] == [c for _, c in rows]
+    assert len(osm_tags.TAG_CATEGORY) == 199
