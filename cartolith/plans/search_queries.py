@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cartolith.functions import text
-from cartolith.operators.search_index import build_index, search_many
+from cartolith.operators.search_index import build_index, query_keys, search_many, word_keys
 from cartolith.plans.tables import shared_dir
 from cartolith.sources import readers
 
@@ -92,3 +92,19 @@ def search_index_queries(spark, d):
     index = build_index(page_records(spark, d), f"{shared_dir(spark)}/search-{uuid.uuid4().hex}", ("name", "commune"), "house")
     hits = search_many(index, page_queries(spark, d), 5)
     return hits.select("query_id", "record_id", F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
+
+
+@query(f"""
+with v as (select distinct unnest({_SPLIT.format(FOLD.format(_TITLE))}) t from pages),
+p as (select a.t asked, b.t word, levenshtein(a.t, b.t) edits from v a, v b where a.t <> b.t and not regexp_matches(a.t, '^[0-9]+$') and (left(a.t, 1) = left(b.t, 1) or (left(b.t, 1) = a.t[2] and b.t[2] = left(a.t, 1))))
+select asked, word, edits from p where edits <= case when length(asked) < 4 then 0 when length(asked) < 7 then 1 else 2 end""")
+def edit_pairs(spark, d):
+    """Words of titles that each word of titles may be a mistyped form of: candidates share a string after deletions, the vocabulary is never scanned."""
+    v = table(spark, d, "pages").select(F.explode(text.tokens(readers.page_title(F.col("html")))).alias("t")).distinct()
+    asked, words = F.col("asked"), F.col("word")
+    left = v.select(F.col("t").alias("asked"), F.explode(query_keys(F.col("t"), F.lit(False), F.lit(False))).alias("key")).where("not rlike(asked, '^[0-9]+$')")
+    right = v.select(F.col("t").alias("word"), F.explode(word_keys(F.col("t"))).alias("key"))
+    pairs = left.join(right, "key").where("asked <> word").select("asked", "word").distinct()
+    swapped = (F.substring(words, 1, 1) == F.substring(asked, 2, 1)) & (F.substring(words, 2, 1) == F.substring(asked, 1, 1))
+    near = pairs.where((F.substring(asked, 1, 1) == F.substring(words, 1, 1)) | swapped).withColumn("edits", text.bounded_edits(asked, words, 2))
+    return near.where(F.col("edits") <= text.allowed_edits(F.length("asked"))).select("asked", "word", F.col("edits").cast("long").alias("edits"))
