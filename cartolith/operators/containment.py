@@ -34,20 +34,33 @@ def _bin(y: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.col("bins") - 1, F.floor((y - F.col("y0")) / F.col("height")).cast("int")))
 
 
+def binned_boxes(edges: DataFrame) -> DataFrame:
+    """polygon_id, x0, x1, y0, y1, bins, height: the box of each polygon's edges and the bins of its height; one row a polygon."""
+    low, high = (lambda a, b: F.min(F.least(a, b))), (lambda a, b: F.max(F.greatest(a, b)))
+    boxes = edges.groupBy("polygon_id").agg(low("ax", "bx").alias("x0"), high("ax", "bx").alias("x1"), low("ay", "by").alias("y0"), high("ay", "by").alias("y1"), F.count(F.lit(1)).alias("edges"))
+    bins = F.greatest(F.lit(1), F.least(F.lit(MOST_BINS), F.floor(F.col("edges") / EDGES_A_BIN))).cast("int")
+    return boxes.withColumn("bins", bins).withColumn("height", F.when(F.col("y1") > F.col("y0"), (F.col("y1") - F.col("y0")) / F.col("bins")).otherwise(F.lit(1.0))).drop("edges")
+
+
+def in_box() -> Column:
+    """Whether the point (x, z) of a row lies in its box."""
+    return F.col("x").between(F.col("x0") - EPSILON, F.col("x1") + EPSILON) & F.col("z").between(F.col("y0") - EPSILON, F.col("y1") + EPSILON)
+
+
 def crossings(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     """id, polygon_id, odd (the ray crosses an odd number of edges), on_edge and on_hole: a row for each point (id, x, z) in the box of a polygon whose
     bin has edges that matter to it. size: width of the grid cells of boxes."""
     edges = materialise(polygon_edges(polygons), "polygon-edges")
-    low, high = (lambda a, b: F.min(F.least(a, b))), (lambda a, b: F.max(F.greatest(a, b)))
-    boxes = edges.groupBy("polygon_id").agg(low("ax", "bx").alias("x0"), high("ax", "bx").alias("x1"), low("ay", "by").alias("y0"), high("ay", "by").alias("y1"), F.count(F.lit(1)).alias("edges"))
-    bins = F.greatest(F.lit(1), F.least(F.lit(MOST_BINS), F.floor(F.col("edges") / EDGES_A_BIN))).cast("int")
-    boxes = boxes.withColumn("bins", bins).withColumn("height", F.when(F.col("y1") > F.col("y0"), (F.col("y1") - F.col("y0")) / F.col("bins")).otherwise(F.lit(1.0)))
-    boxes = materialise(boxes.drop("edges"), "polygon-boxes")  # one row a polygon
+    boxes = materialise(binned_boxes(edges), "polygon-boxes")
     touched = lambda a, b: F.explode(F.sequence(cell(F.col(a) - EPSILON, size), cell(F.col(b) + EPSILON, size)))
     cells = boxes.withColumn("cx", touched("x0", "x1")).withColumn("cy", touched("y0", "y1"))
-    x, y = F.col("x"), F.col("z")
     p = points.select("id", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z")).withColumn("cx", cell("x", size)).withColumn("cy", cell("z", size))
-    near = p.join(cells, ["cx", "cy"]).where(x.between(F.col("x0") - EPSILON, F.col("x1") + EPSILON) & y.between(F.col("y0") - EPSILON, F.col("y1") + EPSILON))
+    return parity(p.join(cells, ["cx", "cy"]).where(in_box()), boxes, edges)
+
+
+def parity(near: DataFrame, boxes: DataFrame, edges: DataFrame) -> DataFrame:
+    """crossings() of pairs of points and polygons: near has id, x, z and the columns of boxes, which binned_boxes() made of edges."""
+    x, y = F.col("x"), F.col("z")
     near = near.select("id", "polygon_id", "x", "z", _bin(y).alias("bin"))
     ends = lambda pick, sign: _bin(pick("ay", "by") + sign * EPSILON)
     dealt = edges.join(boxes.select("polygon_id", "y0", "bins", "height"), "polygon_id").withColumn("bin", F.explode(F.sequence(ends(F.least, -1), ends(F.greatest, 1))))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.plans.tables import materialise
+
+from .rings import relation_rings, walked
+
+#: fixed values: kinds whose closed ways are areas
+AREA_KINDS = ("building", "water", "landuse", "poi")
+
 
 def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """way_id, line (points in order) of the ways all of whose nodes are known; ways: way_id, nodes; nodes: node_id, x, y."""
@@ -14,61 +20,29 @@ def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.where(F.size("p") == F.col("n")).select("way_id", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("line"))
 
 
-def join_ends(lines: list[list[tuple]]) -> list[list[tuple]] | None:
-    """Closed rings from lines that meet at their ends, either way round; None if one stays open."""
-    rings, rest = [], list(lines)
-    while rest:
-        ring = list(rest.pop(0))
-        while ring[0] != ring[-1]:
-            k = next((k for k, l in enumerate(rest) if ring[-1] in (l[0], l[-1])), None)
-            if k is None:
-                return None
-            line = rest.pop(k)
-            ring += (line if line[0] == ring[-1] else line[::-1])[1:]
-        rings.append(ring)
-    return rings
-
-
-def area(ring: list[tuple]) -> float:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) / 2
+def way_shapes(ways: DataFrame, nodes: DataFrame, area_kinds: tuple[str, ...] = AREA_KINDS) -> DataFrame:
+    """way_id, kind, line, rings of complete ways of two nodes or more (way_id, kind, nodes): a closed way of an area's kind
+    is a polygon of one ring and has no line, any other is a line and has no rings."""
+    d = way_lines(ways, nodes).where(F.size("line") >= 2).join(ways.select("way_id", "kind"), "way_id")
+    closed = F.coalesce((F.get("line", F.lit(0)) == F.element_at("line", -1)) & F.col("kind").isin(*area_kinds), F.lit(False))
+    return d.select("way_id", "kind", F.when(~closed, F.col("line")).alias("line"), F.when(closed, F.array("line")).alias("rings"))
 
 
-def inside(p: tuple, ring: list[tuple]) -> bool:
-    return sum((a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:])) % 2 == 1
-
-
-_OUT = "relation_id long, polygon int, ring int, line array<struct<x:double,y:double>>, problem string"
-
-
-def _assemble(part: pd.DataFrame) -> pd.DataFrame:
-    relation = int(part.relation_id.iloc[0])
-    fail = lambda why: pd.DataFrame([(relation, None, None, None, why)], columns=["relation_id", "polygon", "ring", "line", "problem"])
-    if part.line.isna().any():
-        return fail("missing way")
-    rings = {}
-    for role in ("outer", "inner"):
-        own = part[part.role == role].sort_values("pos")
-        rings[role] = join_ends([[(p["x"], p["y"]) for p in line] for line in own.line])
-        if rings[role] is None:
-            return fail(f"open {role} ring")
-    if not rings["outer"]:
-        return fail("no outer ring")
-    outers = [r if area(r) > 0 else r[::-1] for r in rings["outer"]]
-    rows = [(relation, k, 0, r) for k, r in enumerate(outers)]
-    for hole in rings["inner"]:
-        home = min((k for k, r in enumerate(outers) if inside(hole[0], r)), key=lambda k: area(outers[k]), default=None)
-        if home is None:
-            return fail("hole outside")
-        rows.append((relation, home, 1 + sum(r[1] == home and r[2] > 0 for r in rows), hole if area(hole) < 0 else hole[::-1]))
-    return pd.DataFrame([(a, b, c, [{"x": x, "y": y} for x, y in r], None) for a, b, c, r in rows], columns=["relation_id", "polygon", "ring", "line", "problem"])
+def join_ends(lines: list[list]) -> list[list] | None:
+    """Closed rings from lines that meet at their ends, either way round; None if one stays open."""
+    walks = walked([(line[0], line[-1]) for line in lines])
+    if walks is None:
+        return None
+    turned = [[lines[k][::-1] if back else lines[k] for k, back in walk] for walk in walks]
+    return [[*ring[0], *(p for line in ring[1:] for p in line[1:])] for ring in turned]
 
 
 def relation_polygons(members: DataFrame, lines: DataFrame) -> DataFrame:
-    """Rings of each relation (polygon, ring 0 outer and counter-clockwise, holes after it), or its problem.
-
-    members: relation_id, pos, role, way_id. Chaining is sequential within a relation, whose members are few. A hole goes to the smallest
-    exterior that holds it."""
-    # a way that is listed again is passed over
-    once = members.where(F.col("role").isin("outer", "inner")).groupBy("relation_id", "way_id").agg(F.min_by("role", "pos").alias("role"), F.min("pos").alias("pos"))
-    joined = once.join(lines, "way_id", "left").select("relation_id", "pos", "role", "line")
-    return joined.groupBy("relation_id").applyInPandas(_assemble, _OUT)
+    """relation_id, polygon, ring, line, problem: the rings that relation_rings() describes, as closed arrays of points."""
+    pieces = materialise(relation_rings(members, lines), "relation-pieces")
+    points = F.when(F.col("reversed"), F.reverse("line")).otherwise(F.col("line"))
+    points = F.when(F.col("seq") > 0, F.slice(points, F.lit(2), F.size("line") - 1)).otherwise(points)
+    met = pieces.where("problem is null").join(lines, "way_id").select("relation_id", "polygon", "ring", F.struct("seq", points.alias("p")).alias("piece"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda v: v["p"]))
+    rings = met.groupBy("relation_id", "polygon", "ring").agg(whole.alias("line")).withColumn("problem", F.lit(None).cast("string"))
+    return rings.unionByName(pieces.where("problem is not null").select("relation_id", "polygon", "ring", "problem"), allowMissingColumns=True)
