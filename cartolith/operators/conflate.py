@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.functions import names, text
+from cartolith.functions import geometry, names, text
 from cartolith.plans.tables import discard, materialise
 
 from .graph import components
 from .joins import cell
+from .lines import close_lines
 
 Rule = Callable[[Callable[[str], Column], Callable[[str], Column], Column], Column]
 
@@ -75,6 +76,27 @@ def conflated(features: DataFrame, rules: dict[str, Rule], width: float = 100, r
     return pairs.where(holds).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
+def conflated_lines(features: DataFrame, rules: dict[str, tuple[float, Rule]], width: float = 100, reach: int = 2) -> DataFrame:
+    """(a, b, d): pairs of line features of one kind and different sources whose boxes overlap, whose cells of ``width`` lie at most ``reach`` apart, that lie at
+    most as far apart (d) as their kind allows, and that its rule accepts; features: id, kind, source, x, z, parts (lines of x and y) and what the rules read.
+
+    rules: kind -> (most, rule); a kind without a rule has no pairs. Rules are asked before distances are known and are given one of 0."""
+    found = None
+    points = F.flatten("parts")
+    for kind, (most, rule) in rules.items():
+        own = features.where(F.col("kind") == kind).withColumn("box", geometry.bbox(points))
+        over = lambda a, b, lo, hi: (a[lo] <= b[hi]) & (a[hi] >= b[lo])
+
+        def alike(l, r, rule=rule) -> Column:
+            near = lambda c: F.abs(cell(l(c), width) - cell(r(c), width)) <= reach
+            boxes = over(l("box"), r("box"), "x0", "x1") & over(l("box"), r("box"), "y0", "y1")
+            return (l("source") != r("source")) & near("x") & near("z") & boxes & F.coalesce(rule(l, r, F.lit(0.0)), F.lit(False))
+
+        pairs = close_lines(own, most, alike)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 def merged(features: DataFrame, links: DataFrame, priority: Column, reference: Column) -> DataFrame:
     """group_id, winner, members, sources of the groups that links make: the winner has the highest priority, then the smallest id;
     sources are the distinct references of all members."""
