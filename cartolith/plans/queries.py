@@ -679,4 +679,4 @@ def name_clusters(spark, d):
 
 
 # further queries, which register themselves
-from . import audit_queries, feature_queries, index_queries, join_queries, line_queries, polygon_queries, ring_queries, search_queries, shape_queries, sql_queries  # noqa: E402, F401
+from . import audit_queries, feature_queries, index_queries, join_queries, line_queries, polygon_queries, ring_queries, schema_queries, search_queries, shape_queries, sql_queries  # noqa: E402, F401
