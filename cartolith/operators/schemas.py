@@ -100,14 +100,22 @@ class Field:
     required: bool = False
 
 
-def _at(path: Column, key: str) -> Column:
-    return F.when(path == "", F.lit(key)).otherwise(F.concat(path, F.lit(f".{key}")))
+def _at(path: Column, key: Column) -> Column:
+    return F.when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
 
 
-def _field(m: Column, path: Column, name: str, field: Field) -> Column:
-    """A key that is not there is null, a null of the text is a variant and fails as another type."""
-    gone = faults(fault(F.lit(field.required), _at(path, name), "missing"))
-    return let(m[name], lambda v: F.when(v.isNull(), gone).otherwise(field.check(v, _at(path, name))))
+def _fields(m: Column, path: Column, fields: dict[str, Field]) -> Column:
+    """A key that is not there is null, a null of the text is a variant and fails as another type. Fields of one check share its expression."""
+    alike: dict[tuple[int, bool], list[str]] = {}
+    for name, field in fields.items():
+        alike.setdefault((id(field.check), field.required), []).append(name)
+
+    def each(check: Check, required: bool) -> Callable[[Column], Column]:
+        gone = lambda n: faults(fault(F.lit(True), _at(path, n), "missing")) if required else none()
+        return lambda n: let(m[n], lambda v: F.when(v.isNull(), gone(n)).otherwise(check(v, _at(path, n))))
+
+    groups = [F.flatten(F.transform(F.array(*[F.lit(n) for n in names]), each(fields[names[0]].check, required))) for (_, required), names in alike.items()]
+    return F.concat(none(), *groups)
 
 
 def _unknown(m: Column, path: Column, names: tuple[str, ...]) -> Column:
@@ -119,7 +127,7 @@ def strict(fields: dict[str, Field]) -> Check:
     """An object of these fields and no others."""
 
     def check(v: Column, path: Column) -> Column:
-        each = lambda m: F.concat(*[_field(m, path, n, f) for n, f in fields.items()], _unknown(m, path, tuple(fields)))
+        each = lambda m: F.concat(_fields(m, path, fields), _unknown(m, path, tuple(fields)))
         return let(_object(v), lambda m: F.when(m.isNull(), faults(fault(F.lit(True), path, "type"))).otherwise(each(m)))
 
     return check
@@ -188,10 +196,10 @@ def shape_of(*kinds: str) -> Check:
             kind = F.when(_kind(m["type"]) == "STRING", _get(m["type"], "string"))
             of_kind = none()
             for k in kinds:
-                of_kind = F.when(kind == k, _coordinates(k, m["coordinates"], _at(path, "coordinates"))).otherwise(of_kind)
-            gone = faults(fault(F.lit(True), _at(path, "coordinates"), "missing"))
+                of_kind = F.when(kind == k, _coordinates(k, m["coordinates"], _at(path, F.lit("coordinates")))).otherwise(of_kind)
+            gone = faults(fault(F.lit(True), _at(path, F.lit("coordinates")), "missing"))
             body = F.concat(F.when(m["coordinates"].isNull(), gone).otherwise(of_kind), _unknown(m, path, ("type", "coordinates")))
-            return F.when(F.coalesce(kind.isin(*kinds), F.lit(False)), body).otherwise(faults(fault(F.lit(True), _at(path, "type"), "choice")))
+            return F.when(F.coalesce(kind.isin(*kinds), F.lit(False)), body).otherwise(faults(fault(F.lit(True), _at(path, F.lit("type")), "choice")))
 
         return let(_object(v), lambda m: F.when(m.isNull(), faults(fault(F.lit(True), path, "type"))).otherwise(whole(m)))
 
@@ -253,16 +261,14 @@ def compiled(kinds: dict[str, dict[str, Field]], base: dict[str, Field]) -> Call
         kind = F.when(_kind(m["kind"]) == "STRING", _get(m["kind"], "string"))
 
         def of_kind(k: Column) -> Column:
-            common = []
-            for name, field in base.items():  # checked once, whatever the kind
-                other = [n for n, own in kinds.items() if name in own]
-                each = _field(m, root, name, field)
-                common.append(F.when(k.isin(*other), none()).otherwise(each) if other else each)
-            own = none()
+            own = {name for fields in kinds.values() for name in fields} & set(base)
+            common = [_fields(m, root, {n: f for n, f in base.items() if n not in own})]  # checked once, whatever the kind
+            for name in own:
+                common.append(F.when(k.isin(*[n for n, fields in kinds.items() if name in fields]), none()).otherwise(_fields(m, root, {name: base[name]})))
+            special = none()
             for n, fields in kinds.items():
-                checks = [_field(m, root, name, field) for name, field in fields.items()]
-                own = F.when(k == n, F.concat(*checks, _unknown(m, root, ("kind", *base, *fields)))).otherwise(own)
-            return F.when(F.coalesce(k.isin(*kinds), F.lit(False)), F.concat(*common, own)).otherwise(faults(fault(F.lit(True), F.lit("kind"), "choice")))
+                special = F.when(k == n, F.concat(_fields(m, root, fields), _unknown(m, root, ("kind", *base, *fields)))).otherwise(special)
+            return F.when(F.coalesce(k.isin(*kinds), F.lit(False)), F.concat(*common, special)).otherwise(faults(fault(F.lit(True), F.lit("kind"), "choice")))
 
         return let(kind, of_kind)
 
@@ -280,6 +286,8 @@ def feature_faults(json: Column) -> Column:
 
 
 def parted(rows: DataFrame, json: str = "json", check: Callable[[Column], Column] = feature_faults) -> tuple[DataFrame, DataFrame]:
-    """Sound rows as they came, and the others with their faults as ``faults``."""
-    judged = rows.withColumn("faults", check(F.col(json)))
+    """Sound rows as they came, and the others with their faults as ``faults``; that name must be free.
+
+    A generator stands between the check and the filter, which would else be pushed down and evaluate the check again."""
+    judged = rows.select("*", F.explode(F.array(check(F.col(json)))).alias("faults"))
     return judged.where(F.size("faults") == 0).select(*rows.columns), judged.where(F.size("faults") > 0)
