@@ -60,6 +60,13 @@ def round_half_up(c: Column, digits: int = 2) -> Column:
 
 
 def kilometres(metres: Column) -> Column:
-    """4.2 km below ten kilometres, 12 km beyond."""
-    km = metres / 1000
-    return F.when(km >= 10, F.format_string("%d km", F.floor(km + 0.5).cast("long"))).otherwise(F.format_string("%.1f km", km))
+    """4.2 km below ten kilometres, 12 km beyond. The tenth is that of the double's exact value, as printf gives it: 5.55, which is a little less, is 5.5,
+    and halves (9.25) go to the even tenth."""
+    km = F.abs(metres / 1000)
+    low = F.floor(km * 10)
+    # twenty times the distance to the half between two tenths; both differences are exact
+    past = (km * 16 - (low * 2 + 1)) + km * 4
+    tenths = low + F.when((past > 0) | (past == 0) & (low % 2 == 1), 1).otherwise(0)
+    whole = F.format_string("%d km", F.floor(metres / 1000 + 0.5).cast("long"))
+    short = F.concat(F.when(metres < 0, "-").otherwise(""), F.format_string("%d.%d km", F.floor(tenths / 10).cast("long"), (tenths % 10).cast("long")))
+    return F.when(metres / 1000 >= 10, whole).otherwise(short)
