@@ -3,9 +3,20 @@
 from pyspark.sql import functions as F
 
 from cartolith.functions import coerce
+from cartolith.operators.search_index import build_index, search_many
 
 
 def test_kilometres_as_printf(spark):
     metres = [5550.0, 9250.0, 250.0, 1850.0, 0.0, 9999.0, *[37.0 * k for k in range(271)], *[k / 8 for k in range(0, 79000, 50)]]
     got = spark.createDataFrame([(m,) for m in metres], "m double").select("m", coerce.kilometres(F.col("m")).alias("k")).collect()
     assert [r.k for r in got] == [f"{r.m / 1000:.1f} km" if r.m < 10000 else f"{int(r.m / 1000 + 0.5)} km" for r in got]
+
+
+def test_equal_records_tie(spark, tmp_path):
+    name = "ndshhe thhein nderor ththre"
+    records = spark.range(600).select(F.col("id").alias("record_id"), F.lit(name).alias("name"), F.lit("5").alias("house"), F.lit(44.0).alias("boost"), F.lit(0.0).alias("x"), F.lit(0.0).alias("z"))
+    built = build_index(records, str(tmp_path / "index"), ("name",), "house")
+    queries = spark.createDataFrame([(q, "5 thhheon th", None, None) for q in range(4)], "query_id long, query string, near_x double, near_z double")
+    hits = search_many(built, queries, 600).orderBy("query_id", "place").collect()
+    assert [(h.query_id, h.record_id) for h in hits] == [(q, r) for q in range(4) for r in range(600)]
+    assert len({h.score for h in hits}) == 1
