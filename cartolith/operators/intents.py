@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.functions import names, text
+from cartolith.plans.tables import sent
 
 # fixed values: words after which a label says where a place is, not what it is
 PLACE_PARTICLES = ("de", "du", "des", "d")
@@ -28,7 +29,8 @@ def matches(queries: DataFrame, phrases: DataFrame, prefix: bool = True, least:
     """query_id, tokens, category, start, n, stage, rank: every place where a phrase stands in a query; stage 1 if its last word is only begun.
 
     queries: query_id, tokens. A phrase meets a query where its first word does: queries are dealt out by token (and its singular and plural),
-    phrases by first word (and, of one-word phrases, by its beginnings), so both sides of the join are plain keys."""
+    phrases by first word (and, of one-word phrases, by its beginnings), so both sides of the join are plain keys. Queries are never
+    the side that passes through the driver."""
     p = phrase_table(phrases).withColumn("key", F.get("words", F.lit(0))).withColumn("begun", F.lit(False))
     if prefix:
         word = F.get("words", F.lit(0))
@@ -37,7 +39,7 @@ def matches(queries: DataFrame, phrases: DataFrame, prefix: bool = True, least:
     q = queries.select("query_id", "tokens", F.posexplode("tokens").alias("start", "token"))
     forms = F.array(F.struct("token", F.lit(False).alias("exact")), F.struct(F.concat("token", F.lit("s")).alias("token"), F.lit(False).alias("exact")), F.struct(F.when(F.col("token").endswith("s"), F.substring("token", F.lit(1), F.length("token") - 1)).alias("token"), F.lit(False).alias("exact")))
     q = q.withColumn("key", F.explode(F.array_distinct(F.transform(forms, lambda f: f["token"])))).where("key is not null")
-    d = q.join(p, "key").where(F.col("start") + F.size("words") <= F.size("tokens"))
+    d = q.join(sent(p, "phrases"), "key").where(F.col("start") + F.size("words") <= F.size("tokens"))
     # the beginning of a word is what was typed, not its plural
     d = d.where(~F.col("begun") | (F.col("key") == F.col("token")) & (F.col("start") == F.size("tokens") - 1))
     part = F.slice("tokens", F.col("start") + 1, F.size("words"))
@@ -55,10 +57,13 @@ def matches(queries: DataFrame, phrases: DataFrame, prefix: bool = True, least:
 
 def intents(queries: DataFrame, phrases: DataFrame, prefix: bool = True) -> DataFrame:
     """query_id, tokens, found: array of (category, start, n) in the order in which phrases win: whole words before beginnings, long phrases before
-    short ones, from the left. A phrase takes words that no other one has taken, unless it stands on just the same words. Each category comes once."""
-    m = matches(queries, phrases, prefix)
+    short ones, from the left. A phrase takes words that no other one has taken, unless it stands on just the same words. Each category comes once.
+
+    Queries of the same tokens are answered once."""
+    asked = queries.select("tokens").where(F.size("tokens") > 0).distinct()
+    m = matches(asked.select(F.col("tokens").alias("query_id"), "tokens"), phrases, prefix)
     order = F.array_sort(F.collect_list(F.struct("stage", "rank", "start", "n", "category")))
-    d = m.groupBy("query_id").agg(order.alias("m"), F.first("tokens").alias("tokens"))
+    d = m.groupBy(F.col("query_id").alias("tokens")).agg(order.alias("m"))
     none = F.struct(
         F.array().cast("array<int>").alias("used"), F.array().cast("array<string>").alias("spans"), F.array().cast("array<struct<category:string,start:int,n:int>>").alias("found"),
     )
@@ -72,8 +77,8 @@ def intents(queries: DataFrame, phrases: DataFrame, prefix: bool = True) -> Data
         taken = F.struct(F.array_union(s["used"], mine).alias("used"), F.array_union(s["spans"], F.array(span)).alias("spans"), F.when(new, F.concat(s["found"], item)).otherwise(s["found"]).alias("found"))
         return F.when(free, taken).otherwise(s)
 
-    found = d.select("query_id", F.aggregate("m", none, step, lambda s: s["found"]).alias("found"))
-    return queries.join(found, "query_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<category:string,start:int,n:int>>")))
+    found = d.select("tokens", F.aggregate("m", none, step, lambda s: s["found"]).alias("found"))
+    return queries.join(sent(found, "intents"), "tokens", "left").select(*queries.columns, "found").withColumn("found", F.coalesce("found", F.array().cast("array<struct<category:string,start:int,n:int>>")))
 
 
 def label_category(labels: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cartolith.functions import coerce
+from cartolith.operators import intents
 from cartolith.operators.search_index import build_index, search_many
 
 
@@ -20,3 +21,24 @@ def test_equal_records_tie(spark, tmp_path):
     hits = search_many(built, queries, 600).orderBy("query_id", "place").collect()
     assert [(h.query_id, h.record_id) for h in hits] == [(q, r) for q in range(4) for r in range(600)]
     assert len({h.score for h in hits}) == 1
+
+
+def sides_sent(df):
+    """What is below the broadcasts of a plan."""
+    out, depth = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        depth = None if depth is not None and at <= depth else depth
+        depth = at if depth is None and "BroadcastExchange" in line else depth
+        out += [line] if depth is not None else []
+    return "\n".join(out)
+
+
+def test_queries_are_not_sent(spark, tmp_path):
+    asked, phrases = str(tmp_path / "asked"), str(tmp_path / "phrases")
+    spark.range(4000).select(F.col("id").alias("query_id"), F.array(F.lit("w7"), F.lit("x")).alias("tokens")).coalesce(1).write.parquet(asked)
+    spark.range(4000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("phrase"), F.sha2(F.col("id").cast("string"), 256).alias("category")).coalesce(1).write.parquet(phrases)
+    q, p = spark.read.parquet(asked), spark.read.parquet(phrases)
+    assert "tokens" not in sides_sent(intents.matches(q, p))
+    found = intents.intents(q, p, prefix=False)
+    assert found.where("found[0].start = 0 and size(found) = 1").count() == 4000
