@@ -11,7 +11,7 @@ from cartolith.functions import geometry, names, text
 from cartolith.plans.tables import discard, materialise
 
 from .graph import components
-from .joins import cell
+from .joins import cell, first_within
 from .lines import close_lines
 
 Rule = Callable[[Callable[[str], Column], Callable[[str], Column], Column], Column]
@@ -144,21 +144,25 @@ def establishments(places: DataFrame, businesses: DataFrame, radius: float = 150
 def registered_or_near(rows: DataFrame, known: DataFrame, most: float = 150) -> DataFrame:
     """(row_id, known_id): the known establishment that each row belongs to. By registry number, or, for rows without one, the first known one
     without a number that has its name, evidence in the address, and lies within most; rows: row_id, siret, name, address, x, z; known: known_id and the same."""
-    by_number = rows.where("siret is not null").join(known.select("known_id", "siret"), "siret").groupBy("row_id").agg(F.min("known_id").alias("known_id"))
+    first = known.where("siret is not null").groupBy("siret").agg(F.min("known_id").alias("known_id"))
+    by_number = rows.where("siret is not null").join(first, "siret").groupBy("row_id").agg(F.min("known_id").alias("known_id"))
     key = lambda c: names.match_key(F.col(c))
-    k = known.where("siret is null").select("known_id", key("name").alias("key"), key("address").alias("where"), F.col("x").alias("kx"), F.col("z").alias("kz"))
-    r = rows.where("siret is null").select("row_id", key("name").alias("key"), key("address").alias("there"), "x", "z")
-    near = r.join(k, "key").where(text.address_evidence(F.col("there"), F.col("where")) & (F.hypot(F.col("x") - F.col("kx"), F.col("z") - F.col("kz")) <= most))
-    return by_number.unionByName(near.groupBy("row_id").agg(F.min("known_id").alias("known_id")))
+    k = known.where("siret is null").select("known_id", key("name").alias("key"), key("address").alias("where"), "x", "z").where("where <> ''")
+    r = rows.where("siret is null").select("row_id", key("name").alias("key"), key("address").alias("there"), "x", "z").where("there <> ''")
+    return by_number.unionByName(first_within(r, k, "key", "row_id", "known_id", most, text.address_evidence(F.col("there"), F.col("r_where"))))
 
 
 def enriched(pages: DataFrame, known: DataFrame, most: float = 150) -> DataFrame:
     """(page_id, known_id): the first establishment of a page's name, within most where the page has a position; pages: page_id, name, x, z."""
     key = lambda c: names.match_key(F.col(c))
-    k = known.select("known_id", key("name").alias("key"), F.col("x").alias("kx"), F.col("z").alias("kz"))
-    pairs = pages.select("page_id", key("name").alias("key"), "x", "z").where("key <> ''").join(k, "key")
-    near = F.coalesce(F.hypot(F.col("x") - F.col("kx"), F.col("z") - F.col("kz")) <= most, F.lit(True))
-    return pairs.where(near).groupBy("page_id").agg(F.min("known_id").alias("known_id"))
+    k = known.select("known_id", key("name").alias("key"), "x", "z")
+    p = pages.select("page_id", key("name").alias("key"), "x", "z").where("key <> ''")
+    nowhere = "x is null or z is null"
+    first = lambda d: d.groupBy("key").agg(F.min("known_id").alias("known_id"))
+    # a side without a position is near everything
+    found = p.where(nowhere).join(first(k), "key").select("page_id", "known_id").unionByName(p.join(first(k.where(nowhere)), "key").select("page_id", "known_id"))
+    found = found.unionByName(first_within(p, k, "key", "page_id", "known_id", most))
+    return found.groupBy("page_id").agg(F.min("known_id").alias("known_id"))
 
 
 def field_merge(rows: DataFrame, key: str, fields: list[str], priority: Column, arrival: Column, source: str) -> DataFrame:

@@ -74,6 +74,42 @@ def nearest_number(wanted: DataFrame, known: DataFrame, key: list[str], most: in
     return pairs.groupBy(*wanted.columns).agg(F.min(F.struct("gap", "found")).alias("b")).select(*wanted.columns, "b.found", "b.gap")
 
 
+#: right rows of a cell that the first turn of first_within reads; each further turn ends at so many times as many
+FIRST, TURN = 8, 4
+
+
+def first_within(left: DataFrame, right: DataFrame, on: str, left_id: str, right_id: str, radius: float, fits: Column | None = None) -> DataFrame:
+    """left_id, right_id: for each left row the smallest id of the right rows of its ``on`` within radius that fit; both sides have ``on``, x and z, and
+    fits reads the right one's columns as r_*.
+
+    Right rows are dealt to the nine cells around them and ranked by id in each; a left row reads its cell's ranks by turns and is done with the first
+    turn that has a match, so frequent values of ``on`` cost a few candidates a row instead of all pairs. Only rows without any match read a
+    whole cell. Every turn is a join on equal keys and one aggregation."""
+    from cartolith.plans.tables import discard, materialise, sent
+
+    near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dz")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    r = right.groupBy([c for c in right.columns if c != right_id]).agg(F.min(right_id).alias(right_id))
+    r = r.select([F.col(c).alias(f"r_{c}") for c in right.columns]).where(f"r_{on} is not null and r_x is not null and r_z is not null").withColumn("_n", F.explode(near))
+    r = r.withColumn("_cx", cell("r_x", radius) + F.col("_n.dx")).withColumn("_cz", cell("r_z", radius) + F.col("_n.dz")).drop("_n").withColumnRenamed(f"r_{on}", on)
+    keys = [on, "_cx", "_cz"]
+    r = materialise(r.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(f"r_{right_id}"))), "first-right")
+    rest = left.where(f"{on} is not null and x is not null and z is not null").withColumn("_cx", cell("x", radius)).withColumn("_cz", cell("z", radius))
+    rest = materialise(rest.withColumn("_row", F.monotonically_increasing_id()), "first-left")
+    met = F.hypot(F.col("x") - F.col("r_x"), F.col("z") - F.col("r_z")) <= float(radius)
+    done, read, out = 0, FIRST, None
+    while True:
+        now = sent(r.where((F.col("_rank") > done) & (F.col("_rank") <= read)), "first-turn")
+        pairs = rest.join(now, keys).where(met if fits is None else met & fits)
+        hits = materialise(pairs.groupBy("_row", left_id).agg(F.min(f"r_{right_id}").alias(right_id)), "first-hits")
+        out = hits if out is None else out.unionByName(hits)
+        more = sent(r.where(F.col("_rank") == read + 1).select(keys), "first-more")
+        old, rest = rest, materialise(rest.join(hits.select("_row"), "_row", "left_anti").join(more, keys, "left_semi"), "first-left")
+        discard(old)
+        if not rest.limit(1).count():
+            return out.groupBy(left_id).agg(F.min(right_id).alias(right_id))
+        done, read = read, read * TURN
+
+
 def holds_all(rows: DataFrame, wanted: DataFrame, key: str, value: str) -> DataFrame:
     """Relational division: keys that have every wanted value. The count of wanted is one number."""
     n = wanted.select(value).distinct().count()

@@ -1,9 +1,13 @@
 """What went wrong on larger tables, in small."""
 
+import math
+import threading
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from cartolith.functions import coerce
-from cartolith.operators import intents
+from cartolith.operators import conflate, intents
 from cartolith.operators.search_index import build_index, search_many
 
 
@@ -42,3 +46,31 @@ def test_queries_are_not_sent(spark, tmp_path):
     assert "tokens" not in sides_sent(intents.matches(q, p))
     found = intents.intents(q, p, prefix=False)
     assert found.where("found[0].start = 0 and size(found) = 1").count() == 4000
+
+
+@contextmanager
+def within(spark, seconds):
+    """Cancels what still runs after so many seconds."""
+    timer = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()
+
+
+def test_first_of_a_frequent_name(spark):
+    n = 150_000
+    at = lambda k: [(k * 7919 % 401).cast("double").alias("x"), (k * 3079 % 409).cast("double").alias("z")]
+    k = F.col("id")
+    known = spark.range(n).select(k.alias("known_id"), F.when(k % 3 == 0, "S").alias("siret"), F.lit("Café").alias("name"), F.lit("1 rue A").alias("address"), *at(k))
+    rows = spark.range(n).select(k.alias("row_id"), F.when(k % 2 == 0, "S").alias("siret"), F.lit("cafe").alias("name"), F.when(k % 5 > 0, "Rue A").alias("address"), *at(k * 31 + 7))
+    with within(spark, 100):
+        met = {r.row_id: r.known_id for r in conflate.registered_or_near(rows, known).collect()}
+        pages = rows.select(F.col("row_id").alias("page_id"), "name", F.when(F.col("row_id") % 7 > 0, F.col("x")).alias("x"), "z")
+        found = {r.page_id: r.known_id for r in conflate.enriched(pages, known).collect()}
+    near = lambda i, j: math.hypot((i * 31 + 7) * 7919 % 401 - j * 7919 % 401, (i * 31 + 7) * 3079 % 409 - j * 3079 % 409) <= 150
+    for i in range(0, n, 97):
+        want = 0 if i % 2 == 0 else next((j for j in range(n) if j % 3 and near(i, j)), None) if i % 5 else None
+        assert met.get(i) == want
+        assert found.get(i) == (0 if i % 7 == 0 else next((j for j in range(n) if near(i, j)), None))
