@@ -147,10 +147,10 @@ def anchored(communes: DataFrame, chief_places: DataFrame) -> DataFrame:
 
 def nearest(points: DataFrame, addresses: DataFrame, radius: float) -> DataFrame:
     """point_id, address_id, d: the nearest address within radius, the smallest id of equals."""
-    from .joins import blocked_pairs
+    from .joins import nearest_within
 
-    pairs = blocked_pairs(addresses, points, radius)
-    return pairs.groupBy(F.col("r_point_id").alias("point_id")).agg(F.min(F.struct("d2", F.col("l_address_id").alias("address_id"))).alias("b")).select("point_id", "b.address_id", F.sqrt("b.d2").alias("d"))
+    found = nearest_within(points, addresses, "point_id", "address_id", radius)
+    return found.select("point_id", "address_id", F.sqrt("d2").alias("d"))
 
 
 def worth_a_record(source_id: Column, kind: Column, name: Column, commune: Column) -> Column:

@@ -110,6 +110,42 @@ def first_within(left: DataFrame, right: DataFrame, on: str, left_id: str, right
         done, read = read, read * TURN
 
 
+#: right rows of a cell in the first turn of nearest_within, at most; and how often the radius is halved for that
+CROWD, HALVES = 32, 16
+
+
+def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float) -> DataFrame:
+    """left_id, right_id, d2: for each left row the nearest right row within radius, the smallest id of equals; both sides have x and z.
+
+    The radius is halved until cells as wide hold few places of the right side, and doubled in each turn for the left rows that have found nothing: the
+    nearest row within a smaller radius is the nearest of all. A row so meets a few candidates however dense the right side is."""
+    from cartolith.plans.tables import discard, materialise, sent
+
+    places = materialise(right.where("x is not null and z is not null").groupBy("x", "z").agg(F.min(right_id).alias(right_id)), "nearest-places")
+    level = places.select("x", "z", F.explode(F.sequence(F.lit(0), F.lit(HALVES), F.lit(2))).alias("level"))
+    wide = F.lit(float(radius)) / F.pow(F.lit(2.0), F.col("level"))
+    crowds = level.groupBy("level", F.floor(F.col("x") / wide).alias("cx"), F.floor(F.col("z") / wide).alias("cz")).count().groupBy("level").agg(F.max("count").alias("most"))
+    many = places.count()
+    halves = min([r.level for r in crowds.where(F.col("most") <= CROWD).collect()], default=HALVES)
+    rest = materialise(left.where("x is not null and z is not null").select(left_id, "x", "z").withColumn("_row", F.monotonically_increasing_id()), "nearest-left")
+    near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dz")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    dx, dz, out = F.col("x") - F.col("r_x"), F.col("z") - F.col("r_z"), None
+    for half in range(halves, -1, -1):
+        r = float(radius) / 2**half
+        at = lambda d, x, z, r=r: d.withColumn("_cx", cell(x, r)).withColumn("_cz", cell(z, r))
+        deal = lambda d: d.withColumn("n", F.explode(near)).withColumn("_cx", F.col("_cx") + F.col("n.dx")).withColumn("_cz", F.col("_cz") + F.col("n.dz")).drop("n")
+        l, p = at(rest, "x", "z"), at(places.withColumnsRenamed({"x": "r_x", "z": "r_z"}), "r_x", "r_z")
+        # the side of fewer rows is dealt to the neighbours
+        l, p = (deal(l), p.hint("shuffle_merge")) if rest.count() < many else (l, sent(deal(p), "nearest-dealt"))
+        pairs = l.join(p, ["_cx", "_cz"]).withColumn("d2", dx * dx + dz * dz).where(F.col("d2") <= r**2)
+        hits = materialise(pairs.groupBy("_row", left_id).agg(F.min(F.struct("d2", right_id)).alias("b")), "nearest-hits")
+        out = hits if out is None else out.unionByName(hits)
+        if half:
+            old, rest = rest, materialise(rest.join(hits.select("_row"), "_row", "left_anti"), "nearest-left")
+            discard(old)
+    return out.groupBy(left_id).agg(F.min("b").alias("b")).select(left_id, f"b.{right_id}", "b.d2")
+
+
 def holds_all(rows: DataFrame, wanted: DataFrame, key: str, value: str) -> DataFrame:
     """Relational division: keys that have every wanted value. The count of wanted is one number."""
     n = wanted.select(value).distinct().count()

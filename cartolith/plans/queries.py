@@ -182,8 +182,8 @@ def blocked_pairs(spark, d):
 with p as (select a.id a, b.id b, (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) d2 from {A_SQL} a, {B_SQL} b where abs(a.x - b.x) <= 400 and abs(a.z - b.z) <= 400)
 select a, b, d2 from (select *, row_number() over (partition by a order by d2, b) n from p where d2 <= 160000) where n = 1""")
 def best_match(spark, d):
-    pairs = joins.blocked_pairs(points_a(spark, d), points_b(spark, d), 400).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), "d2")
-    return joins.best_match(pairs, "a", F.col("d2"), F.col("b"))
+    a, b = points_a(spark, d).withColumnRenamed("id", "a"), points_b(spark, d).withColumnRenamed("id", "b")
+    return joins.nearest_within(a, b, "a", "b", 400)
 
 
 @query(f"""

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from cartolith.functions import coerce
-from cartolith.operators import conflate, intents
+from cartolith.operators import conflate, intents, joins
 from cartolith.operators.search_index import build_index, search_many
 
 
@@ -74,3 +74,17 @@ def test_first_of_a_frequent_name(spark):
         want = 0 if i % 2 == 0 else next((j for j in range(n) if j % 3 and near(i, j)), None) if i % 5 else None
         assert met.get(i) == want
         assert found.get(i) == (0 if i % 7 == 0 else next((j for j in range(n) if near(i, j)), None))
+
+
+def test_nearest_of_many(spark):
+    n = 60_000
+    side = lambda name, a: spark.range(n).select(F.col("id").alias(name), (F.col("id") * a % 997).alias("x"), (F.col("id") * (a + 2) % 991).alias("z"))
+    far = spark.createDataFrame([(n, 10**6, 0)], "l long, x long, z long")
+    with within(spark, 100):
+        found = joins.nearest_within(side("l", 31).union(far), side("r", 57).union(side("r", 57)), "l", "r", 1000).collect()
+        few = joins.nearest_within(side("l", 31).where("l % 1000 = 0"), side("r", 57), "l", "r", 1000).collect()
+    met = {f.l: (f.r, f.d2) for f in found}
+    assert len(found) == n and set(met) == set(range(n)) and all(met[f.l] == (f.r, f.d2) for f in few) and len(few) == 60
+    for i in range(0, n, 3001):
+        d2, j = min(((i * 31 % 997 - j * 57 % 997) ** 2 + (i * 33 % 991 - j * 59 % 991) ** 2, j) for j in range(n))
+        assert met[i] == (j, d2)
