@@ -122,11 +122,14 @@ def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     from cartolith.plans.tables import discard, materialise, sent
 
     places = materialise(right.where("x is not null and z is not null").groupBy("x", "z").agg(F.min(right_id).alias(right_id)), "nearest-places")
-    level = places.select("x", "z", F.explode(F.sequence(F.lit(0), F.lit(HALVES), F.lit(2))).alias("level"))
-    wide = F.lit(float(radius)) / F.pow(F.lit(2.0), F.col("level"))
-    crowds = level.groupBy("level", F.floor(F.col("x") / wide).alias("cx"), F.floor(F.col("z") / wide).alias("cz")).count().groupBy("level").agg(F.max("count").alias("most"))
     many = places.count()
-    halves = min([r.level for r in crowds.where(F.col("most") <= CROWD).collect()], default=HALVES)
+    halves = 0
+    while halves < HALVES:
+        wide = float(radius) / 2**halves
+        most = places.groupBy(F.floor(F.col("x") / wide), F.floor(F.col("z") / wide)).count().agg(F.max("count")).first()[0] or 0
+        if most <= CROWD:
+            break
+        halves += 1
     rest = materialise(left.where("x is not null and z is not null").select(left_id, "x", "z").withColumn("_row", F.monotonically_increasing_id()), "nearest-left")
     near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dz")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     dx, dz, out = F.col("x") - F.col("r_x"), F.col("z") - F.col("r_z"), None
