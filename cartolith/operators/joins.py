@@ -68,10 +68,15 @@ def contained(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
 def nearest_number(wanted: DataFrame, known: DataFrame, key: list[str], most: int = 10) -> DataFrame:
     """For each wanted (key, number) the known number of the key with the smallest gap (half a point more if one
     is odd and the other even), at most ``most``; ties go to the smaller number."""
+    from cartolith.plans.tables import sent
+
     k = known.select(*key, F.col("number").alias("found")).distinct()
     gap = F.abs(F.col("number") - F.col("found")) + F.when(F.col("number") % 2 == F.col("found") % 2, 0.0).otherwise(0.5)
-    pairs = wanted.join(k, key).withColumn("gap", gap).where(F.col("gap") <= most)
-    return pairs.groupBy(*wanted.columns).agg(F.min(F.struct("gap", "found")).alias("b")).select(*wanted.columns, "b.found", "b.gap")
+    asked = wanted.select(*key, "number").distinct()
+    pairs = asked.join(k, key).withColumn("gap", gap).where(F.col("gap") <= most)
+    best = pairs.groupBy(*key, "number").agg(F.min(F.struct("gap", "found")).alias("b"))
+    # each number of a key is answered once; rows only meet their answer
+    return wanted.distinct().join(sent(best, "numbers"), [*key, "number"]).select(*wanted.columns, "b.found", "b.gap")
 
 
 #: right rows of a cell that the first turn of first_within reads; each further turn ends at so many times as many

@@ -88,3 +88,12 @@ def test_nearest_of_many(spark):
     for i in range(0, n, 3001):
         d2, j = min(((i * 31 % 997 - j * 57 % 997) ** 2 + (i * 33 % 991 - j * 59 % 991) ** 2, j) for j in range(n))
         assert met[i] == (j, d2)
+
+
+def test_nearest_number_of_a_frequent_number(spark):
+    n = 200_000
+    wanted = spark.range(n).select("id", F.lit(1).alias("street"), (F.col("id") % 5).alias("number"))
+    known = spark.range(n).select(F.lit(1).alias("street"), (F.col("id") * 2 + 3).alias("number"))
+    with within(spark, 60):
+        found = joins.nearest_number(wanted, known, ["street"]).groupBy("number").agg(F.count("*"), F.min("found"), F.max("found"), F.max("gap")).collect()
+    assert {tuple(r) for r in found} == {(0, n // 5, 3, 3, 3.5), (1, n // 5, 3, 3, 2.0), (2, n // 5, 3, 3, 1.5), (3, n // 5, 3, 3, 0.0), (4, n // 5, 3, 3, 1.5)}
