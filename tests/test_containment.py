@@ -61,6 +61,34 @@ def test_first_or_nearest(spark):
         assert got[i] == want
 
 
+def test_many_long_edges(spark, monkeypatch):
+    """A star of long edges, a ring that crosses itself and small ones; edges are dealt to a few bins each, where points meet them by bisection."""
+    import math
+
+    rng = random.Random(3)
+    turn = lambda n, r: [(r() * math.cos(2 * math.pi * i / n), r() * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    star = []
+    for i in range(900):
+        r = rng.uniform(20, 40)
+        star.append((r * math.cos(2 * math.pi * i / 900), r * math.sin(2 * math.pi * i / 900)))
+    tangle = [(float(rng.randrange(-30, 31)), float(rng.randrange(-30, 31))) for _ in range(150)]
+    polygons = [(1, [star, [(-5.0, -5.0), (5.0, -5.0), (5.0, 5.0), (-5.0, 5.0)]]), (2, [tangle]), (3, [turn(30, lambda: 10.0)])]
+    points = [(i, float(x), float(z)) for i, (x, z) in enumerate((x, z) for x in range(-42, 43, 3) for z in range(-42, 43, 3))]
+    points += [(10_000 + i, *star[i]) for i in range(0, 900, 45)] + [(20_000 + i, *tangle[i]) for i in range(0, 150, 10)]
+    points += [(30_000 + i, (tangle[i][0] + tangle[i + 1][0]) / 2, (tangle[i][1] + tangle[i + 1][1]) / 2) for i in range(0, 140, 5)]
+    d, p = spark.createDataFrame(polygons, POLYGONS), spark.createDataFrame(points, "id long, x double, z double")
+    edges = m.polygon_edges(d)
+    bins = {r.polygon_id: (r.bins, r.crowded) for r in m.binned_boxes(edges).collect()}
+    assert bins[1][0] < 904 // 8 and not bins[3][1]
+    monkeypatch.setattr(m, "CROWDED", 11)
+    monkeypatch.setattr(m, "PART", 50)
+    assert {r.polygon_id: r.crowded for r in m.binned_boxes(edges).collect()} == {1: True, 2: True, 3: False}
+    every = {(i, k): brute(x, z, rings) for i, x, z in points for k, rings in polygons}
+    for polygons_or_edges in (d, edges):
+        assert {(r.id, r.polygon_id) for r in m.held(p, polygons_or_edges, 25.0).collect()} == {key for key, (odd, on, hole) in every.items() if (odd or on) and not hole}
+    assert {(r.id, r.polygon_id) for r in m.held(p, d, 25.0, inclusive=False).collect()} == {key for key, (odd, _, _) in every.items() if odd}
+
+
 def test_empty(spark):
     p, d = spark.createDataFrame([], "id long, x double, z double"), spark.createDataFrame(shapes(), POLYGONS)
     assert m.held(p, d, 10.0).count() == 0 and m.held(spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, z double"), d.where("false"), 10.0).count() == 0
