@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.functions import geometry, names, text
-from cartolith.plans.tables import discard, materialise
+from cartolith.plans.tables import discard, materialise, spread
 
 from .graph import components
 from .joins import cell, first_within
@@ -17,20 +18,38 @@ from .lines import close_lines
 Rule = Callable[[Callable[[str], Column], Callable[[str], Column], Column], Column]
 
 
-def candidates(features: DataFrame, width: float = 100, reach: int = 2) -> DataFrame:
+class Block(NamedTuple):
+    """Pairs that a rule may accept: those of features that fit ``of``, with one ``key``, at most ``most`` apart, that ``pair`` allows; None: all."""
+
+    of: Callable[[Callable[[str], Column]], Column] | None = None
+    key: Callable[[Callable[[str], Column]], Column] | None = None
+    most: float | None = None
+    pair: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None
+
+
+def candidates(features: DataFrame, width: float = 100, reach: int = 2, block: Block = Block()) -> DataFrame:
     """Pairs of features of one kind and of different sources whose cells of ``width`` lie at most ``reach`` apart, the smaller id
     left; features: id, kind, source, x, z and more, which come as l_* and r_*. d is their distance.
 
-    Wide cells of reach + 1 small ones are joined with their neighbours, so nine rows a feature find all pairs."""
-    wide = width * (reach + 1)
+    Wide cells of reach + 1 small ones, or as wide as the block allows, are joined with their neighbours, so nine rows a feature find all pairs."""
+    wide = width * (reach + 1) if block.most is None else min(block.most, width * (reach + 1))
+    if block.of:
+        features = features.where(block.of(F.col))
     l, r = (features.select([F.col(c).alias(f"{s}_{c}") for c in features.columns]) for s in "lr")
     near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dz")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     l = l.withColumn("_n", F.explode(near)).withColumn("_cx", cell("l_x", wide) + F.col("_n.dx")).withColumn("_cz", cell("l_z", wide) + F.col("_n.dz")).withColumn("_k", F.col("l_kind")).drop("_n")
     r = r.withColumn("_cx", cell("r_x", wide)).withColumn("_cz", cell("r_z", wide)).withColumn("_k", F.col("r_kind"))
-    pairs = l.join(r, ["_k", "_cx", "_cz"]).drop("_k", "_cx", "_cz")
+    keys = ["_k", "_cx", "_cz"]
+    if block.key:
+        l, r, keys = l.withColumn("_key", block.key(lambda c: F.col(f"l_{c}"))), r.withColumn("_key", block.key(lambda c: F.col(f"r_{c}"))), [*keys, "_key"]
+    # rows are dealt by cells: the nine copies of a side may not be sent to every task
+    pairs = l.join(r.hint("shuffle_merge"), keys).drop(*keys)
     apart = lambda c: F.abs(cell(f"l_{c}", width) - cell(f"r_{c}", width)) <= reach
     pairs = pairs.where((F.col("l_id") < F.col("r_id")) & (F.col("l_source") != F.col("r_source")) & apart("x") & apart("z"))
-    return pairs.withColumn("d", F.hypot(F.col("l_x") - F.col("r_x"), F.col("l_z") - F.col("r_z")))
+    pairs = pairs.withColumn("d", F.hypot(F.col("l_x") - F.col("r_x"), F.col("l_z") - F.col("r_z")))
+    if block.most is not None:
+        pairs = pairs.where(F.col("d") <= block.most)
+    return pairs.where(block.pair(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"))) if block.pair else pairs
 
 
 def same_business(l, r, d: Column) -> Column:
@@ -66,14 +85,29 @@ def same_water(l, r, d: Column, iou: Column, far: Column) -> Column:
     return (l("area") == r("area")) & typed & F.when(l("area"), (iou >= 0.25) & (d <= 50)).otherwise(far <= 10)
 
 
-def conflated(features: DataFrame, rules: dict[str, Rule], width: float = 100, reach: int = 2) -> DataFrame:
-    """(a, b): pairs of ids that the rule of their kind accepts; a kind without a rule has none."""
-    pairs = candidates(features, width, reach)
+#: for each rule of this module, disjoint blocks that together hold all pairs that it accepts
+BLOCKS = {
+    "business": (Block(lambda f: f("siret").isNotNull(), lambda f: f("siret")), Block(lambda f: f("siret").isNull() & (names.match_key(f("name")) != ""), lambda f: names.match_key(f("name")), 150)),
+    "address": (
+        Block(lambda f: f("register_id").isNotNull(), lambda f: f("register_id")),
+        Block(None, lambda f: names.match_key(f("name")), 15, lambda l, r: l("register_id").isNull() | r("register_id").isNull()),
+    ),
+    "building": (Block(most=20),), "road": (Block(most=4),), "water": (Block(lambda f: f("area"), None, 50), Block(lambda f: ~f("area"), None, 10)),
+}
+
+
+def conflated(features: DataFrame, rules: dict[str, Rule], width: float = 100, reach: int = 2, blocks: dict[str, tuple[Block, ...]] | None = None) -> DataFrame:
+    """(a, b): pairs of ids that the rule of their kind accepts; a kind without a rule has none.
+
+    blocks: by kind, disjoint blocks that hold all pairs that its rule accepts; a kind without any has all pairs of near cells as candidates."""
     l, r = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
-    holds = F.lit(False)
+    found, features = None, materialise(spread(features.where(F.col("kind").isin(*rules))), "conflated")
     for kind, rule in rules.items():
-        holds = F.when(F.col("l_kind") == kind, F.coalesce(rule(l, r, F.col("d")), F.lit(False))).otherwise(holds)
-    return pairs.where(holds).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+        for block in (blocks or {}).get(kind, (Block(),)):
+            pairs = candidates(features.where(F.col("kind") == kind), width, reach, block).where(F.coalesce(rule(l, r, F.col("d")), F.lit(False)))
+            pairs = pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+            found = pairs if found is None else found.unionByName(pairs)
+    return found
 
 
 def conflated_lines(features: DataFrame, rules: dict[str, tuple[float, Rule]], width: float = 100, reach: int = 2) -> DataFrame:

@@ -66,7 +66,7 @@ p as materialized (select a.id a, b.id b from f a join f b on a.kind = b.kind an
 
 @query(f"with {PAIRS_SQL} select a, b from p")
 def conflation_pairs(spark, d):
-    return conflate.conflated(features(spark, d), RULES)
+    return conflate.conflated(features(spark, d), RULES, blocks=conflate.BLOCKS)
 
 
 @query(f"""
@@ -76,7 +76,7 @@ w as (select *, case source when 'IGN BD TOPO' then 100 when 'sirene' then 80 wh
 select g group_id, arg_max(id, p * 1000000000 - id) winner, count(*) members, list_sort(list(distinct source || '|' || coalesce(siret, ''))) sources from w group by g""")
 def conflation_groups(spark, d):
     f = features(spark, d)
-    return conflate.merged(f, conflate.conflated(f, RULES), survey.mapped(F.col("source"), survey.SOURCE_WEIGHT, 0), F.concat_ws("|", "source", F.coalesce("siret", F.lit(""))))
+    return conflate.merged(f, conflate.conflated(f, RULES, blocks=conflate.BLOCKS), survey.mapped(F.col("source"), survey.SOURCE_WEIGHT, 0), F.concat_ws("|", "source", F.coalesce("siret", F.lit(""))))
 
 
 _PLACES = "(select s_suppkey place_id, 'Bar ' || ['du Gers', 'Gers', 'Auch', 'du Gers Auch'][(s_suppkey % 4 + 1)::int] as name, ((s_suppkey * 7919) % 2003)::double x, ((s_suppkey * 104729) % 2011)::double z from supplier)"

@@ -1,6 +1,7 @@
 """What went wrong on larger tables, in small."""
 
 import math
+import random
 import threading
 from contextlib import contextmanager
 
@@ -97,3 +98,23 @@ def test_nearest_number_of_a_frequent_number(spark):
     with within(spark, 60):
         found = joins.nearest_number(wanted, known, ["street"]).groupBy("number").agg(F.count("*"), F.min("found"), F.max("found"), F.max("gap")).collect()
     assert {tuple(r) for r in found} == {(0, n // 5, 3, 3, 3.5), (1, n // 5, 3, 3, 2.0), (2, n // 5, 3, 3, 1.5), (3, n // 5, 3, 3, 0.0), (4, n // 5, 3, 3, 1.5)}
+
+
+def test_conflation_by_blocks(spark):
+    """Blocks find the pairs of all near cells, and where many lie in one cell far fewer candidates."""
+    rng, rows = random.Random(7), []
+    for i in range(600):
+        kind = ("business", "address", "building", "road", "water")[i % 5]
+        rows.append((i, kind, ("osm", "ban")[i // 5 % 2], rng.uniform(0, 150), rng.uniform(0, 150), str(i // 20) if i % 3 else None, str(i // 15) if i % 4 else None, ("", "Café A", "café-a", "B")[i // 3 % 4], "12 rue x" if i % 7 else None, ("track", "primary", None)[i // 4 % 3], ("river", "lake", None)[i // 6 % 3], i // 2 % 2 == 0))
+    f = spark.createDataFrame(rows, "id long, kind string, source string, x double, z double, siret string, register_id string, name string, address string, road_class string, water_type string, area boolean")
+    near = lambda l, r: F.greatest(F.lit(0.0), 1 - F.hypot(l("x") - r("x"), l("z") - r("z")) / 30)
+    rules = {
+        "business": conflate.same_business, "address": conflate.same_address, "building": lambda l, r, d: conflate.same_building(l, r, d, near(l, r)),
+        "road": lambda l, r, d: conflate.same_road(l, r, d), "water": lambda l, r, d: conflate.same_water(l, r, d, near(l, r), d),
+    }
+    pairs = lambda **more: sorted((p.a, p.b) for p in conflate.conflated(f, rules, **more).collect())
+    every = pairs()
+    kinds = {r[0]: r[1] for r in rows}
+    assert pairs(blocks=conflate.BLOCKS) == every and {kinds[a] for a, _ in every} == set(rules)
+    met = lambda *blocks: sum(conflate.candidates(f.where("kind = 'road'"), block=b).count() for b in blocks)
+    assert met(*conflate.BLOCKS["road"]) * 20 < met(conflate.Block())
