@@ -143,36 +143,64 @@ def merged(features: DataFrame, links: DataFrame, priority: Column, reference: C
 def serial_match(pairs: DataFrame, left: str, right: str, turn: Column, *wish: Column) -> DataFrame:
     """One-to-one matching in which each left row, in the order of ``turn``, takes what is left of its wishes (the least first).
 
-    In every round each left row asks for its first wish and each right row takes the earliest turn that may still ask for it;
-    a pair that both sides want is settled. The earliest left row always settles, so the rounds end; nothing is gathered."""
+    That is the one stable matching, so pairs that cannot be in it leave in every round: a right row that is the first wish of some left row is lost to all
+    later turns, and a left row that has the earliest turn of some right row needs no wish after that one. The earliest left row that is not settled always
+    settles, so the rounds end; nothing is gathered."""
     order = F.struct(*[w.alias(f"w{i}") for i, w in enumerate(wish)], F.col(right).alias("r"))
     rest = materialise(pairs.withColumn("_wish", order).withColumn("_turn", F.struct(turn.alias("t"), F.col(left).alias("l"))), "match-rest")
-    taken = None
-    while rest.limit(1).count():
-        asks = rest.groupBy(left).agg(F.min("_wish").alias("_wish"))
-        gives = rest.groupBy(right).agg(F.min("_turn").alias("_turn"))
-        mutual = materialise(rest.join(asks, [left, "_wish"], "left_semi").join(gives, [right, "_turn"], "left_semi"), "match-taken")
-        taken = mutual if taken is None else taken.unionByName(mutual)
-        old, rest = rest, materialise(rest.join(mutual.select(left), left, "left_anti").join(mutual.select(right), right, "left_anti"), "match-rest")
+    columns = rest.columns
+    while True:
+        n = rest.agg(F.count(F.lit(1)), F.count_distinct(left), F.count_distinct(right)).first()
+        if n[0] == n[1] == n[2]:
+            return rest.drop("_wish", "_turn")
+        first = rest.groupBy(left).agg(F.min("_wish").alias("_first"))
+        asked = rest.join(first, left).groupBy(right).agg(F.min("_turn").alias("_earliest"), F.min(F.when(F.col("_wish") == F.col("_first"), F.col("_turn"))).alias("_asked"))
+        wanted = rest.join(asked, right).where(F.col("_asked").isNull() | (F.col("_turn") <= F.col("_asked")))
+        sure = wanted.where(F.col("_turn") == F.col("_earliest")).groupBy(left).agg(F.min("_wish").alias("_sure"))
+        kept = wanted.join(sure, left, "left").where(F.col("_sure").isNull() | (F.col("_wish") <= F.col("_sure")))
+        old, rest = rest, materialise(kept.select(columns), "match-rest")
         discard(old)
-    return (rest if taken is None else taken).drop("_wish", "_turn")
+
+
+#: establishments that establishments() settles in its first turn, at least; each further turn has twice as many. And how many ids decide where turns end
+SETTLED, IDS = 1000, 10_000
 
 
 def establishments(places: DataFrame, businesses: DataFrame, radius: float = 150, exact_radius: float = 300, least: float = 0.8) -> DataFrame:
     """(business_id, place_id, score, d): each establishment in its order takes the most similar place near it that is not taken.
 
-    places: place_id, name, x, z; businesses: business_id, name, brand, x, z. Names that fold alike may lie exact_radius apart."""
+    places: place_id, name, x, z; businesses: business_id, name, brand, x, z. Names that fold alike may lie exact_radius apart.
+    Establishments come in turns by their order, and places that are taken leave before the next turn: most establishments of a crowd then meet few places."""
+    places, businesses = materialise(places.where("name is not null"), "match-places"), materialise(businesses, "match-businesses")
+    many = businesses.count()
+    ids = businesses.where(F.pmod(F.xxhash64("business_id"), F.lit(max(1, many // IDS))) == 0).select("business_id").orderBy("business_id").collect() if many > SETTLED else []
+    step, until, cuts = max(SETTLED, places.count() // 8), 0, []
+    while (until := until + step) < many and (at := until * len(ids) // many) < len(ids):
+        cuts.append(ids[at][0])
+        step *= 2
+    found, own = None, F.col("business_id")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        turn = businesses.where((F.lit(True) if low is None else own > low) & (F.lit(True) if high is None else own <= high))
+        pairs = _similar(places if found is None else places.join(found, "place_id", "left_anti"), turn, radius, exact_radius, least)
+        taken = serial_match(pairs, "business_id", "place_id", own, -F.col("score"), F.col("d"))
+        found = taken if found is None else found.unionByName(taken)
+    return found
+
+
+def _similar(places: DataFrame, businesses: DataFrame, radius: float, exact_radius: float, least: float) -> DataFrame:
+    """(business_id, place_id, score, d): similar names near each other."""
     wide = lambda df, s: df.select([F.col(c).alias(f"{s}_{c}") for c in df.columns])
     near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dz")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    p = wide(places.where("name is not null"), "p").withColumn("_n", F.explode(near)).withColumn("_cx", cell("p_x", exact_radius) + F.col("_n.dx")).withColumn("_cz", cell("p_z", exact_radius) + F.col("_n.dz")).drop("_n")
-    b = wide(businesses, "b").withColumn("_cx", cell("b_x", exact_radius)).withColumn("_cz", cell("b_z", exact_radius))
-    pairs = p.join(b, ["_cx", "_cz"]).withColumn("d", F.hypot(F.col("p_x") - F.col("b_x"), F.col("p_z") - F.col("b_z"))).where(F.col("d") <= exact_radius)
+    p = wide(places, "p").withColumn("_n", F.explode(near)).withColumn("_cx", cell("p_x", exact_radius) + F.col("_n.dx")).withColumn("_cz", cell("p_z", exact_radius) + F.col("_n.dz")).drop("_n")
+    b = wide(spread(businesses), "b").withColumn("_cx", cell("b_x", exact_radius)).withColumn("_cz", cell("b_z", exact_radius))
     words = lambda c: text.name_tokens(F.coalesce(F.col(c), F.lit("")))
-    score = F.greatest(text.similarity(words("p_name"), words("b_name")), text.similarity(words("p_name"), words("b_brand")))
-    alike = text.fold_text(F.col("p_name")) == text.fold_text(F.coalesce("b_name", F.lit("")))
-    pairs = pairs.withColumn("score", score).where((F.col("score") >= least) & (F.col("d") <= F.when(alike, exact_radius).otherwise(radius)))
-    pairs = pairs.select(F.col("b_business_id").alias("business_id"), F.col("p_place_id").alias("place_id"), "score", "d")
-    return serial_match(pairs, "business_id", "place_id", F.col("business_id"), -F.col("score"), F.col("d"))
+    p = p.withColumn("p_words", words("p_name")).withColumn("p_fold", text.fold_text(F.col("p_name")))
+    b = b.withColumn("b_words", words("b_name")).withColumn("b_brands", words("b_brand")).withColumn("b_fold", text.fold_text(F.coalesce("b_name", F.lit(""))))
+    pairs = p.join(b, ["_cx", "_cz"]).withColumn("d", F.hypot(F.col("p_x") - F.col("b_x"), F.col("p_z") - F.col("b_z")))
+    pairs = pairs.where(F.col("d") <= F.when(F.col("p_fold") == F.col("b_fold"), exact_radius).otherwise(radius))
+    score = F.greatest(text.similarity(F.col("p_words"), F.col("b_words")), text.similarity(F.col("p_words"), F.col("b_brands")))
+    pairs = pairs.withColumn("score", score).where(F.col("score") >= least)
+    return pairs.select(F.col("b_business_id").alias("business_id"), F.col("p_place_id").alias("place_id"), "score", "d")
 
 
 def registered_or_near(rows: DataFrame, known: DataFrame, most: float = 150) -> DataFrame:

@@ -118,3 +118,31 @@ def test_conflation_by_blocks(spark):
     assert pairs(blocks=conflate.BLOCKS) == every and {kinds[a] for a, _ in every} == set(rules)
     met = lambda *blocks: sum(conflate.candidates(f.where("kind = 'road'"), block=b).count() for b in blocks)
     assert met(*conflate.BLOCKS["road"]) * 20 < met(conflate.Block())
+
+
+def test_serial_match_in_few_rounds(spark, monkeypatch):
+    """Many left rows that want the same few right ones: pairs that cannot match leave at once."""
+    rng = random.Random(5)
+    wishes = {a: rng.sample(range(30), 20) for a in range(400)}
+    rows = [(a, b, k // 3) for a, bs in wishes.items() for k, b in enumerate(bs)]
+    rounds, write = [], conflate.materialise
+    monkeypatch.setattr(conflate, "materialise", lambda df, name: rounds.append(name) or write(df, name))
+    got = {(r.a, r.b) for r in conflate.serial_match(spark.createDataFrame(rows, "a long, b long, w long"), "a", "b", F.col("a"), F.col("w")).collect()}
+    taken, want = set(), set()
+    for a, bs in wishes.items():
+        free = sorted((k // 3, b) for k, b in enumerate(bs) if b not in taken)
+        if free:
+            want.add((a, free[0][1]))
+            taken.add(free[0][1])
+    assert got == want and len(rounds) <= 12
+
+
+def test_establishments_by_turns(spark, monkeypatch):
+    rng = random.Random(6)
+    at = lambda n, name: [(i, name, rng.uniform(0, 900), rng.uniform(0, 900)) for i in range(n)]
+    places, shops = spark.createDataFrame(at(60, "Bar du Gers"), "place_id long, name string, x double, z double"), spark.createDataFrame(at(500, "Bar Gers"), "business_id long, name string, x double, z double").withColumn("brand", F.lit(None).cast("string"))
+    found = lambda: {(r.business_id, r.place_id) for r in conflate.establishments(places, shops).collect()}
+    whole = found()
+    monkeypatch.setattr(conflate, "SETTLED", 40)
+    monkeypatch.setattr(conflate, "IDS", 100)
+    assert found() == whole and len(whole) == 60
