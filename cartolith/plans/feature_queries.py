@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cartolith.functions import coerce, levels, names, osm_tags, survey, taxonomy
+from cartolith.plans.tables import spread
 
 from .queries import query, table
 
@@ -120,7 +121,7 @@ select k p_partkey, 'Chemin du ' || t[1] || '-' || t[2] street, t[1] || '-de-' |
 def shown_names(spark, d):
     k, w = F.col("p_partkey"), F.split("p_name", " ")
     raised = F.transform(w, lambda x: F.initcap(x))
-    p = table(spark, d, "part").select(
+    p = spread(table(spark, d, "part").select("p_partkey", "p_name")).select(
         "p_partkey",
         F.concat(F.lit("CHE. DU "), F.upper(F.get(w, F.lit(0))), F.lit("-"), F.upper(F.get(w, F.lit(1)))).alias("street"),
         F.concat(F.get(raised, F.lit(0)), F.lit("-de-"), F.get(raised, F.lit(1)), F.lit("-"), F.get(w, F.lit(2))).alias("place"),
