@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import geometry, polygons
 from cartolith.operators import tiles
+from cartolith.plans.tables import spread
 
 from .queries import A_SQL, points_a, query, table
 
@@ -20,7 +21,7 @@ def frames(spark, d):
     """A box of each customer with a hole in it: id, x, z, w, h, rings; the hole leaves a margin of 10."""
     x, z, w, h = F.col("x"), F.col("z"), F.col("w"), F.col("h")
     p = points_a(spark, d).select("id", "x", "z", (F.col("id") % 7 * 50 + 100).alias("w"), (F.col("id") % 5 * 40 + 60).alias("h"))
-    return p.withColumn("rings", F.array(ring(x, z, x + w, z + h), ring(x + 10, z + 10, x + w - 10, z + h - 10, True)))
+    return spread(p).withColumn("rings", F.array(ring(x, z, x + w, z + h), ring(x + 10, z + 10, x + w - 10, z + h - 10, True)))
 
 
 FRAME = f"(select id, x, z, id % 7 * 50 + 100 w, id % 5 * 40 + 60 h from {A_SQL})"
@@ -138,7 +139,7 @@ def tile_edges(spark, d):
 select id, lod, case when id % 60 > tol then 3 else 2 end points from {A_SQL}, (values (1, 2), (2, 25)) v(lod, tol)""")
 def simplified_lines(spark, d):
     lods = F.array(*[F.struct(F.lit(l).alias("lod"), F.lit(float(t)).alias("tol")) for l, t in ((1, 2), (2, 25))])
-    p = points_a(spark, d).select("id", F.explode(lods).alias("l"))
+    p = spread(points_a(spark, d).select("id")).select("id", F.explode(lods).alias("l"))
     line = F.array(polygons.point(F.lit(0.0), F.lit(0.0)), polygons.point(F.lit(500.0), (F.col("id") % 60).cast("double")), polygons.point(F.lit(1000.0), F.lit(0.0)))
     return p.select("id", F.col("l.lod").alias("lod"), geometry.simplified(line, F.col("l.tol")).alias("line")).select("id", "lod", F.size("line").alias("points"))
 

@@ -5,11 +5,14 @@ import random
 import threading
 from contextlib import contextmanager
 
+import pytest
 from pyspark.sql import functions as F
 
 from cartolith.functions import coerce
 from cartolith.operators import conflate, intents, joins
 from cartolith.operators.search_index import build_index, search_many
+from cartolith.plans.queries import QUERIES
+from cartolith.plans.tables import SPREAD
 
 
 def test_kilometres_as_printf(spark):
@@ -146,3 +149,10 @@ def test_establishments_by_turns(spark, monkeypatch):
     monkeypatch.setattr(conflate, "SETTLED", 40)
     monkeypatch.setattr(conflate, "IDS", 100)
     assert found() == whole and len(whole) == 60
+
+
+@pytest.mark.parametrize("name", ["bbox_iou", "line_in_polygon", "polygon_anchors", "polygon_contains", "polygon_overlap", "polygon_problems", "shown_names", "simplified_lines", "tile_fragments"])
+def test_few_rows_use_all_cores(spark, name):
+    """Rows that cost much are not left to the one task that reads their few bytes."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({SPREAD * spark.sparkContext.defaultParallelism})" in plan
