@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import geometry, hours, taxonomy, text
 from cartolith.operators import audit, geocode, graph, joins, osm, resolve, search, tiles
+from cartolith.plans.tables import spread
 from cartolith.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -448,7 +449,7 @@ t as (select *, unnest(range(floor(z0 / 2048)::bigint, floor(z1 / 2048)::bigint
 a as (select id, greatest(0, least(x1, (col + 1) * 2048) - greatest(x0, col * 2048)) * greatest(0, least(z1, ("row" + 1) * 2048) - greatest(z0, "row" * 2048)) a from t)
 select id, count(*) filter (where a > 0) fragments, sum(a)::double area from a group by id""")
 def tile_fragments(spark, d):
-    p = points_a(spark, d)
+    p = spread(points_a(spark, d).select("id", "x", "z"))
     w, h = F.col("id") % 7 * 1500 + 100, F.col("id") % 5 * 1200 + 100
     point = lambda dx, dz: F.struct((F.col("x") + dx).cast("double").alias("x"), (F.col("z") + dz).cast("double").alias("y"))
     rings = p.select("id", F.array(point(0, 0), point(w, 0), point(w, h), point(0, h), point(0, 0)).alias("ring"))
@@ -495,7 +496,7 @@ p as (select b.id a, c.id b, greatest(0, least(b.x1, c.x1) - greatest(b.x0, c.x0
 select a, b, round(i / (u - i), 6) iou from p where i / (u - i) >= 0.2""")
 def bbox_iou(spark, d):
     p = points_a(spark, d).select("id", "x", "z")
-    pairs = joins.blocked_pairs(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 2000)
+    pairs = joins.blocked_pairs(p.where("id % 2 = 0"), spread(p.where("id % 2 = 1")), 2000)
     box = lambda s: F.struct(F.col(f"{s}_x").cast("double").alias("x0"), F.col(f"{s}_z").cast("double").alias("y0"), (F.col(f"{s}_x") + 3000 + F.col(f"{s}_id") % 7 * 500).cast("double").alias("x1"), (F.col(f"{s}_z") + 2500 + F.col(f"{s}_id") % 5 * 400).cast("double").alias("y1"))
     iou = geometry.bbox_iou(box("l"), box("r"))
     return pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), iou.alias("iou")).where("iou >= 0.2").withColumn("iou", F.round("iou", 6))
