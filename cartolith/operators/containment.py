@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from cartolith.functions.crossed import crossed as _crossed
 from cartolith.operators.joins import best_match, blocked_pairs, cell
-from cartolith.plans.tables import materialise
+from cartolith.plans.tables import SENT, materialise
 
 #: fixed value: distance within which a point lies on an edge
 EPSILON = 1e-10
@@ -79,7 +79,12 @@ def parity(near: DataFrame, boxes: DataFrame, edges: DataFrame) -> DataFrame:
     few = _few(near.where("not crowded").drop("crowded"), dealt.where("not crowded").drop("crowded"))
     if not boxes.where("crowded").limit(1).count():
         return few
-    return few.unionByName(_many(materialise(near.where("crowded").drop("crowded"), "polygon-near"), dealt.where("crowded").drop("crowded")))
+    near, dealt = materialise(near.where("crowded").drop("crowded"), "polygon-near"), dealt.where("crowded").drop("crowded")
+    asked = materialise(near.select("polygon_id", "bin").distinct(), "polygon-asked")
+    if asked.limit(SENT + 1).count() <= SENT:
+        # edges of bins without points stay where they are
+        dealt = dealt.join(F.broadcast(asked), ["polygon_id", "bin"], "left_semi")
+    return few.unionByName(_many(near, dealt))
 
 
 def _few(near: DataFrame, dealt: DataFrame) -> DataFrame:

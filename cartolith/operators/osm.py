@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.functions import geometry
 from cartolith.plans.tables import materialise
 
 from .rings import relation_rings, walked
@@ -46,3 +47,13 @@ def relation_polygons(members: DataFrame, lines: DataFrame) -> DataFrame:
     whole = F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda v: v["p"]))
     rings = met.groupBy("relation_id", "polygon", "ring").agg(whole.alias("line")).withColumn("problem", F.lit(None).cast("string"))
     return rings.unionByName(pieces.where("problem is not null").select("relation_id", "polygon", "ring", "problem"), allowMissingColumns=True)
+
+
+def relation_sizes(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """relation_id, polygon, ring, points, area, problem: the rings of relation_polygons() with their points and signed areas, summed over their ways, so no ring
+    is put together."""
+    pieces = materialise(relation_rings(members, lines), "relation-pieces")
+    sizes = lines.select("way_id", F.size("line").alias("n"), geometry.signed_area(F.col("line")).alias("area"))
+    signed = F.when(F.col("reversed"), -F.col("area")).otherwise(F.col("area"))
+    rings = pieces.where("problem is null").join(sizes, "way_id").groupBy("relation_id", "polygon", "ring").agg((F.sum(F.col("n") - 1) + 1).alias("points"), F.sum(signed).alias("area"))
+    return rings.withColumn("problem", F.lit(None).cast("string")).unionByName(pieces.where("problem is not null").select("relation_id", "polygon", "ring", "problem"), allowMissingColumns=True)

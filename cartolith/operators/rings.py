@@ -1,8 +1,10 @@
 """Rings of relations from their ways, without a group in one task.
 
 Ways are links between end points. Where every point of a relation's role ends two ways, each way runs on into one other, in both directions,
-and the runs are cycles: a direction of a way is a dart, each dart knows the next, and pointer doubling finds in log2(ways) rounds the first
-way of its cycle and how far away that is, which orders the ring. A relation leaves the rounds as soon as they cover its ways. A point where an odd number
+and the runs are cycles: a direction of a way is a dart, each dart knows the next. Darts of BLOCK ways that follow each other among the members meet in one task, which
+joins those that run on within the block to chains; chains then know the next chain, and pointer doubling finds in log2(chains) rounds the first
+way of their cycle and how far away that is, which orders the ring. Members in order leave a few chains a block; in any other order the result is the same and the rounds
+are as many as the ways ask for. A relation leaves the rounds as soon as they cover its chains. A point where an odd number
 of ways end leaves its relation open. What hangs together with points of four or more ends is walked in the order of the members, the one step that
 takes a relation's ways at once, as pairs of ends without their lines.
 
@@ -13,16 +15,22 @@ parity of crossings, over bins of edges.
 from __future__ import annotations
 
 from collections import deque
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartolith.functions import geometry
 from cartolith.operators.containment import binned_boxes, in_box, parity
 from cartolith.plans.tables import discard, materialise
 
 KEY = ["relation_id", "role"]
+#: ways of a block, as a power of two
+BLOCK = 13
 _WALK = "relation_id long, role string, lead int, seq int, pos int, reversed boolean"
 #: what may be wrong with a relation, the gravest first
 PROBLEMS = ("no ways", "missing way", "short outer way", "short inner way", "open outer ring", "short outer ring", "open inner ring", "short inner ring", "no outer ring", "hole outside")
@@ -70,18 +78,54 @@ def _walk(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["relation_id", "role", "lead", "seq", "pos", "reversed"])
 
 
-def _cycles(darts: DataFrame, ways: DataFrame) -> DataFrame:
+def _chains(block: pa.Table) -> pa.Table:
+    """The darts of a block with the head of their chain and their place on it; a head's row has the chain's exit (the next dart, its own in a cycle), steps, least dart and the place of that."""
+    block = block.sort_by("dart")
+    dart, nxt = block.column("dart").to_numpy(), block.column("nxt").to_numpy()
+    at = np.minimum(np.searchsorted(dart, nxt), len(dart) - 1)
+    within = dart[at] == nxt
+    after, first = np.where(within, at, -1).tolist(), np.ones(len(dart), bool)
+    first[at[within]] = False
+    head, place, heads = [-1] * len(after), [0] * len(after), []
+    for h in chain(np.flatnonzero(first).tolist(), range(len(after))):
+        if head[h] >= 0:
+            continue
+        i, steps, low = h, 0, h
+        while i >= 0 and head[i] < 0:
+            head[i], place[i], low = h, steps, min(low, i)
+            last, i, steps = i, after[i], steps + 1
+        heads.append((h, nxt[last] if i < 0 else dart[h], steps, dart[low], place[low]))
+    out = {"exit": None, "steps": None, "low": None, "at": None}
+    rows, *found = (np.array(v, np.int64) for v in zip(*heads))
+    others = np.ones(len(after), bool)
+    others[rows] = False
+    for name, values in zip(out, found):
+        out[name] = np.zeros(len(after), np.int64)
+        out[name][rows] = values
+    cells = [pa.array(v, pa.int64(), mask=others) for v in out.values()]
+    return pa.table([*(block.column(k) for k in KEY), pa.array(dart), pa.array(dart[np.array(head)]), pa.array(np.array(place, np.int64)), *cells], names=[*KEY, "dart", "head", "place", *out])
+
+
+def _cycles(darts: DataFrame) -> DataFrame | None:
     """relation_id, role, lead, seq, pos, reversed of the ways whose darts (relation_id, role, dart, nxt) run in cycles.
 
-    low is the least dart among the next ``span`` ones and at the steps to it; ways: relation_id, role, ways, their number."""
+    low is the least dart on the next ``span`` chains and at the ways to it, over as many ways as steps; links: the chains of a relation's role."""
+    schema = T.StructType([*(darts.schema[k] for k in KEY), *(T.StructField(c, T.LongType()) for c in ("dart", "head", "place", "exit", "steps", "low", "at"))])
+    block = F.shiftright("dart", BLOCK + 1).alias("block")
+    placed = materialise(darts.select(*KEY, "dart", "nxt").groupBy(*KEY, block).applyInArrow(_chains, schema), "ring-chains")
+    heads = placed.where("exit is not null")
+    links = heads.groupBy(*KEY).agg(F.count(F.lit(1)).alias("links"))
     span, done = 1, []
-    now = materialise(darts.join(ways, KEY).select(*KEY, "ways", "dart", "nxt", F.col("dart").alias("low"), F.lit(0).alias("at")), "ring-darts")
+    now = materialise(heads.join(links, KEY).select(*KEY, "links", "head", F.col("exit").alias("nxt"), "low", "at", "steps", F.col("steps").alias("own")), "ring-darts")
     while now.limit(1).count():
-        done.append(materialise(now.where(F.col("ways") <= span).select(*KEY, "dart", "low", "at"), "ring-cycles"))
-        later = now.select(*KEY, F.col("dart").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("low").alias("low2"), F.col("at").alias("at2"))
-        ahead = now.where(F.col("ways") > span).join(later, [*KEY, "nxt"])
+        done.append(materialise(now.where(F.col("links") <= span).select(*KEY, "head", "low", "at", "own"), "ring-cycles"))
+        later = now.select(*KEY, F.col("head").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("low").alias("low2"), F.col("at").alias("at2"), F.col("steps").alias("steps2"))
+        ahead = now.where(F.col("links") > span).join(later, [*KEY, "nxt"])
         nearer = F.col("low") <= F.col("low2")
-        ahead = ahead.select(*KEY, "ways", "dart", F.col("nxt2").alias("nxt"), F.least("low", "low2").alias("low"), F.when(nearer, F.col("at")).otherwise(F.col("at2") + span).alias("at"))
+        ahead = ahead.select(
+            *KEY, "links", "head", F.col("nxt2").alias("nxt"), F.least("low", "low2").alias("low"), F.when(nearer, F.col("at")).otherwise(F.col("at2") + F.col("steps")).alias("at"),
+            (F.col("steps") + F.col("steps2")).alias("steps"), "own",
+        )
         old, now = now, materialise(ahead, "ring-darts")
         discard(old)
         span *= 2
@@ -92,27 +136,27 @@ def _cycles(darts: DataFrame, ways: DataFrame) -> DataFrame:
         found = found.unionByName(more)
     # both directions of a ring are cycles: the one that runs its first way forwards stays
     found = found.where("low % 2 = 0")
-    sizes = found.groupBy(*KEY, "low").agg(F.count(F.lit(1)).alias("n"))
-    seq = ((F.col("n") - F.col("at")) % F.col("n")).cast("int")
+    sizes = found.groupBy(*KEY, "low").agg(F.sum("own").alias("n"))
+    found = materialise(found.join(sizes, [*KEY, "low"]).select(*KEY, "head", "low", "at", "n"), "ring-heads")
+    seq = F.pmod(F.col("place") - F.col("at"), F.col("n")).cast("int")
     whole = lambda c: F.shiftright(c, 1)
-    return found.join(sizes, [*KEY, "low"]).select(*KEY, whole("low").alias("lead"), seq.alias("seq"), whole("dart").alias("pos"), (F.col("dart") % 2 == 1).alias("reversed"))
+    met = placed.select(*KEY, "dart", "head", "place").join(found, [*KEY, "head"])
+    return met.select(*KEY, whole("low").cast("int").alias("lead"), seq.alias("seq"), whole("dart").cast("int").alias("pos"), (F.col("dart") % 2 == 1).alias("reversed"))
 
 
 def chained(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rings of ways (relation_id, role, pos, hx, hy, tx, ty), and (relation_id, role) of what stays open.
 
     A ring is named by lead, its first way's pos; seq is the place of a way on it, reversed whether it runs from tail to head there."""
-    spot = lambda side, x, y: F.struct(F.lit(side).alias("side"), F.col(x).alias("x"), F.col(y).alias("y"))
-    spots = ends.select(*KEY, "pos", F.explode(F.array(spot(0, "hx", "hy"), spot(1, "tx", "ty"))).alias("e"))
-    spots = spots.select(*KEY, F.col("e.x").alias("x"), F.col("e.y").alias("y"), F.struct("pos", "e.side").alias("end"))
+    # an end is twice its way's pos, and one more at the tail
+    spot = lambda side, x, y: F.struct((F.col("pos").cast("long") * 2 + side).alias("end"), F.col(x).alias("x"), F.col(y).alias("y"))
+    spots = ends.select(*KEY, F.explode(F.array(spot(0, "hx", "hy"), spot(1, "tx", "ty"))).alias("e")).select(*KEY, "e.*")
     points = materialise(spots.groupBy(*KEY, "x", "y").agg(F.count(F.lit(1)).alias("ends"), F.min("end").alias("a"), F.max("end").alias("b")), "ring-points")
     odd = materialise(points.where("ends % 2 = 1").select(*KEY).distinct(), "ring-open")
     sound = points.where("ends = 2").join(odd, KEY, "left_anti")
-    pair = lambda out, into: F.struct(F.col(out).alias("out"), F.col(into).alias("into"))
-    pairs = sound.select(*KEY, F.explode(F.array(pair("a", "b"), pair("b", "a"))).alias("p"))
     # a dart leaves by the end that it does not enter by: forwards (even) by the tail
-    darts = pairs.select(*KEY, (F.col("p.out.pos") * 2 + 1 - F.col("p.out.side")).alias("dart"), (F.col("p.into.pos") * 2 + F.col("p.into.side")).alias("nxt"))
-    cycles = _cycles(darts, ends.groupBy(*KEY).agg(F.count(F.lit(1)).alias("ways")))
+    pair = lambda out, into: F.struct(F.col(out).bitwiseXOR(F.lit(1)).alias("dart"), F.col(into).alias("nxt"))
+    cycles = _cycles(sound.select(*KEY, F.explode(F.array(pair("a", "b"), pair("b", "a"))).alias("p")).select(*KEY, "p.*"))
     branching = ends.join(points.where("ends > 2").select(*KEY).distinct(), KEY, "left_semi").join(odd, KEY, "left_anti")
     if cycles is None:
         return branching.groupBy(*KEY).applyInPandas(_walk, _WALK), odd
@@ -161,11 +205,11 @@ def relation_rings(members: DataFrame, lines: DataFrame) -> DataFrame:
     chains, odd = chained(sound)
     pieces = materialise(chains.join(sound, [*KEY, "pos"]), "ring-pieces")
     signed = F.when(F.col("reversed"), -F.col("area")).otherwise(F.col("area"))
-    first = F.struct(F.col("hx").alias("x"), F.col("hy").alias("z"))  # a ring's first way is never reversed
-    rings = pieces.groupBy(*KEY, "lead").agg(F.sum(signed).alias("area"), F.count(F.lit(1)).cast("int").alias("ways"), F.sum(F.col("n") - 1).alias("points"), F.min_by(first, "seq").alias("p"))
+    first = lambda c: F.max(F.when(F.col("seq") == 0, F.col(c)))  # noqa: E731  # a ring's first way is never reversed
+    rings = pieces.groupBy(*KEY, "lead").agg(F.sum(signed).alias("area"), F.count(F.lit(1)).cast("int").alias("ways"), F.sum(F.col("n") - 1).alias("points"), first("hx").alias("x"), first("hy").alias("z"))
     turn = F.coalesce(F.col("area") * F.when(F.col("role") == "outer", 1).otherwise(-1) < 0, F.lit(False))
     order = Window.partitionBy("relation_id", "role").orderBy("lead")
-    rings = rings.select(*KEY, "lead", "ways", "points", turn.alias("turn"), F.col("p.x").alias("x"), F.col("p.z").alias("z"), F.when(F.col("role") == "outer", F.row_number().over(order) - 1).alias("polygon"))
+    rings = rings.select(*KEY, "lead", "ways", "points", turn.alias("turn"), "x", "z", F.when(F.col("role") == "outer", F.row_number().over(order) - 1).alias("polygon"))
     rings = materialise(rings, "rings")
     homes = materialise(_homes(rings, pieces, lines), "ring-homes")
     holes = rings.where("role = 'inner'").drop("polygon").join(homes, ["relation_id", "lead"], "left")

@@ -133,3 +133,20 @@ def test_way_shapes(spark):
     ways = [(1, "building", [0, 1, 4, 0]), (2, "road", [0, 1, 4, 0]), (3, "water", [0, 1, 4]), (4, "poi", [0, 99]), (5, "poi", [3]), (6, "landuse", [0, 4, 20]), (7, None, [0, 1, 0])]
     out = {r.way_id: (r.line is not None, r.rings is not None) for r in osm.way_shapes(spark.createDataFrame(ways, "way_id long, kind string, nodes array<long>"), nodes).collect()}
     assert out == {1: (False, True), 2: (True, False), 3: (True, False), 6: (False, True), 7: (True, False)}
+
+
+def test_ways_in_order_take_few_rounds(spark, monkeypatch):
+    """Two rings of 256 ways, one with its members in order: chains of a block are doubled, not ways."""
+    n, rng, rounds = 256, random.Random(6), []
+    ring = circle(rng, 0.0, 0.0, 100.0, n)
+    lines = {i: ring[i : i + 2][:: rng.choice([1, -1])] for i in range(n)}
+    kept = rings.materialise
+    monkeypatch.setattr(rings, "BLOCK", 6)
+    monkeypatch.setattr(rings, "materialise", lambda df, name="step": rounds.append(name) or kept(df, name))
+    for order, most in ((list(range(n)), 6), (rng.sample(range(n), n), 12)):
+        members = [(1, pos, "outer", w) for pos, w in enumerate(order)]
+        rounds.clear()
+        assert got(spark, members, lines) == {1: brute([m[1:] for m in members], lines)}
+        assert rounds.count("ring-darts") <= most
+    sizes = osm.relation_sizes(spark.createDataFrame(members, MEMBERS), spark.createDataFrame([(w, [{"x": x, "y": y} for x, y in v]) for w, v in lines.items()], LINES)).collect()
+    assert [(r.points, round(r.area, 6), r.problem) for r in sizes] == [(n + 1, round(abs(area(ring)), 6), None)]
