@@ -15,7 +15,9 @@ def blocked_pairs(left: DataFrame, right: DataFrame, radius: float, on: tuple[st
 
     Cells are as wide as the radius. The left side is dealt to its nine neighbour cells, so the join is an
     equi-join on the cell (and on further columns) with the distance as a residual; put the smaller
-    side left."""
+    side left. It is sent to every task only if it is counted to be small: the size of its files says little of nine times its rows."""
+    from cartolith.plans.tables import SENT
+
     l = left.select([F.col(c).alias(f"l_{c}") for c in left.columns])
     r = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
     near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dz")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -25,6 +27,7 @@ def blocked_pairs(left: DataFrame, right: DataFrame, radius: float, on: tuple[st
         l, r = l.withColumn(f"_{c}", F.col(f"l_{c}")), r.withColumn(f"_{c}", F.col(f"r_{c}"))
     dx, dz = F.col("l_x") - F.col("r_x"), F.col("l_z") - F.col("r_z")
     keys = ["_cx", "_cz", *[f"_{c}" for c in on]]
+    l = l.hint("broadcast" if left.limit(SENT // 9 + 1).count() <= SENT // 9 else "shuffle_merge")
     return l.join(r, keys).drop(*keys).withColumn("d2", dx * dx + dz * dz).where(F.col("d2") <= float(radius) ** 2)
 
 
@@ -54,6 +57,31 @@ def one_to_one(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame
             return taken.drop("_o")
 
 
+def one_to_one_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float) -> DataFrame:
+    """left_id, right_id, d2: one_to_one() of all pairs within radius, the nearer first; both sides have x and z, ids are unique.
+
+    The radius doubles from one whose cells hold few rows of a side. Who is matched within the smaller one leaves, and the nearest pairs first is the
+    order of one_to_one(), so pairs are only made of rows that found nobody nearer, not of all rows within the radius."""
+    from cartolith.plans.tables import discard, materialise
+
+    side = lambda d, key: materialise(d.where("x is not null and z is not null").select(key, "x", "z"), "one-side")
+    l, r = side(left, left_id), side(right, right_id)
+    out = None
+    for half in range(halvings(r, radius, FEW), -1, -1):
+        near = float(radius) / 2**half
+        small, large = (l, r) if l.count() <= r.count() else (r, l)
+        pairs = blocked_pairs(small, large, near)
+        ids = [F.col(f"{'l' if c in small.columns else 'r'}_{c}").alias(c) for c in (left_id, right_id)]
+        found = materialise(one_to_one(pairs.select(*ids, "d2", (-F.col("d2")).alias("score")), left_id, right_id, "score").drop("score"), "one-found")
+        out = found if out is None else out.unionByName(found)
+        if half:
+            old, l = l, materialise(l.join(found.select(left_id), left_id, "left_anti"), "one-side")
+            discard(old)
+            old, r = r, materialise(r.join(found.select(right_id), right_id, "left_anti"), "one-side")
+            discard(old)
+    return out
+
+
 def contained(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     """Points with the first box (by its box_id) that holds them; boxes: box_id, x0, z0, x1, z1 (half open).
 
@@ -115,8 +143,17 @@ def first_within(left: DataFrame, right: DataFrame, on: str, left_id: str, right
         done, read = read, read * TURN
 
 
-#: right rows of a cell in the first turn of nearest_within, at most; and how often the radius is halved for that
-CROWD, HALVES = 32, 16
+#: right rows of a cell in the first turn of nearest_within and of one_to_one_within, at most; and how often the radius is halved for that
+CROWD, FEW, HALVES = 32, 8, 16
+
+
+def halvings(places: DataFrame, radius: float, most: int) -> int:
+    """How often radius is halved until a cell as wide holds at most so many places (x, z)."""
+    for halves in range(HALVES):
+        wide = float(radius) / 2**halves
+        if (places.groupBy(F.floor(F.col("x") / wide), F.floor(F.col("z") / wide)).count().agg(F.max("count")).first()[0] or 0) <= most:
+            return halves
+    return HALVES
 
 
 def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float) -> DataFrame:
@@ -128,13 +165,7 @@ def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: st
 
     places = materialise(right.where("x is not null and z is not null").groupBy("x", "z").agg(F.min(right_id).alias(right_id)), "nearest-places")
     many = places.count()
-    halves = 0
-    while halves < HALVES:
-        wide = float(radius) / 2**halves
-        most = places.groupBy(F.floor(F.col("x") / wide), F.floor(F.col("z") / wide)).count().agg(F.max("count")).first()[0] or 0
-        if most <= CROWD:
-            break
-        halves += 1
+    halves = halvings(places, radius, CROWD)
     rest = materialise(left.where("x is not null and z is not null").select(left_id, "x", "z").withColumn("_row", F.monotonically_increasing_id()), "nearest-left")
     near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dz")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     dx, dz, out = F.col("x") - F.col("r_x"), F.col("z") - F.col("r_z"), None

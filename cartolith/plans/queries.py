@@ -195,8 +195,8 @@ r(n, l, r, a, b, score) as (select 0::bigint, []::bigint[], []::bigint[], null::
  case when not (list_contains(r.l, o.a) or list_contains(r.r, o.b)) then o.a end, o.b, o.score from r join o on o.n = r.n + 1)
 select a, b, score from r where a is not null""")
 def one_to_one(spark, d):
-    pairs = joins.blocked_pairs(points_a(spark, d), points_b(spark, d), 400).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), (-F.col("d2")).alias("score"))
-    return joins.one_to_one(pairs, "a", "b", "score")
+    a, b = points_a(spark, d).withColumnRenamed("id", "a"), points_b(spark, d).withColumnRenamed("id", "b")
+    return joins.one_to_one_within(a, b, "a", "b", 400).select("a", "b", (-F.col("d2")).alias("score"))
 
 
 @query(f"select a.id, min(box_id) box_id from {A_SQL} a, {BOX_SQL} b where a.x >= x0 and a.x < x1 and a.z >= z0 and a.z < z1 group by a.id")

@@ -156,3 +156,25 @@ def test_few_rows_use_all_cores(spark, name):
     """Rows that cost much are not left to the one task that reads their few bytes."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert f"RoundRobinPartitioning({SPREAD * spark.sparkContext.defaultParallelism})" in plan
+
+
+def test_dealt_rows_are_not_sent(spark, tmp_path):
+    spark.range(20000).select("id", F.col("id").alias("x"), F.col("id").alias("z")).coalesce(1).write.parquet(str(tmp_path / "points"))
+    p = spark.read.parquet(str(tmp_path / "points"))
+    many, few = joins.blocked_pairs(p, p, 2), joins.blocked_pairs(p.where("id < 9"), p, 2)
+    assert not sides_sent(many) and sides_sent(few)
+    assert many.count() == 20000 + 2 * 19999 and few.count() == 27 - 1
+
+
+def test_dense_points_are_matched_by_turns(spark, monkeypatch):
+    rng, seen, own = random.Random(9), [], joins.one_to_one
+    sides = [[(i, rng.randrange(60), rng.randrange(60)) for i in range(n)] for n in (400, 300)]
+    left, right = (spark.createDataFrame(rows, f"{c} long, x long, z long") for c, rows in zip("ab", sides))
+    monkeypatch.setattr(joins, "one_to_one", lambda pairs, *names: seen.append(pairs.count()) or own(pairs, *names))
+    got = {(r.a, r.b, r.d2) for r in joins.one_to_one_within(left, right, "a", "b", 40).collect()}
+    every = sorted(((x - u) ** 2 + (z - v) ** 2, i, j) for i, x, z in sides[0] for j, u, v in sides[1])
+    want, a, b = set(), set(), set()
+    for d2, i, j in every:
+        if d2 <= 1600 and i not in a and j not in b:
+            a.add(i), b.add(j), want.add((i, j, d2))
+    assert got == want and sum(seen) < 10_000 < sum(d2 <= 1600 for d2, *_ in every)
