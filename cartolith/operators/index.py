@@ -10,6 +10,9 @@ from cartolith.plans.tables import discard, materialise
 
 from .joins import cell
 
+#: records of a name that the first turn of distinct_records takes; each further turn ends at so many times as many
+FIRST, TURN = 64, 4
+
 # fixed values: numbers that roads carried before they were renumbered, and sources that are no places
 FORMER_NUMBERS = {"D1124": ["N124"], "D1021": ["N21"]}
 SKIPPED_SOURCES = ("ign-bdtopo:point_de_repere/",)
@@ -97,17 +100,35 @@ def distinct_records(records: DataFrame, near: float = 150, settled: float = 150
     d = records.where(~F.col("kind").isin("address", "road", "boundary", "water")).withColumn("key", names.duplicate_key(F.col("name")))
     # the order within a name is all that matters, so no task ranks all records
     d = d.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("richness"), F.desc("boost"), "record_id"))).withColumn("place", F.struct("key", "turn"))
-    side = lambda s: d.select(*[F.col(c).alias(f"{s}_{c}") for c in ("place", "key", "turn", "kind", "category", "x", "z", "reach")])
+    d = materialise(d.withColumn("cx", cell("x", widest)).withColumn("cz", cell("z", widest)), "distinct-records")
     around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dz")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    l = side("l").withColumn("_n", F.explode(around)).withColumn("cx", cell("l_x", widest) + F.col("_n.dx")).withColumn("cz", cell("l_z", widest) + F.col("_n.dz")).withColumn("key", F.col("l_key"))
-    r = side("r").withColumn("cx", cell("r_x", widest)).withColumn("cz", cell("r_z", widest)).withColumn("key", F.col("r_key"))
+    columns = ("place", "kind", "category", "x", "z", "reach")
     place = lambda s: F.col(f"{s}_kind") == "place"
     lived = lambda s: place(s) & F.coalesce(F.col(f"{s}_category").isin(*SETTLEMENTS), F.lit(False))
     reach = lambda s: F.least(F.coalesce(f"{s}_reach", F.lit(0.0)), F.lit(float(widest)))
     radius = F.when(place("l") & place("r"), float(settled)).otherwise(F.greatest(F.lit(float(near)), reach("l"), reach("r")))
-    pairs = l.join(r, ["key", "cx", "cz"]).where((F.col("l_turn") < F.col("r_turn")) & ((place("l") == place("r")) | ~(lived("l") | lived("r"))))
-    pairs = pairs.where(F.hypot(F.col("l_x") - F.col("r_x"), F.col("l_z") - F.col("r_z")) <= radius).select(F.col("l_place").alias("earlier"), F.col("r_place").alias("later"))
-    kept = first_kept(materialise(pairs, "near"), d).withColumn("home", F.coalesce("twin", "place"))
+    met = ((place("l") == place("r")) | ~(lived("l") | lived("r"))) & (F.hypot(F.col("l_x") - F.col("r_x"), F.col("l_z") - F.col("r_z")) <= radius)
+
+    def pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
+        """The rows of two tables that repeat each other."""
+        l, r = (t.select("key", "cx", "cz", *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s, t in (("l", earlier), ("r", later)))
+        l = l.withColumn("_n", F.explode(around)).withColumn("cx", F.col("cx") + F.col("_n.dx")).withColumn("cz", F.col("cz") + F.col("_n.dz")).drop("_n")
+        return l.join(r, ["key", "cx", "cz"]).where((F.col("l_place") < F.col("r_place")) & met).select(F.col("l_place").alias("earlier"), F.col("r_place").alias("later"))
+
+    # turns grow: what the kept ones of earlier turns take in leaves before its own pairs are made
+    rest, kept, read = d, None, FIRST
+    while True:
+        now, rest = rest.where(F.col("turn") <= read), rest.where(F.col("turn") > read)
+        decided = materialise(first_kept(materialise(pairs(now, now), "near"), now), "distinct-turn")
+        taken = now.join(decided.where("twin is null").select("place"), "place", "left_semi")
+        kept = decided if kept is None else kept.unionByName(decided)
+        twins = materialise(pairs(taken, rest).groupBy(F.col("later").alias("place")).agg(F.min("earlier").alias("twin")), "distinct-twins")
+        kept = kept.unionByName(twins)
+        rest = materialise(rest.join(twins, "place", "left_anti"), "distinct-rest")
+        if not rest.limit(1).count():
+            break
+        read *= TURN
+    kept = kept.withColumn("home", F.coalesce("twin", "place"))
     joined = d.join(kept, "place")
     quality = F.struct((-text.name_quality(F.col("name"))).alias("q"), F.col("turn"))
     merged = joined.groupBy("home").agg(

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartolith.functions import coerce
-from cartolith.operators import conflate, intents, joins
+from cartolith.operators import conflate, graph, index, intents, joins
 from cartolith.operators.search_index import build_index, search_many
 from cartolith.plans.queries import QUERIES
 from cartolith.plans.tables import SPREAD
@@ -178,3 +178,44 @@ def test_dense_points_are_matched_by_turns(spark, monkeypatch):
         if d2 <= 1600 and i not in a and j not in b:
             a.add(i), b.add(j), want.add((i, j, d2))
     assert got == want and sum(seen) < 10_000 < sum(d2 <= 1600 for d2, *_ in every)
+
+
+def test_records_of_one_name_are_taken_by_turns(spark, monkeypatch):
+    rng, seen, own = random.Random(4), [], index.first_kept
+    rows = [(i, "Café Rond", rng.choice(["poi", "business", "place"]), rng.choice(["village", "park"]), rng.uniform(0, 3500), rng.uniform(0, 3500), rng.choice([None, None, 400.0, 900.0]), i % 7, i % 5) for i in range(600)]
+    monkeypatch.setattr(index, "first_kept", lambda pairs, nodes: seen.append(pairs.count()) or own(pairs, nodes))
+    records = spark.createDataFrame(rows, "record_id long, name string, kind string, category string, x double, z double, reach double, boost int, richness int")
+    got = {r.record_id: r.boost for r in index.distinct_records(records).collect()}
+    kept, boost, pairs = [], {}, 0
+    for r in sorted(rows, key=lambda r: (-r[8], -r[7], r[0])):
+        place, lived = r[2] == "place", r[2] == "place" and r[3] == "village"
+        for q in kept:
+            both = place and q[2] == "place"
+            apart = (q[2] == "place") != place and (lived or q[2] == "place" and q[3] == "village")
+            if not apart and math.hypot(r[4] - q[4], r[5] - q[5]) <= (1500 if both else max(150, r[6] or 0, q[6] or 0)):
+                boost[q[0]] = max(boost[q[0]], r[7])
+                break
+        else:
+            kept.append(r)
+            boost[r[0]] = r[7]
+    assert got == boost and sum(seen) < 10_000
+
+
+def test_close_boxes_are_clustered_without_their_pairs(spark, monkeypatch):
+    rng, seen, own = random.Random(8), [], graph.components
+    at = [(rng.choice([0, 300, 620]) + rng.uniform(0, 90), rng.uniform(0, 60)) for _ in range(900)] + [(rng.uniform(2000, 9000), rng.uniform(0, 9000)) for _ in range(200)]
+    rows = [(i, "ab"[i % 2], x, z, x + rng.uniform(0, 200), z + rng.uniform(0, 90)) for i, (x, z) in enumerate(at)] + [(5000, "a", None, 0.0, 1.0, 1.0), (5001, "a", None, 0.0, 1.0, 1.0), (5002, None, 0.0, 0.0, 1.0, 1.0)]
+    monkeypatch.setattr(graph, "components", lambda links: seen.append(links.count()) or own(links))
+    got = {r.box_id: r.cluster for r in graph.clusters(spark.createDataFrame(rows, "box_id long, name string, x0 double, z0 double, x1 double, z1 double"), 100).collect()}
+    near = lambda a, b: math.hypot(max(0, a[2] - b[4], b[2] - a[4]), max(0, a[3] - b[5], b[3] - a[5])) < 100
+    want = {}
+    for r in rows:
+        if r[0] not in want:
+            want[r[0]], todo = r[0], [r]
+            while todo and None not in r:
+                b = todo.pop()
+                for q in rows:
+                    if q[0] not in want and None not in q and q[1] == b[1] and near(q, b):
+                        want[q[0]] = r[0]
+                        todo.append(q)
+    assert got == want and len(set(want.values())) > 50 and sum(seen) < 2_000
