@@ -2,7 +2,8 @@
 
 A line's samples are its points and the middles of its segments; two lines are as far apart as the sample of either that is farthest from the
 other one's segments. Segments are dealt to the grid cells that they pass within ``most``, column by column, so a long slanted one has as many cells as
-it is long. The first sample of a line finds the segments near it: only lines that find each other so can be near throughout. Samples then meet the segments of
+it is long. Lines that are near throughout have boxes that differ by at most ``most`` on every side: such lines are found by the cells of one corner of their boxes, a row
+or nine a line. Samples then meet the segments of
 such a partner by (partner, cell), and the distance of a sample is the least of those within ``most``; a sample without one parts the lines.
 
 Every join is on equal keys and no line is held by one task but as its own row. Copies of one line find each other, each pair once: that is the result.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import geometry
 from cartolith.functions.polygons import let, point
-from cartolith.operators.joins import cell
+from cartolith.operators.joins import blocked_pairs, cell
 from cartolith.plans.tables import materialise
 
 Rule = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
@@ -72,13 +73,17 @@ def close_lines(lines: DataFrame, most: float, alike: Rule | None = None, width:
     alike: what a pair's columns must fulfil beside; width: of the grid cells, ten times ``most`` unless given. Parts that are null, empty or hold one point have no
     segments, so lines of such parts alone are near nothing; coordinates must not be null."""
     width, reach = float(width or 10 * most), most * (1 + 1e-9) + 1e-9
+    lines = materialise(lines, "lines")
     spots = materialise(samples(lines).withColumn("cx", cell("x", width)).withColumn("cy", cell("y", width)), "line-samples")
     dealt = segments(lines).withColumn("c", F.explode(passed_cells(width, reach))).select("id", "c.cx", "c.cy", "ax", "ay", "bx", "by")
     dealt = materialise(dealt, "line-segments").withColumnRenamed("id", "other")
     d = segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-    found = spots.where("no = 0").join(dealt, ["cx", "cy"]).where((F.col("id") != F.col("other")) & (d <= most)).select("id", "other").distinct()
-    found = materialise(found, "line-found")
-    pairs = found.where("id < other").join(found.where("id > other").select(F.col("other").alias("id"), F.col("id").alias("other")), ["id", "other"], "left_semi")
+    ends = lambda c, name: (F.min(F.least(f"a{c}", f"b{c}")).alias(f"{name}0"), F.max(F.greatest(f"a{c}", f"b{c}")).alias(f"{name}1"))
+    boxes = segments(lines).groupBy("id").agg(*ends("x", "x"), *ends("y", "z"))
+    boxes = materialise(boxes.select("id", F.col("x0").alias("x"), F.col("z0").alias("z"), "x1", "z1"), "line-boxes")
+    alike_box = lambda c: F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) <= reach
+    found = blocked_pairs(boxes, boxes, reach * 2**0.5).where("l_id < r_id").where(alike_box("x") & alike_box("z") & alike_box("x1") & alike_box("z1"))
+    pairs = found.select(F.col("l_id").alias("id"), F.col("r_id").alias("other"))
     if alike is not None:
         side = lambda s, key: lines.drop("parts").select(F.col("id").alias(key), *[F.col(c).alias(f"{s}_{c}") for c in lines.columns if c != "parts"])
         pairs = pairs.join(side("l", "id"), "id").join(side("r", "other"), "other").where(alike(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}")))

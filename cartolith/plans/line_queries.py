@@ -10,6 +10,7 @@ from cartolith.functions import geometry
 from cartolith.operators import conflate, lines
 
 from .queries import query, table
+from .tables import spread
 
 _ROADS = """i as (select c_custkey i, (c_custkey * 7919 % 5003 * 4)::double x0, (c_custkey * 104729 % 4001 * 4)::double z0 from customer),
 f as (select i * 2 id, case when i % 4 = 0 then 'IGN BD TOPO' else 'communal' end source, 'Rue ' || i % 50 as name, ['track', 'path', 'street'][i % 3 + 1] road_class, * from i
@@ -52,7 +53,7 @@ m as (select a, b, p, no, min({_FAR}) far from (select o.*, s.no, s.x, s.z, g.ax
 select a, b, round(max(far), 6) far from m group by a, b having max(far) <= 4""")
 def road_lines(spark, d):
     """Pairs of roads that are one by their sources, names or classes, and lines at most 4 m apart."""
-    found = conflate.conflated_lines(roads(spark, d), {"road": (4.0, conflate.same_road)})
+    found = conflate.conflated_lines(spread(roads(spark, d)), {"road": (4.0, conflate.same_road)})
     return found.select("a", "b", F.round("d", 6).alias("far"))
 
 

@@ -84,3 +84,12 @@ def test_empty(spark):
     assert lines.close_lines(frame(spark, []), 4.0).count() == 0
     d = spark.createDataFrame([(1, [[{"x": 0.0, "y": 0.0}, {"x": 3.0, "y": 0.0}]], 1.0, 2.0)], f"id long, parts {PARTS}, px double, py double")
     assert d.select(lines.nearest_edge(F.col("px"), F.col("py"), F.col("parts"))).first()[0] == 2.0
+
+
+def test_lines_of_one_start_are_no_candidates(spark, monkeypatch):
+    """A fan of lines from one point, each with a copy: only the copies have boxes alike."""
+    fan = [[[(0.0, 0.0), (60.0 + 9 * k, 900.0 - 9 * k)]] for k in range(60)]
+    kept, seen = lines.materialise, []
+    monkeypatch.setattr(lines, "materialise", lambda df, name="step": seen.append(df.count() if name == "line-pairs" else 0) or kept(df, name))
+    got = {(r.a, r.b) for r in lines.close_lines(frame(spark, [line for line in fan for _ in (0, 1)]), 3.0).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(60)} and max(seen) == 60
