@@ -96,12 +96,14 @@ class TileCover:
     def eval(self, box: T.Row, lod: int):
         from math import floor
 
-        if None in (box["x0"], box["z0"], box["x1"], box["z1"]):
+        x0, z0, x1, z1 = box["x0"], box["z0"], box["x1"], box["z1"]
+        if x0 is None or z0 is None or x1 is None or z1 is None:
             return
-        size = (2048, 8192, 32768)[lod]
-        for col in range(floor(box["x0"] / size), floor(box["x1"] / size) + 1):
-            for row in range(floor(box["z0"] / size), floor(box["z1"] / size) + 1):
-                yield (*box, col, row, f"l{lod}_{col}_{row}")
+        size, own = (2048, 8192, 32768)[lod], tuple(box)
+        rows = range(floor(z0 / size), floor(z1 / size) + 1)
+        for col in range(floor(x0 / size), floor(x1 / size) + 1):
+            for row in rows:
+                yield own + (col, row, f"l{lod}_{col}_{row}")
 
 
 def register(spark: SparkSession) -> list[str]:

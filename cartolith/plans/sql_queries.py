@@ -5,6 +5,7 @@ from __future__ import annotations
 from cartolith.functions import sql
 
 from .queries import A_SQL, FOLD, ORACLES, query
+from .tables import SPREAD
 
 _TABLE = "parquet.`{d}/{name}.parquet`"
 
@@ -42,7 +43,10 @@ with b as (select id, x x0, z z0, x + (id % 7) * 1500 x1, z + (id % 5) * 1200 z1
 c as (select *, unnest(range(floor(x0 / 2048)::bigint, floor(x1 / 2048)::bigint + 1)) col from b), t as (select *, unnest(range(floor(z0 / 2048)::bigint, floor(z1 / 2048)::bigint + 1)) "row" from c)
 select tile_id, count(*) features, min(id) first_id, round(sum(area), 3) area from (select id, 'l0_' || col || '_' || "row" tile_id, ((x1 - x0) * (z1 - z0))::double area from t) group by tile_id""")
 def sql_tile_cover(spark, d):
-    """Tiles of all boxes by the polymorphic table function, which passes the table's own columns on."""
+    """Tiles of all boxes by the polymorphic table function, which passes the table's own columns on.
+
+    A scan reads customers in few tasks, and each runs the function in one process: they are spread over all cores first."""
+    tasks = SPREAD * spark.sparkContext.defaultParallelism
     return asked(spark, d, f"""
         SELECT tile_id, count(*) features, min(id) first_id, round(sum(box_area(named_struct('x0', x0, 'y0', z0, 'x1', x1, 'y1', z1))), 3) area
-        FROM tile_cover(TABLE({_BOXES}), lod => 0) GROUP BY tile_id""", "customer")
+        FROM tile_cover(TABLE(SELECT /*+ REPARTITION({tasks}) */ * FROM ({_BOXES})), lod => 0) GROUP BY tile_id""", "customer")

@@ -219,3 +219,9 @@ def test_close_boxes_are_clustered_without_their_pairs(spark, monkeypatch):
                         want[q[0]] = r[0]
                         todo.append(q)
     assert got == want and len(set(want.values())) > 50 and sum(seen) < 2_000
+
+
+def test_tiles_of_few_files_are_made_by_all_cores(spark):
+    df = QUERIES["sql_tile_cover"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {SPREAD * spark.sparkContext.defaultParallelism}" in plan and df.count() > 0
