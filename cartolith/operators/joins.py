@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,6 +199,31 @@ def first_wins(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+#: rows of a group that scored_pairs() deals to one block, on the mean
+BLOCK = 1024
+
+
+def scored_pairs(rows: DataFrame, key: str, on: list[str], value: str, read: Callable[[Column], Column], score: Callable[[Column, Column], Column]) -> DataFrame:
+    """a, b, score: all pairs of keys (a < b) of rows that are equal in ``on``, with score(read(value of a), read(value of b)).
+
+    A value is read once a block, and a pair of values scored once a pair of blocks; only then are their rows paired, so a pair of rows costs a loop over two
+    lists of keys. Large groups are dealt to blocks by their keys, which should be unique; two blocks meet in one task, so its memory does not grow with
+    the group. All pairs are returned: they grow with the square of a group."""
+    from cartolith.plans.tables import SPREAD, materialise, sent
+
+    blocks = sent(rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_k")), "pair-blocks")
+    dealt = rows.join(blocks, on).withColumn("_i", F.expr(f"pmod(xxhash64({key}), _k)"))
+    lists = dealt.groupBy(*on, "_k", "_i", value).agg(F.collect_list(key).alias("_keys"))
+    lists = materialise(lists.select(*on, "_k", "_i", read(F.col(value)).alias("_v"), "_keys"), "pair-lists")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))
+    # few bytes become many pairs: a fixed number of tasks, which are not merged by their size
+    meet, n = [*on, "_i", "_j"], SPREAD * rows.sparkSession.sparkContext.defaultParallelism
+    l = lists.select(*on, "_i", every.alias("_j"), F.col("_v").alias("_x"), F.col("_keys").alias("_a")).repartition(n, *meet)
+    r = lists.select(*on, every.alias("_i"), F.col("_i").alias("_j"), F.col("_v").alias("_y"), F.col("_keys").alias("_b")).repartition(n, *meet)
+    met = l.join(r.hint("shuffle_merge"), meet).select("_a", "_b", score(F.col("_x"), F.col("_y")).alias("score"))
+    return met.select(F.explode("_a").alias("a"), "_b", "score").select("a", F.explode("_b").alias("b"), "score").where("a < b")
+
+
 def best_overlap(left: DataFrame, right: DataFrame, reach: float, least: float) -> DataFrame:
     """l_id, r_id, iou: each left box with the right box of the greatest overlap (then the smallest id) whose centre lies within reach; null where
     none overlaps by least. Both sides: id, box (struct of x0, y0, x1, y1)."""

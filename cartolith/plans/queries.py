@@ -112,9 +112,8 @@ j as (select a.p_partkey a, b.p_partkey b, a.w x, b.w y from t a join t b on a.p
 select a, b, round(case when len(x) = 0 or len(y) = 0 then 0.0 when len(x) <= len(y) then len(list_filter(x, lambda w: list_contains(y, w))) / len(x)
  else len(list_filter(y, lambda w: list_contains(x, w))) / len(y) end, 6) similarity from j""")
 def name_similarity(spark, d):
-    t = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", text.name_tokens(F.col("p_name")).alias("w"))
-    l, r = t.select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("w").alias("x")), t.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("w").alias("y"))
-    return l.join(r, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(text.similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+    pairs = joins.scored_pairs(table(spark, d, "part"), "p_partkey", ["p_brand", "p_size"], "p_name", text.name_tokens, lambda x, y: F.round(text.similarity(x, y), 6))
+    return pairs.select("a", "b", F.col("score").alias("similarity"))
 
 
 @query("""

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from cartolith.functions import coerce
+from cartolith.functions import coerce, text
 from cartolith.operators import conflate, graph, index, intents, joins
 from cartolith.operators.search_index import build_index, search_many
 from cartolith.plans.queries import QUERIES
@@ -225,3 +225,32 @@ def test_tiles_of_few_files_are_made_by_all_cores(spark):
     df = QUERIES["sql_tile_cover"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert f"Repartition {SPREAD * spark.sparkContext.defaultParallelism}" in plan and df.count() > 0
+
+
+def parts(spark, folder, rows):
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{folder}/part.parquet")
+    return QUERIES["name_similarity"](spark, str(folder))
+
+
+def test_pairs_of_equal_names_are_scored_once(spark, tmp_path, monkeypatch):
+    n, names, calls = 1200, ["red bolt", "Red gear", "old red plate"], spark.sparkContext.accumulator(0)
+
+    def share(x, y):
+        calls.add(1)
+        return len([w for w in x if w in y]) / len(x) if len(x) <= len(y) else len([w for w in y if w in x]) / len(y)
+
+    monkeypatch.setattr(text, "similarity", F.udf(share, "double"))
+    found = parts(spark, tmp_path, [(k, names[k % 3], "B", 1) for k in range(n)]).agg(F.count("similarity").alias("n"), F.sum("similarity").alias("s")).first()
+    m = n // 3  # each other pair shares one word of two
+    assert found.n == n * (n - 1) // 2 and found.s == 3 * m * (m - 1) / 2 + 3 * m * m / 2 and 0 < calls.value < 1000
+
+
+def test_scored_pairs_over_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 7)
+    rng, names = random.Random(15), ["red bolt", "bolt red", "red red bolt", "bolt bolt red", "", None, "é bolt", "a b c d"]
+    rows = [(k * 3 - 50, rng.choice(names), rng.choice(["B", "B", "C", None]), rng.choice([1, 1, 2, None])) for k in range(150)] + [(None, "red bolt", "B", 1)]
+    got = sorted((r.a, r.b, -1.0 if r.similarity is None else r.similarity) for r in parts(spark, tmp_path, rows).collect())
+    t = spark.read.parquet(f"{tmp_path}/part.parquet").select("p_partkey", "p_brand", "p_size", text.name_tokens(F.col("p_name")).alias("w"))
+    l, r = t.select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("w").alias("x")), t.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("w").alias("y"))
+    plain = l.join(r, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(text.similarity(F.col("x"), F.col("y")), 6).alias("s"))
+    assert got == sorted((p.a, p.b, -1.0 if p.s is None else p.s) for p in plain.collect()) and len(got) > 1000
