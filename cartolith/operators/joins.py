@@ -224,12 +224,48 @@ def scored_pairs(rows: DataFrame, key: str, on: list[str], value: str, read: Cal
     return met.select(F.explode("_a").alias("a"), "_b", "score").select("a", F.explode("_b").alias("b"), "score").where("a < b")
 
 
+#: right boxes that share a cell in the first turn of best_overlap, at most on the mean; cells that a left box meets in the second, on the mean and at most
+SHARE, COPIES, COPIES_MOST = 64, 9, 1024
+
+
 def best_overlap(left: DataFrame, right: DataFrame, reach: float, least: float) -> DataFrame:
     """l_id, r_id, iou: each left box with the right box of the greatest overlap (then the smallest id) whose centre lies within reach; null where
-    none overlaps by least. Both sides: id, box (struct of x0, y0, x1, y1)."""
-    from cartolith.functions.geometry import bbox_iou
+    none overlaps by least. Both sides: id, box (struct of x0, y0, x1, y1).
 
-    middle = lambda d: d.withColumn("x", (F.col("box.x0") + F.col("box.x1")) / 2).withColumn("z", (F.col("box.y0") + F.col("box.y1")) / 2)
-    pairs = blocked_pairs(middle(left), middle(right), reach).withColumn("iou", bbox_iou(F.col("l_box"), F.col("r_box"))).where(F.col("iou") >= least)
+    The boxes of a small cell give each left box an overlap that its best one reaches. Where boxes of width w overlap by a share s of their union, their
+    centres lie at most w * (1 - s) / (2 * s) apart, whatever the other's width, and so with their heights. The left box then meets the cells so near, which are
+    as small as leaves it few of them, and only pairs that overlap as much are sorted for the best."""
+    from cartolith.functions.geometry import bbox_iou
+    from cartolith.plans.tables import materialise
+
+    corners, reach = ("x0", "y0", "x1", "y1"), float(reach)
+    of = lambda side: {c: F.col(f"{side}_{c}") for c in corners}
+    flat = lambda d, side: d.select(F.col("id").alias(f"{side}_id"), *[F.col(f"box.{c}").alias(f"{side}_{c}") for c in corners])
+    centred = lambda d, s: d.withColumn(f"{s}_x", (F.col(f"{s}_x0") + F.col(f"{s}_x1")) / 2).withColumn(f"{s}_z", (F.col(f"{s}_y0") + F.col(f"{s}_y1")) / 2).where(f"{s}_x is not null and {s}_z is not null")
+    at = lambda d, side, wide: d.withColumn("_cx", cell(f"{side}_x", wide)).withColumn("_cz", cell(f"{side}_z", wide))
+    keys, dx, dz = ["_cx", "_cz"], F.col("l_x") - F.col("r_x"), F.col("l_z") - F.col("r_z")
+    met, iou = dx * dx + dz * dz <= reach**2, bbox_iou(of("l"), of("r"))
+
+    r = materialise(centred(flat(right, "r").groupBy(*of("r").values()).agg(F.min("r_id").alias("r_id")), "r"), "overlap-right")
+    for halves in range(HALVES + 1):
+        wide = reach / 2**halves
+        if (at(r, "r", wide).groupBy(*keys).count().agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0) <= SHARE:
+            break
+    pairs = at(centred(flat(left, "l"), "l"), "l", wide).join(at(r, "r", wide).hint("shuffle_merge"), keys, "left")
+    l = centred(pairs.groupBy("l_id", *of("l").values()).agg(F.greatest(F.lit(float(least)), F.max(F.when(met, iou))).alias("_least")), "l")
+
+    def far(c, lo, hi):
+        side, share = F.col(f"l_{hi}") - F.col(f"l_{lo}"), F.col("_least")
+        # beyond the bound by more than doubles are rounded
+        bound = F.greatest(F.lit(0.0), side) * (1 - share) / (2 * share) + (F.abs(c) + F.abs(side)) * 1e-9
+        return F.when(share > 0, F.least(F.lit(reach), bound)).otherwise(reach)
+
+    l = materialise(l.withColumn("_fx", far("l_x", "x0", "x1")).withColumn("_fz", far("l_z", "y0", "y1")), "overlap-left")
+    copies = [(1 + 2 * F.col("_fx") * 2**k / reach) * (1 + 2 * F.col("_fz") * 2**k / reach) for k in range(HALVES + 1)]
+    fits = l.agg(*[((F.avg(c) <= COPIES) & (F.max(c) <= COPIES_MOST)) for c in copies]).first()
+    wide = reach / 2 ** max([0, *[k for k, fit in enumerate(fits) if fit]])
+    cells = lambda c, by: F.explode(F.sequence(cell(F.col(c) - F.col(by), wide), cell(F.col(c) + F.col(by), wide)))
+    l = l.withColumn("_cx", cells("l_x", "_fx")).withColumn("_cz", cells("l_z", "_fz"))
+    pairs = l.join(at(r, "r", wide).hint("shuffle_merge"), keys).where(met).withColumn("iou", iou).where(F.col("iou") >= F.col("_least"))
     best = pairs.groupBy("l_id").agg(F.min(F.struct((-F.col("iou")).alias("o"), F.col("r_id"))).alias("b")).select("l_id", "b.r_id", (-F.col("b.o")).alias("iou"))
     return left.select(F.col("id").alias("l_id")).join(best, "l_id", "left")

@@ -254,3 +254,54 @@ def test_scored_pairs_over_blocks(spark, tmp_path, monkeypatch):
     l, r = t.select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("w").alias("x")), t.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("w").alias("y"))
     plain = l.join(r, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(text.similarity(F.col("x"), F.col("y")), 6).alias("s"))
     assert got == sorted((p.a, p.b, -1.0 if p.s is None else p.s) for p in plain.collect()) and len(got) > 1000
+
+
+def overlap(a, b):
+    side = lambda i, j: max(0.0, min(a[j], b[j]) - max(a[i], b[i]))
+    both, area = side(0, 2) * side(1, 3), lambda r: (r[2] - r[0]) * (r[3] - r[1])
+    union = area(a) + area(b) - both
+    return both / union if union > 0 else 0.0
+
+
+def boxes_of(spark, rows):
+    return spark.createDataFrame([(i, None if b is None else tuple(b)) for i, b in rows], "id long, box struct<x0: double, y0: double, x1: double, y1: double>")
+
+
+def best_overlaps(left, right, reach, least):
+    """l_id, r_id, iou by all pairs."""
+    out = []
+    for i, a in left:
+        found = [(-overlap(a, b), j) for j, b in right if a and b and math.dist(((a[0] + a[2]) / 2, (a[1] + a[3]) / 2), ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)) <= reach]
+        best = min((f for f in found if -f[0] >= least), default=None)
+        out.append((i, best[1] if best else None, -best[0] if best else None))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("reach,least", [(30.0, 0.2), (30.0, 0.0), (500.0, 0.6), (3.0, 0.2)])
+def test_best_overlap_by_all_pairs(spark, reach, least):
+    rng = random.Random(int(reach) + int(least * 10))
+
+    def box(spread, sizes):
+        x, y = rng.uniform(-spread, spread), rng.uniform(-spread, spread)
+        return x, y, x + rng.choice(sizes), y + rng.choice(sizes)
+
+    def side(first):
+        near = [box(20, (10, 20, 40)) for _ in range(150)] + [tuple(map(float, map(round, box(60, (8, 12))))) for _ in range(120)] + [box(900, (5, 60, 300)) for _ in range(60)]
+        near += [(5.0, 5.0, 15.0, 15.0)] * 20 + [(7.0, 7.0, 7.0, 9.0), (9.0, 9.0, 4.0, 3.0), None]
+        return [(first + i, b) for i, b in enumerate(near)]
+
+    left, right = side(0), side(1000)
+    got = joins.best_overlap(boxes_of(spark, left), boxes_of(spark, right), reach, least)
+    assert sorted((r.l_id, r.r_id, r.iou) for r in got.collect()) == best_overlaps(left, right, reach, least)
+
+
+def test_best_overlap_does_not_try_all_pairs(spark, monkeypatch):
+    from cartolith.functions import geometry
+
+    rng, tried, own = random.Random(26), spark.sparkContext.accumulator(0), geometry.bbox_iou
+    count = F.udf(lambda x: tried.add(1) or 0.0, "double")
+    monkeypatch.setattr(geometry, "bbox_iou", lambda a, b: own(a, b) + count(a["x0"] + b["x0"]))
+    side = lambda first: [(first + i, (x, y, x + rng.choice((30, 35, 40)), y + rng.choice((25, 30)))) for i, (x, y) in enumerate((rng.uniform(0, 200), rng.uniform(0, 200)) for _ in range(1500))]
+    left, right = side(0), side(10_000)
+    got = joins.best_overlap(boxes_of(spark, left), boxes_of(spark, right), 60.0, 0.2).collect()
+    assert sorted((r.l_id, r.r_id, r.iou) for r in got) == best_overlaps(left, right, 60.0, 0.2) and 0 < tried.value < 250_000
