@@ -214,13 +214,13 @@ def scored_pairs(rows: DataFrame, key: str, on: list[str], value: str, read: Cal
     blocks = sent(rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_k")), "pair-blocks")
     dealt = rows.join(blocks, on).withColumn("_i", F.expr(f"pmod(xxhash64({key}), _k)"))
     lists = dealt.groupBy(*on, "_k", "_i", value).agg(F.collect_list(key).alias("_keys"))
-    lists = materialise(lists.select(*on, "_k", "_i", read(F.col(value)).alias("_v"), "_keys"), "pair-lists")
+    lists = materialise(lists.select(*on, "_k", "_i", read(F.col(value)).alias("_v"), "_keys", F.array_min("_keys").alias("_lo"), F.array_max("_keys").alias("_hi")), "pair-lists")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))
     # few bytes become many pairs: a fixed number of tasks, which are not merged by their size
     meet, n = [*on, "_i", "_j"], SPREAD * rows.sparkSession.sparkContext.defaultParallelism
-    l = lists.select(*on, "_i", every.alias("_j"), F.col("_v").alias("_x"), F.col("_keys").alias("_a")).repartition(n, *meet)
-    r = lists.select(*on, every.alias("_i"), F.col("_i").alias("_j"), F.col("_v").alias("_y"), F.col("_keys").alias("_b")).repartition(n, *meet)
-    met = l.join(r.hint("shuffle_merge"), meet).select("_a", "_b", score(F.col("_x"), F.col("_y")).alias("score"))
+    l = lists.select(*on, "_i", every.alias("_j"), F.col("_v").alias("_x"), F.col("_keys").alias("_a"), "_lo").repartition(n, *meet)
+    r = lists.select(*on, every.alias("_i"), F.col("_i").alias("_j"), F.col("_v").alias("_y"), F.col("_keys").alias("_b"), "_hi").repartition(n, *meet)
+    met = l.join(r.hint("shuffle_merge"), meet).where("_lo < _hi").select("_a", "_b", score(F.col("_x"), F.col("_y")).alias("score"))
     return met.select(F.explode("_a").alias("a"), "_b", "score").select("a", F.explode("_b").alias("b"), "score").where("a < b")
 
 
