@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolith.functions import geometry, names, text
@@ -140,19 +141,42 @@ def merged(features: DataFrame, links: DataFrame, priority: Column, reference: C
     return d.groupBy("group_id").agg(F.max_by("id", best).alias("winner"), F.count(F.lit(1)).alias("members"), F.array_sort(F.collect_set(reference)).alias("sources"))
 
 
+#: pairs that serial_match() settles in one task
+AT_ONCE = 2_000_000
+
+
+def _in_turn(left: str, right: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of pairs in the order of turns and wishes, those whose left and right row both are still free."""
+
+    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        pairs = pa.Table.from_batches(got)
+        a, b = (pairs.column(c).combine_chunks().dictionary_encode().indices.to_pylist() for c in (left, right))
+        settled, taken, kept = set(), set(), []
+        for i, (l, r) in enumerate(zip(a, b)):
+            if l not in settled and r not in taken:
+                settled.add(l)
+                taken.add(r)
+                kept.append(i)
+        yield from pairs.take(kept).combine_chunks().to_batches()
+
+    return free
+
+
 def serial_match(pairs: DataFrame, left: str, right: str, turn: Column, *wish: Column) -> DataFrame:
     """One-to-one matching in which each left row, in the order of ``turn``, takes what is left of its wishes (the least first).
 
     That is the one stable matching, so pairs that cannot be in it leave in every round: a right row that is the first wish of some left row is lost to all
     later turns, and a left row that has the earliest turn of some right row needs no wish after that one. The earliest left row that is not settled always
-    settles, so the rounds end; nothing is gathered."""
+    settles, so the rounds end. What is left of AT_ONCE pairs or fewer is settled in one task, pair by pair; more than that is never gathered."""
     order = F.struct(*[w.alias(f"w{i}") for i, w in enumerate(wish)], F.col(right).alias("r"))
-    rest = materialise(pairs.withColumn("_wish", order).withColumn("_turn", F.struct(turn.alias("t"), F.col(left).alias("l"))), "match-rest")
-    columns = rest.columns
-    while True:
-        n = rest.agg(F.count(F.lit(1)), F.count_distinct(left), F.count_distinct(right)).first()
-        if n[0] == n[1] == n[2]:
-            return rest.drop("_wish", "_turn")
+    rest = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    rest = materialise(rest.withColumn("_wish", order).withColumn("_turn", F.struct(turn.alias("t"), F.col(left).alias("l"))), "match-rest")
+    columns, plain = rest.columns, rest.drop("_wish", "_turn").schema
+    n, before = rest.count(), None
+    while n > AT_ONCE and n != before:
         first = rest.groupBy(left).agg(F.min("_wish").alias("_first"))
         asked = rest.join(first, left).groupBy(right).agg(F.min("_turn").alias("_earliest"), F.min(F.when(F.col("_wish") == F.col("_first"), F.col("_turn"))).alias("_asked"))
         wanted = rest.join(asked, right).where(F.col("_asked").isNull() | (F.col("_turn") <= F.col("_asked")))
@@ -160,17 +184,26 @@ def serial_match(pairs: DataFrame, left: str, right: str, turn: Column, *wish: C
         kept = wanted.join(sure, left, "left").where(F.col("_sure").isNull() | (F.col("_wish") <= F.col("_sure")))
         old, rest = rest, materialise(kept.select(columns), "match-rest")
         discard(old)
+        n, before = rest.count(), n
+    if n > AT_ONCE:  # no pair leaves any more: each is the only one of its rows
+        return rest.select(plain.names)
+    out = materialise(rest.coalesce(1).sortWithinPartitions("_turn", "_wish").select(plain.names).mapInArrow(_in_turn(left, right), plain), "match")
+    discard(rest)
+    return out
 
 
 #: establishments that establishments() settles in its first turn, at least; each further turn has twice as many. And how many ids decide where turns end
 SETTLED, IDS = 1000, 10_000
+#: wishes that an establishment has in a turn
+WISHES = 32
 
 
 def establishments(places: DataFrame, businesses: DataFrame, radius: float = 150, exact_radius: float = 300, least: float = 0.8) -> DataFrame:
     """(business_id, place_id, score, d): each establishment in its order takes the most similar place near it that is not taken.
 
     places: place_id, name, x, z; businesses: business_id, name, brand, x, z. Names that fold alike may lie exact_radius apart.
-    Establishments come in turns by their order, and places that are taken leave before the next turn: most establishments of a crowd then meet few places."""
+    Establishments come in turns by their order, and places that are taken leave before the next turn: most establishments of a crowd then meet few places.
+    In a turn each has its first WISHES wishes; the first one that loses as many begins the next turn, with twice as many wishes."""
     places, businesses = materialise(places.where("name is not null"), "match-places"), materialise(businesses, "match-businesses")
     many = businesses.count()
     ids = businesses.where(F.pmod(F.xxhash64("business_id"), F.lit(max(1, many // IDS))) == 0).select("business_id").orderBy("business_id").collect() if many > SETTLED else []
@@ -178,28 +211,40 @@ def establishments(places: DataFrame, businesses: DataFrame, radius: float = 150
     while (until := until + step) < many and (at := until * len(ids) // many) < len(ids):
         cuts.append(ids[at][0])
         step *= 2
-    found, own = None, F.col("business_id")
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        turn = businesses.where((F.lit(True) if low is None else own > low) & (F.lit(True) if high is None else own <= high))
-        pairs = _similar(places if found is None else places.join(found, "place_id", "left_anti"), turn, radius, exact_radius, least)
-        taken = serial_match(pairs, "business_id", "place_id", own, -F.col("score"), F.col("d"))
+    found, own, cuts, low, wishes = None, F.col("business_id"), [*cuts, None], None, WISHES
+    order = Window.partitionBy("business_id").orderBy(F.desc("score"), "d", "place_id")
+    while cuts:
+        turn = businesses.where((F.lit(True) if low is None else own >= low) & (F.lit(True) if cuts[0] is None else own < cuts[0]))
+        near = _similar(places if found is None else places.join(found, "place_id", "left_anti"), turn, radius, exact_radius, least)
+        lists = materialise(near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= wishes), "match-lists")
+        taken = serial_match(lists.drop("_place"), "business_id", "place_id", own, -F.col("score"), F.col("d"))
+        # the first that lost as many wishes as it had may have more: what comes before it stands
+        low = lists.where(F.col("_place") == wishes).join(taken, "business_id", "left_anti").agg(F.min("business_id")).first()[0]
+        discard(lists)
+        if low is None:
+            low, wishes = cuts.pop(0), WISHES
+        else:
+            taken, wishes = taken.where(own < low), wishes * 2
         found = taken if found is None else found.unionByName(taken)
     return found
 
 
 def _similar(places: DataFrame, businesses: DataFrame, radius: float, exact_radius: float, least: float) -> DataFrame:
-    """(business_id, place_id, score, d): similar names near each other."""
+    """(business_id, place_id, score, d): similar names near each other. Names that fold alike meet by their fold in cells of exact_radius, others in cells of radius."""
     wide = lambda df, s: df.select([F.col(c).alias(f"{s}_{c}") for c in df.columns])
     near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dz")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    p = wide(places, "p").withColumn("_n", F.explode(near)).withColumn("_cx", cell("p_x", exact_radius) + F.col("_n.dx")).withColumn("_cz", cell("p_z", exact_radius) + F.col("_n.dz")).drop("_n")
-    b = wide(spread(businesses), "b").withColumn("_cx", cell("b_x", exact_radius)).withColumn("_cz", cell("b_z", exact_radius))
     words = lambda c: text.name_tokens(F.coalesce(F.col(c), F.lit("")))
-    p = p.withColumn("p_words", words("p_name")).withColumn("p_fold", text.fold_text(F.col("p_name")))
-    b = b.withColumn("b_words", words("b_name")).withColumn("b_brands", words("b_brand")).withColumn("b_fold", text.fold_text(F.coalesce("b_name", F.lit(""))))
-    pairs = p.join(b, ["_cx", "_cz"]).withColumn("d", F.hypot(F.col("p_x") - F.col("b_x"), F.col("p_z") - F.col("b_z")))
-    pairs = pairs.where(F.col("d") <= F.when(F.col("p_fold") == F.col("b_fold"), exact_radius).otherwise(radius))
+    p = wide(places, "p").withColumn("p_words", words("p_name")).withColumn("p_fold", text.fold_text(F.col("p_name")))
+    b = wide(spread(businesses), "b").withColumn("b_words", words("b_name")).withColumn("b_brands", words("b_brand")).withColumn("b_fold", text.fold_text(F.coalesce("b_name", F.lit(""))))
+    alike, found = F.col("p_fold") == F.col("b_fold"), None
+    for most, fits in ((radius, ~alike), (exact_radius, alike)):
+        l = p.withColumn("_n", F.explode(near)).withColumn("_cx", cell("p_x", most) + F.col("_n.dx")).withColumn("_cz", cell("p_z", most) + F.col("_n.dz")).drop("_n")
+        r = b.withColumn("_cx", cell("b_x", most)).withColumn("_cz", cell("b_z", most))
+        pairs = l.alias("l").join(r.alias("r"), (F.col("l._cx") == F.col("r._cx")) & (F.col("l._cz") == F.col("r._cz")) & fits)
+        pairs = pairs.withColumn("d", F.hypot(F.col("p_x") - F.col("b_x"), F.col("p_z") - F.col("b_z"))).where(F.col("d") <= most)
+        found = pairs.drop("_cx", "_cz") if found is None else found.unionByName(pairs.drop("_cx", "_cz"))
     score = F.greatest(text.similarity(F.col("p_words"), F.col("b_words")), text.similarity(F.col("p_words"), F.col("b_brands")))
-    pairs = pairs.withColumn("score", score).where(F.col("score") >= least)
+    pairs = found.withColumn("score", score).where(F.col("score") >= least)
     return pairs.select(F.col("b_business_id").alias("business_id"), F.col("p_place_id").alias("place_id"), "score", "d")
 
 

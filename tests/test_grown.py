@@ -151,6 +151,49 @@ def test_establishments_by_turns(spark, monkeypatch):
     assert found() == whole and len(whole) == 60
 
 
+def in_turn(rows):
+    """(a, b) of rows (a, b, wish), one after the other."""
+    a, b, out = set(), set(), set()
+    for i, j, _ in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if i not in a and j not in b:
+            a.add(i), b.add(j), out.add((i, j))
+    return out
+
+
+def test_serial_match_of_a_long_chain(spark, monkeypatch):
+    """Each left row wants first what the one before it gets: the rounds do not follow the chain."""
+    rows = [(0, 0, 0), *[(a, a - 1 + w, w) for a in range(1, 150) for w in (0, 1)]]
+    rounds, write = [], conflate.materialise
+    monkeypatch.setattr(conflate, "materialise", lambda df, name: rounds.append(name) or write(df, name))
+    match = lambda pairs: {(r.a, r.b) for r in conflate.serial_match(pairs, "a", "b", F.col("a"), F.col("w")).collect()}
+    assert match(spark.createDataFrame(rows, "a long, b long, w long")) == in_turn(rows) == {(a, a) for a in range(150)} and len(rounds) <= 3
+    rng = random.Random(3)
+    rows = [(a, b, rng.randrange(4)) for a in range(60) for b in rng.sample(range(50), 12)]
+    monkeypatch.setattr(conflate, "AT_ONCE", 20)
+    assert match(spark.createDataFrame([*rows, (None, 3, 0), (2, None, 0)], "a long, b long, w long")) == in_turn(rows)
+
+
+@pytest.mark.parametrize("wishes", [1, 3, 32])
+def test_establishments_with_few_wishes(spark, monkeypatch, wishes):
+    rng = random.Random(11)
+    at = lambda n, names: [(i, rng.choice(names), rng.choice([400.0, rng.uniform(0, 800)]), rng.choice([400.0, rng.uniform(0, 800)])) for i in range(n)]
+    places, shops = at(90, ("Bar du Gers", "Bar", "Café Auch", "bar auch")), at(260, ("Bar Gers", "BAR AUCH", "Café", "Bar Auch Sud"))
+    monkeypatch.setattr(conflate, "WISHES", wishes)
+    monkeypatch.setattr(conflate, "SETTLED", 40)
+    monkeypatch.setattr(conflate, "IDS", 100)
+    words = lambda n: [w for w in n.lower().split() if w != "du"]
+    share = lambda x, y: len([w for w in x if w in y]) / len(x) if len(x) <= len(y) else len([w for w in y if w in x]) / len(y)
+    rows = []
+    for i, shop, x, z in shops:
+        for j, place, u, v in places:
+            d, score = math.hypot(x - u, z - v), share(words(place), words(shop))
+            if score >= 0.8 and d <= (300 if shop.lower() == place.lower() else 150):
+                rows.append((i, j, (-score, d)))
+    p, b = spark.createDataFrame(places, "place_id long, name string, x double, z double"), spark.createDataFrame(shops, "business_id long, name string, x double, z double")
+    got = {(r.business_id, r.place_id) for r in conflate.establishments(p, b.withColumn("brand", F.lit(None).cast("string"))).collect()}
+    assert got == in_turn(rows) and len(got) > 50
+
+
 @pytest.mark.parametrize("name", ["bbox_iou", "line_in_polygon", "polygon_anchors", "polygon_contains", "polygon_overlap", "polygon_problems", "shown_names", "simplified_lines", "tile_fragments"])
 def test_few_rows_use_all_cores(spark, name):
     """Rows that cost much are not left to the one task that reads their few bytes."""
