@@ -85,14 +85,29 @@ def bbox(line: Column) -> Column:
     return F.struct(pick(F.array_min, "x").alias("x0"), pick(F.array_min, "y").alias("y0"), pick(F.array_max, "x").alias("x1"), pick(F.array_max, "y").alias("y1"))
 
 
-def bbox_iou(a: Column, b: Column) -> Column:
+def bbox_area(r: Column) -> Column:
+    return (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+
+
+def bbox_shared(a: Column, b: Column) -> Column:
+    """The area that two boxes share."""
     side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]))
-    both = side("x0", "x1") * side("y0", "y1")
-    area = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
-    union = area(a) + area(b) - both
+    return side("x0", "x1") * side("y0", "y1")
+
+
+def bbox_iou(a: Column, b: Column) -> Column:
+    both = bbox_shared(a, b)
+    union = bbox_area(a) + bbox_area(b) - both
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """round() of doubles below 1e9 or so, by products instead of decimals but where the next digits are near a half; there, by round() itself."""
+    up = c * F.lit(10.0**digits)
+    whole = F.rint(up)
+    return F.when(F.abs(up - whole) < 0.499999, whole / F.lit(10.0**digits)).otherwise(F.round(c, digits))
+
+
 # the numpy kernel: points are (n, 2) arrays
 
 

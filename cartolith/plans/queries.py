@@ -494,11 +494,16 @@ p as (select b.id a, c.id b, greatest(0, least(b.x1, c.x1) - greatest(b.x0, c.x0
  where abs(b.x0 - c.x0) <= 2000 and abs(b.y0 - c.y0) <= 2000 and (b.x0 - c.x0) * (b.x0 - c.x0) + (b.y0 - c.y0) * (b.y0 - c.y0) <= 4000000)
 select a, b, round(i / (u - i), 6) iou from p where i / (u - i) >= 0.2""")
 def bbox_iou(spark, d):
-    p = points_a(spark, d).select("id", "x", "z")
-    pairs = joins.blocked_pairs(p.where("id % 2 = 0"), spread(p.where("id % 2 = 1")), 2000)
-    box = lambda s: F.struct(F.col(f"{s}_x").cast("double").alias("x0"), F.col(f"{s}_z").cast("double").alias("y0"), (F.col(f"{s}_x") + 3000 + F.col(f"{s}_id") % 7 * 500).cast("double").alias("x1"), (F.col(f"{s}_z") + 2500 + F.col(f"{s}_id") % 5 * 400).cast("double").alias("y1"))
-    iou = geometry.bbox_iou(box("l"), box("r"))
-    return pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), iou.alias("iou")).where("iou >= 0.2").withColumn("iou", F.round("iou", 6))
+    x, z, k = F.col("x").cast("double"), F.col("z").cast("double"), F.col("id")
+    box = lambda s: {"x0": F.col(f"{s}x"), "y0": F.col(f"{s}z"), "x1": F.col(f"{s}x1"), "y1": F.col(f"{s}y1")}
+    p = points_a(spark, d).select("id", x.alias("x"), z.alias("z"), (x + 3000 + k % 7 * 500).alias("x1"), (z + 2500 + k % 5 * 400).alias("y1")).withColumn("area", geometry.bbox_area(box("")))
+    pairs = joins.crowded_pairs(p.where("id % 2 = 0"), spread(p.where("id % 2 = 1")), 2000)
+    # exploded, the shared area is computed once a pair, and the code of the loop stays small enough to be compiled
+    both = F.explode(F.array(geometry.bbox_shared(box("l_"), box("r_"))))
+    met = pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), (F.col("l_area") + F.col("r_area")).alias("areas"), both.alias("both"))
+    union = F.col("areas") - F.col("both")
+    found = met.select("a", "b", F.when(union > 0, F.col("both") / union).otherwise(0.0).alias("iou")).where("iou >= 0.2")
+    return found.withColumn("iou", geometry.rounded(F.col("iou"), 6))
 
 
 @query()

@@ -348,3 +348,32 @@ def test_best_overlap_does_not_try_all_pairs(spark, monkeypatch):
     left, right = side(0), side(10_000)
     got = joins.best_overlap(boxes_of(spark, left), boxes_of(spark, right), 60.0, 0.2).collect()
     assert sorted((r.l_id, r.r_id, r.iou) for r in got) == best_overlaps(left, right, 60.0, 0.2) and 0 < tried.value < 250_000
+
+
+@pytest.mark.parametrize("listed", [3, 4096])
+def test_crowded_pairs_by_all_pairs(spark, monkeypatch, listed):
+    monkeypatch.setattr(joins, "LISTED", listed)
+    rng = random.Random(33)
+    side = lambda first, n: [(first + i, rng.choice([rng.uniform(-90, 90), 20.0, rng.uniform(0, 9)]), rng.choice([rng.uniform(-90, 90), -40.0]), rng.choice("ab")) for i in range(n)] + [(first + 900, None, 1.0, "a"), (first + 901, 20.0, None, "a")]
+    left, right = side(0, 150), side(1000, 190)
+    frames = [spark.createDataFrame(rows, "id long, x double, z double, c string") for rows in (left, right)]
+    want = sorted((a[0], b[0], a[3] + b[3], (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) for a in left for b in right if None not in a + b and (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 400)
+    got = sorted((r.l_id, r.r_id, r.l_c + r.r_c, r.d2) for r in joins.crowded_pairs(*frames, 20).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want] and len(got) > 1000 and all(math.isclose(g[3], w[3]) for g, w in zip(got, want))
+    assert joins.crowded_pairs(frames[0].where("false"), frames[1], 20).count() == 0
+
+
+def test_pairs_of_boxes_come_from_lists(spark):
+    """The join makes a row for two lists, not for two boxes."""
+    plan = QUERIES["bbox_iou"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("SortMergeJoin [_cx")]
+    assert "Generate explode(_l" in above and "Generate explode(_r" in above
+
+
+def test_rounded_as_round(spark):
+    from cartolith.functions import geometry
+
+    rng = random.Random(7)
+    values = [rng.random() * 10 ** rng.randrange(-7, 3) for _ in range(3000)] + [k / 10**6 + s * 5e-7 for k in rng.sample(range(10**6), 2000) for s in (-1, 0, 1)] + [float(f"0.{k:06d}5") for k in rng.sample(range(10**6), 2000)] + [0.0, -0.0, 1.0, 0.2, -0.1234565, float("nan"), float("inf")]
+    d = spark.createDataFrame([(v,) for v in [*values, None]], "v double").select(F.round("v", 6).alias("a"), geometry.rounded(F.col("v"), 6).alias("b"))
+    assert d.where("not (a <=> b)").count() == 0
