@@ -33,24 +33,24 @@ def blocked_pairs(left: DataFrame, right: DataFrame, radius: float, on: tuple[st
     return l.join(r, keys).drop(*keys).withColumn("d2", dx * dx + dz * dz).where(F.col("d2") <= float(radius) ** 2)
 
 
-#: rows of a list in crowded_pairs()
-LISTED = 4096
+#: rows of a left and of a right list in crowded_pairs(): all pairs of two lists wait in memory until they are read
+LISTED = (16, 4096)
 
 
 def crowded_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """The pairs of blocked_pairs(), for rows that have many: lists of the rows of a cell meet, and loops over two lists make the pairs.
 
-    A cell has as many lists as keep each to about LISTED rows. One right list meets the left lists of nine cells in a task, so its memory does not grow with a
-    crowd; no row is copied for each of its pairs, and pairs that lie too far apart are never made. All pairs are returned: they grow with the square of the density."""
+    A cell has as many lists as keep each to about LISTED rows. One right list meets the left lists of nine cells in a task, one after the other, so its memory does
+    not grow with a crowd; no row is copied for each of its pairs, and pairs that lie too far apart are never made. All pairs are returned: they grow with the square of the density."""
     from cartolith.plans.tables import SPREAD, sent
 
     keys = ["_cx", "_cz"]
     at = lambda d: d.where("x is not null and z is not null").withColumn("_cx", cell("x", radius)).withColumn("_cz", cell("z", radius))
-    parts = lambda d: sent(at(d).groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / LISTED).alias("_k")), "pair-lists")
+    parts = lambda d, rows: sent(at(d).groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_k")), "pair-lists")
     lists = lambda d, k: at(d).join(k, keys).withColumn("_i", F.pmod(F.xxhash64(*d.columns), "_k")).groupBy(*keys, "_i").agg(F.collect_list(F.struct(*d.columns)).alias("_rows"))
     near = F.array(*[F.struct((F.col("_cx") + i).alias("_cx"), (F.col("_cz") + j).alias("_cz")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    k = parts(right)
-    l = lists(left, parts(left)).select(F.col("_rows").alias("_l"), F.explode(near).alias("_n")).select("_l", "_n.*")
+    k = parts(right, LISTED[1])
+    l = lists(left, parts(left, LISTED[0])).select(F.col("_rows").alias("_l"), F.explode(near).alias("_n")).select("_l", "_n.*")
     l = l.join(k, keys).select("_l", *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)).alias("_i"))
     # few bytes become many pairs: a fixed number of tasks, which are not merged by their size
     n, of = SPREAD * left.sparkSession.sparkContext.defaultParallelism, lambda d, s: [F.col(f"_{s}.{c}").alias(f"{s}_{c}") for c in d.columns]

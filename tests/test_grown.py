@@ -350,7 +350,7 @@ def test_best_overlap_does_not_try_all_pairs(spark, monkeypatch):
     assert sorted((r.l_id, r.r_id, r.iou) for r in got) == best_overlaps(left, right, 60.0, 0.2) and 0 < tried.value < 250_000
 
 
-@pytest.mark.parametrize("listed", [3, 4096])
+@pytest.mark.parametrize("listed", [(3, 3), (16, 4096)])
 def test_crowded_pairs_by_all_pairs(spark, monkeypatch, listed):
     monkeypatch.setattr(joins, "LISTED", listed)
     rng = random.Random(33)
